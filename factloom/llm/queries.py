@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash_dedup
+from . import bpe_trie, exact_dedup, packing, simhash_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_power_of_two_packing": packing.op1_power_of_two_packing,
     "op6_lsm_exact_dedup": exact_dedup.op6_lsm_exact_dedup,
+    "op7_trie_bpe_round_trip": bpe_trie.op7_trie_bpe_round_trip,
+    "op8_bit_packed_tokens": token_files.op8_bit_packed_tokens,
     "op10_simhash_components": simhash_dedup.op10_simhash_components,
 }
 
