@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from functools import cache
 
 import numpy as np
@@ -20,6 +21,11 @@ PLAIN = re.compile(r"( ?)([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 BULK = 500
 
 
+def _stays_word(word: str) -> bool:
+    """Is it letters still once normalised and lowered? Then it ends where ASCII punctuation begins."""
+    return word.isascii() or word.lower().isalpha() and unicodedata.is_normalized("NFC", word)
+
+
 class Generations:
     """A dict of at most about two times `limit` entries; entries used since the last turn survive a turn."""
 
@@ -43,7 +49,7 @@ class Generations:
 class ChunkEncoder:
     """ids of whole texts, as little-endian uint32 bytes. keeps_space: tokens keep white space (byte-level), else it is dropped."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -82,10 +88,10 @@ class ChunkEncoder:
         split, odd = [], []
         for chunk in missing:
             m = PLAIN.fullmatch(t := text_of(chunk))
-            if m is None or self.keeps_space and m[1] != " " or not self.keeps_space and not m[2].isascii() or "<|" in t:
+            if m is None or self.keeps_space and m[1] != " " or not self.keeps_space and not _stays_word(m[2]) or "<|" in t:
                 odd.append(chunk)
             else:
-                split.append((chunk, m[1] + m[2] if self.keeps_space else m[2].lower(), m[3]))
+                split.append((chunk, m[1] + m[2] if self.keeps_space else m[2].lower() if m[2].isascii() else m[2], m[3]))
         self._words(self.words.missing({w for _, w, _ in split}))
         tails = self.words.missing({p for _, _, p in split if p})
         self.words.new.update(zip(tails, self._encode(tails)))
