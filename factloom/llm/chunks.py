@@ -49,7 +49,7 @@ class Generations:
 class ChunkEncoder:
     """ids of whole texts, as little-endian uint32 bytes. keeps_space: tokens keep white space (byte-level), else it is dropped."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -108,9 +108,9 @@ class ChunkEncoder:
 
 
 @cache
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder a Python worker."""
-    return ChunkEncoder(path)
+def encoder(path: str, limit: int) -> ChunkEncoder:
+    """One encoder a Python worker; limit: entries of a generation of its caches, some 200 bytes each."""
+    return ChunkEncoder(path, limit)
 
 
 def tokenizer_path(name: str) -> str:

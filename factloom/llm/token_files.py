@@ -1,12 +1,14 @@
 """Token-ID files with fixed-width bit packing.
 
-A file holds documents in order. Each id takes the bits that the vocabulary needs, and nothing else stands between ids:
+A file holds documents in order. Each id takes the bits that the vocabulary needs. Blocks are written as they fill, so a
+writer holds a few blocks and the documents' table, however large the file:
 
-    magic "FLTOK1\\0\\0", then 8 little-endian int64: bits, block length, documents, ids, blocks, three spare
-    doc ids        int64 x documents      (a bitmap of nulls follows as uint8 x documents)
+    magic "FLTOK1\\0\\0"
+    payload        blocks of `block length` ids, each padded to whole bytes
+    doc ids        int64 x documents, then a mark of nulls as uint8 x documents
     document ends  int64 x documents      ids up to and with each document
     block offsets  int64 x (blocks + 1)   byte offset of each block in the payload
-    payload        blocks of `block length` ids, each padded to whole bytes
+    footer         little-endian int64: bits, block length, documents, ids, blocks, byte length of the payload; then the magic again
 
 A block is unpacked by numpy without a loop over ids; any range of ids is read by the blocks that hold it.
 """
@@ -29,7 +31,7 @@ from .chunks import encoder, tokenizer_path
 from .common import batches, id_and_text, shared_path, ship
 
 MAGIC = b"FLTOK1\0\0"
-HEAD = len(MAGIC) + 64
+FOOT = 48 + len(MAGIC)
 
 
 def bits_for(vocab_size: int) -> int:
@@ -53,32 +55,61 @@ def unpack_bits(data: bytes, bits: int, count: int) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1)
 
 
-def file_bytes(doc_ids: list, ends: list[int], ids: np.ndarray, bits: int, block: int) -> bytes:
-    if len(ids) and int(ids.max()) >> bits:
-        raise ValueError("an id doesn't fit into the width")
-    blocks = [pack_bits(ids[i : i + block], bits) for i in range(0, len(ids), block)]
-    offsets = np.cumsum([0, *map(len, blocks)], dtype="<i8")
-    head = np.array([bits, block, len(doc_ids), len(ids), len(blocks), 0, 0, 0], "<i8")
-    nulls = np.array([x is None for x in doc_ids], np.uint8)
-    return b"".join([MAGIC, head.tobytes(), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), nulls.tobytes(), np.array(ends, "<i8").tobytes(), offsets.tobytes(), *blocks])
+class TokenWriter:
+    def __init__(self, out, bits: int, block: int):
+        self.out, self.bits, self.block = out, bits, block
+        self.doc_ids: list[int | None] = []
+        self.ends: list[int] = []
+        self.offsets, self.pending, self.held, self.n_ids = [0], [], 0, 0
+        out.write(MAGIC)
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """ids: little-endian uint32."""
+        self.n_ids += len(ids) // 4
+        self.doc_ids.append(doc_id)
+        self.ends.append(self.n_ids)
+        self.pending.append(ids)
+        self.held += len(ids) // 4
+        if self.held >= 16 * self.block:
+            self._blocks(self.held - self.held % self.block)
+
+    def _blocks(self, upto: int) -> None:
+        ids = np.frombuffer(b"".join(self.pending), "<u4")
+        if len(ids) and int(ids.max()) >> self.bits:
+            raise ValueError("an id doesn't fit into the width")
+        for i in range(0, upto, self.block):
+            data = pack_bits(ids[i : min(i + self.block, upto)], self.bits)
+            self.out.write(data)
+            self.offsets.append(self.offsets[-1] + len(data))
+        self.pending, self.held = [ids[upto:].tobytes()], len(ids) - upto
+
+    def finish(self) -> None:
+        if self.held:
+            self._blocks(self.held)
+        self.out.write(np.array([x or 0 for x in self.doc_ids], "<i8").tobytes())
+        self.out.write(np.array([x is None for x in self.doc_ids], np.uint8).tobytes())
+        self.out.write(np.array(self.ends, "<i8").tobytes())
+        self.out.write(np.array(self.offsets, "<i8").tobytes())
+        self.out.write(np.array([self.bits, self.block, len(self.doc_ids), self.n_ids, len(self.offsets) - 1, self.offsets[-1]], "<i8").tobytes() + MAGIC)
 
 
 class TokenFile:
     """Random access to one file's bytes: len(), ids of a document, any range of ids."""
 
     def __init__(self, source: pa.NativeFile):
-        self.source = source
-        source.seek(0)
-        head = source.read(HEAD)
-        if head[: len(MAGIC)] != MAGIC:
+        self.source, self.payload = source, len(MAGIC)
+        size = source.size()
+        source.seek(max(0, size - FOOT))
+        foot = source.read(FOOT)
+        if len(foot) < FOOT or foot[48:] != MAGIC:
             raise ValueError("not a token file")
-        self.bits, self.block, docs, self.n_ids, blocks = (int(x) for x in np.frombuffer(head, "<i8", 5, len(MAGIC)))
+        self.bits, self.block, docs, self.n_ids, blocks, payload = (int(x) for x in np.frombuffer(foot, "<i8", 6))
+        source.seek(self.payload + payload)
         table = source.read(17 * docs + 8 * (blocks + 1))
         nulls = np.frombuffer(table, np.uint8, docs, 8 * docs)
         self.doc_ids = [None if n else int(x) for x, n in zip(np.frombuffer(table, "<i8", docs), nulls)]
         self.ends = np.frombuffer(table, "<i8", docs, 9 * docs)
         self.offsets = np.frombuffer(table, "<i8", blocks + 1, 17 * docs)
-        self.payload = HEAD + len(table)
 
     def __len__(self) -> int:
         return len(self.doc_ids)
@@ -100,7 +131,7 @@ class TokenFile:
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.ends[i - 1]) if i else 0, int(self.ends[i]))
 
-    def documents(self, ids_at_once: int = 1 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    def documents(self, ids_at_once: int = 1 << 18) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc id, start in the file, ids) in order; several documents are unpacked at once."""
         i = 0
         while i < len(self):
@@ -118,7 +149,7 @@ def place(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri) if "://" in uri else pa.fs.FileSystem.from_uri(f"file://{uri.removeprefix('file:')}")
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block: int = 1 << 14, file_ids: int = 8 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block: int = 1 << 14, file_ids: int = 128 << 20) -> DataFrame:
     """Writes docs (doc_id, text) in ascending doc_id order to files below folder and returns the manifest: file, documents, n_ids, base.
 
     Rows are dealt out by ranges of (doc_id, a hash of the text), so a repeated identifier doesn't land in one task; a null identifier comes
@@ -131,34 +162,32 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, system = TaskContext.get().partitionId(), place(folder)
-        tokens = encoder(path)
+        task = TaskContext.get().partitionId()
+        fs, base = place(folder)
+        tokens = encoder(path, 200_000)
         bits = bits_for(max(tokens.vocab_size, end_id + 1))
-        doc_ids, ends, parts, held, made = [], [], [], 0, []
+        writer = aside = None
+        made: list[tuple] = []
 
-        def flush():
+        def close():
+            writer.finish()
+            writer.out.close()
             name = f"tokens-{task:06d}-{len(made):05d}.fltok"
-            data = file_bytes(doc_ids, ends, np.frombuffer(b"".join(parts), "<u4"), bits, block)
-            fs, base = system
-            fs.create_dir(base, recursive=True)
-            aside = posixpath.join(base, f".{name}.{uuid.uuid4().hex}")
-            with fs.open_output_stream(aside) as out:
-                out.write(data)
             fs.move(aside, posixpath.join(base, name))
-            made.append((task, len(made), name, len(doc_ids), held))
+            made.append((task, len(made), name, len(writer.doc_ids), writer.n_ids))
 
         for batch in batches(it, size=2 << 20):
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).cast(pa.binary()).to_pylist())):
-                ids += end
-                held += len(ids) // 4
-                doc_ids.append(doc_id)
-                ends.append(held)
-                parts.append(ids)
-            if held >= file_ids:
-                flush()
-                doc_ids, ends, parts, held = [], [], [], 0
-        if doc_ids:
-            flush()
+                if writer is None:
+                    fs.create_dir(base, recursive=True)
+                    aside = posixpath.join(base, f".{task:06d}-{uuid.uuid4().hex}")
+                    writer = TokenWriter(fs.open_output_stream(aside), bits, block)
+                writer.add(doc_id, ids + end)
+                if writer.n_ids >= file_ids:
+                    close()
+                    writer = None
+        if writer is not None:
+            close()
         if made:
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=["task", "part", "file", "documents", "n_ids"])
@@ -197,7 +226,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     for doc_id, start, ids in TokenFile(source).documents():
                         rows.append((doc_id, before + start, ids.astype("<u4").tobytes()))
                         held += len(ids)
-                        if held >= 1 << 20:
+                        if held >= 1 << 19:
                             yield batch(rows)
                             rows, held = [], 0
                 if rows:
