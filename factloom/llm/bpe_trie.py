@@ -18,7 +18,6 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .chunks import SPACED, WHITE, Generations, tokenizer_path
 from .common import batches, id_and_text
@@ -39,7 +38,7 @@ def byte_alphabet() -> dict[str, int]:
 class TrieBpe:
     """encode(words) and decode(ids) with a tokenizers file of the byte-level BPE kind."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 300_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -57,11 +56,9 @@ class TrieBpe:
             x, y = self.ids[a], self.ids[b]
             if self.rank.setdefault((x, y), n) == n:
                 self.made.setdefault(self.ids[a + b], (x, y, n))
-        self.longest = max(map(len, self.ids))
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec.get("added_tokens", [])):
             raise ValueError("added tokens that strip or need word borders aren't supported")
-        self.bytes_of.update((i, t.encode()) for t, i in self.added.items())
         import regex
 
         self.words_of = regex.compile(PATTERN).findall
@@ -69,7 +66,13 @@ class TrieBpe:
         self.left: dict[int, list] = {}
         self.right: dict[int, list] = {}
         self.follows: dict[int, bool] = {}
-        self.sound: dict[int, bool] = {}
+        self.tokens: dict[bytes, int] = {}  # those that are the encoding of their own bytes
+        self.longest = [1] * 256  # by last byte
+        for i, raw_token in sorted(self.bytes_of.items()):
+            if i in self.made and self.merged(raw_token) == [i] or len(raw_token) == 1:
+                self.tokens[raw_token] = i
+                self.longest[raw_token[-1]] = max(self.longest[raw_token[-1]], len(raw_token))
+        self.bytes_of.update((i, t.encode()) for t, i in self.added.items())
         self.chunks, self.words = Generations(limit), Generations(limit)
 
     def _border(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -81,15 +84,8 @@ class TrieBpe:
                 return out[::-1]
             above, x = self.made[x][2], self.made[x][side]
 
-    def may_follow(self, a: int, b: int) -> bool:
-        """Does BPE leave a and b apart when they stand side by side?"""
-        key = a << 20 | b
-        known = self.follows.get(key)
-        if known is None:
-            known = self.follows[key] = self._apart(a, b)
-        return known
-
     def _apart(self, a: int, b: int) -> bool:
+        """Does BPE leave a and b apart when they stand side by side?"""
         if (left := self.right.get(a)) is None:
             left = self.right[a] = self._border(a, 1)
         if (right := self.left.get(b)) is None:
@@ -109,14 +105,6 @@ class TrieBpe:
             else:
                 j += 1
 
-    def is_sound(self, token: int) -> bool:
-        """Is the token the encoding of its own bytes?"""
-        known = self.sound.get(token)
-        if known is None:
-            parts = self.made.get(token)
-            known = self.sound[token] = parts is None and len(self.bytes_of[token]) == 1 or parts is not None and self.merged(self.bytes_of[token]) == [token]
-        return known
-
     def merged(self, word: bytes) -> list[int]:
         """Encoding by the definition: the merge of lowest rank, leftmost first, until none applies."""
         out = [self.ids[word[i : i + 1]] for i in range(len(word))]
@@ -130,7 +118,9 @@ class TrieBpe:
 
     def walk(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """(word, ids) of distinct words, depth first through their trie."""
-        ids_of, longest, last = self.ids.get, self.longest, [-1]
+        token_of, longest, follows = self.tokens.get, self.longest, self.follows
+        last, begins = [-1], [0]  # of each prefix: its last token, and where that begins
+        known = follows.get
         before = b""
         for word in sorted(words):
             shared = 0
@@ -138,19 +128,29 @@ class TrieBpe:
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], begins[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids_of(word[start:end])
-                    if token is not None and self.is_sound(token) and (start == 0 or self.may_follow(last[start], token)):
-                        break
+                first = max(0, end - longest[word[end - 1]])
+                likely = max(first, begins[-1])  # one byte more for the last token, or a shorter one; any order finds the only answer
+                for start in (*range(likely, end), *range(likely - 1, first - 1, -1)):
+                    token = token_of(word[start:end])
+                    if token is not None:
+                        if not start:
+                            break
+                        pair = last[start] << 20 | token
+                        apart = known(pair)
+                        if apart is None:
+                            apart = follows[pair] = self._apart(last[start], token)
+                        if apart:
+                            break
                 else:
                     raise ValueError(f"no encoding of {word!r}")
                 last.append(token)
+                begins.append(start)
             out, end = [], len(word)
             while end:
                 out.append(last[end])
-                end -= len(self.bytes_of[out[-1]])
+                end = begins[end]
             yield word, out[::-1]
             before = word
 
@@ -161,7 +161,7 @@ class TrieBpe:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """ids of each text as little-endian uint32."""
-        if len(self.follows) > 4_000_000:
+        if len(self.follows) > 1_000_000:
             self.follows.clear()
         cut = [SPACED.findall(t.decode()) for t in texts]
         missing = {c: self._words(c) for c in self.chunks.missing(set().union(*cut))}
@@ -185,38 +185,42 @@ def trie_bpe(path: str) -> TrieBpe:
     return TrieBpe(path)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (little-endian uint32) of each row's whole text; null and empty texts have none. Repeated rows and null identifiers stay rows."""
+def encoded(docs: DataFrame, path: str, make, schema: str) -> DataFrame:
+    """make(doc ids, list of ids as little-endian uint32, codec) -> record batch of `schema`, over whole texts in one pass."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = trie_bpe(path)
-        for batch in batches(it, size=2 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.encode(batch.column(1).cast(pa.binary()).to_pylist()), pa.binary())], names=["doc_id", "ids"])
+        for batch in batches(it, size=4 << 20):
+            yield make(batch.column(0), bpe.encode(batch.column(1).cast(pa.binary()).to_pylist()), bpe)
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, ids binary")
+    return id_and_text(docs).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded with the text of its ids: doc_id, ids, text."""
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id and ids (little-endian uint32) of each row's whole text; null and empty texts have none. Repeated rows and null identifiers stay rows."""
+    return encoded(docs, path, lambda doc_id, ids, _: pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], names=["doc_id", "ids"]), "doc_id long, ids binary")
+
+
+def decode(ids: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids and the text of the ids; null ids count as none."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = trie_bpe(path)
         for batch in batches(it, size=4 << 20, column="ids"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([bpe.decode(x) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([bpe.decode(x or b"") for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+
+
+NAMES = [str(i) for i in range(1 << 16)]
 
 
 def op7_trie_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("byte_bpe_50k.json")
-
-    def digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [str(i) for i in range(1 << 16)]
-        for batch in it:
-            ids = [np.frombuffer(x, "<u4").tolist() for x in batch.column(1).to_pylist()]
-            shown = [hashlib.sha256(",".join([names[i] for i in x]).encode()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(shown), batch.column(2)], names=["doc_id", "n_tokens", "ids_sha256", "text"])
-
-    decoded = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
-    shown = decoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, text string")
-    return shown.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+    def digests(doc_id: pa.Array, ids: list[bytes], bpe: TrieBpe) -> pa.RecordBatch:
+        shown = [sha(",".join([NAMES[i] for i in np.frombuffer(x, "<u4").tolist()])) for x in ids]
+        return pa.RecordBatch.from_arrays([doc_id, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(shown), pa.array([sha(bpe.decode(x)) for x in ids])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return encoded(docs, tokenizer_path("byte_bpe_50k.json"), digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
