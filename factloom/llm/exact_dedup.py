@@ -189,12 +189,15 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", **options) -> DataFram
 
 
 def drop_copies(docs: DataFrame, keep: str = "smallest", **options) -> DataFrame:
-    """docs without the rows whose text another row keeps. Of rows that repeat identifier and text, one stays."""
-    same = "__same_id_text"
-    stays = exact_groups(docs, keep, **options).where("kept").select(F.col("doc_id").alias("__stays_id"), F.col("digest").alias("__stays_digest"))
+    """docs, all columns, without the rows whose text another row keeps. Of rows that repeat identifier and text, one stays."""
+    groups = written(exact_groups(docs, keep, **options).where("not kept"), "copies")
+    again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = groups.where(~again).select(F.col("doc_id").alias("__gone_id"), F.col("digest").alias("__gone"))
     own = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    kept = docs.withColumn(same, own).join(stays, F.col("doc_id").eqNullSafe(F.col("__stays_id")) & (F.col(same) == F.col("__stays_digest")), "left_semi")
-    return kept.dropDuplicates(["doc_id", same]).drop(same)
+    kept = docs.withColumn("__digest", own).join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone")), "left_anti")
+    if not groups.where(again).isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__digest"])
+    return kept.drop("__digest")
 
 
 def op6_lsm_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe_trie, exact_dedup, language, packing, quality, secrets, simhash_dedup, token_files
+from . import ann, bpe_trie, exact_dedup, language, lm_score, packing, quality, secrets, simhash_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_power_of_two_packing": packing.op1_power_of_two_packing,
     "op2_rule_ensemble_quality": quality.op2_rule_ensemble_quality,
+    "op3_stupid_backoff_score": lm_score.op3_stupid_backoff_score,
     "op4_trigram_secret_scan": secrets.op4_trigram_secret_scan,
     "op5_mixture_language": language.op5_mixture_language,
     "op6_lsm_exact_dedup": exact_dedup.op6_lsm_exact_dedup,
@@ -20,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_components": simhash_dedup.op10_simhash_components,
 }
 
-ORACLE_SQL: dict[str, str] = {**exact_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {**exact_dedup.SQL, **lm_score.SQL}
