@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import SPACED, WHITE, Generations, tokenizer_path
+from .chunks import WHITE, Generations, chunk_text, cut_at_spaces, tokenizer_path
 from .common import batches, id_and_text
 
 #: Fixed value: the pattern that splits text before merges are applied; white space is spelt out.
@@ -163,8 +163,8 @@ class TrieBpe:
         """ids of each text as little-endian uint32."""
         if len(self.follows) > 1_000_000:
             self.follows.clear()
-        cut = [SPACED.findall(t.decode()) for t in texts]
-        missing = {c: self._words(c) for c in self.chunks.missing(set().union(*cut))}
+        cut = [cut_at_spaces(t) for t in texts]
+        missing = {c: self._words(chunk_text(c)) for c in self.chunks.missing(set().union(*cut))}
         if missing:
             known = self.words
             new = known.missing(set().union(*missing.values()))

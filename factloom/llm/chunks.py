@@ -33,17 +33,44 @@ class Generations:
         self.limit, self.new, self.old = limit, {}, {}
 
     def missing(self, keys: set) -> list:
+        """Those of the keys that aren't known; the others are in `new` afterwards."""
         if len(self.new) + len(keys) > self.limit:
             self.old, self.new = self.new, {}
-        new, old, out = self.new, self.old, []
-        for k in keys:
-            if k not in new:
-                v = old.get(k)
-                if v is None:
-                    out.append(k)
-                else:
-                    new[k] = v
-        return out
+        keys = keys.difference(self.new)
+        if self.old:
+            known = keys.intersection(self.old)
+            old = self.old
+            self.new.update([(k, old[k]) for k in known])
+            keys -= known
+        return list(keys)
+
+
+#: Stands before a chunk that no space precedes; no UTF-8 text holds this byte.
+BARE = b"\xff"
+
+
+def cut_at_spaces(raw: bytes) -> list[bytes]:
+    """A text's chunks, each with the space before it left out (BARE stands there if there is none).
+
+    Where single spaces stand between other characters, they are the cuts; other texts are cut by SPACED.
+    """
+    if not raw:
+        return []
+    out = raw.split(b" ")
+    if b"" in out or b"\n " in raw or b"\t " in raw or b"\r " in raw or b"\x0b " in raw or b"\x0c " in raw or not raw.isascii() and any(w in raw for w in _WIDER):
+        out = [c.encode() for c in SPACED.findall(raw.decode())]
+        return [c[1:] if len(c) > 1 and c[0] == 32 and not _BLANK.match(c, 1) else BARE + c for c in out]
+    out[0] = BARE + out[0]
+    return out
+
+
+#: First bytes of the white space beyond ASCII (U+0085 and U+00A0, U+1680, U+2000 to U+205F, U+3000).
+_WIDER = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
+_BLANK = re.compile(rb"[\t-\r ]")
+
+
+def chunk_text(chunk: bytes) -> str:
+    return chunk[1:].decode() if chunk[:1] == BARE else " " + chunk.decode()
 
 
 class ChunkEncoder:
@@ -84,7 +111,7 @@ class ChunkEncoder:
             self.words.new.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, cuts, cuts[1:]))
 
     def _learn(self, missing: list) -> None:
-        text_of = (lambda c: c) if self.keeps_space else (lambda c: c.decode())
+        text_of = chunk_text if self.keeps_space else bytes.decode
         split, odd = [], []
         for chunk in missing:
             m = PLAIN.fullmatch(t := text_of(chunk))
@@ -100,7 +127,7 @@ class ChunkEncoder:
         self.chunks.new.update(zip(odd, self._encode([text_of(c) for c in odd])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [SPACED.findall(t.decode()) for t in texts] if self.keeps_space else [t.split() for t in texts]
+        cut = [cut_at_spaces(t) for t in texts] if self.keeps_space else [t.split() for t in texts]
         if missing := self.chunks.missing(set().union(*cut)):
             self._learn(missing)
         of = self.chunks.new.__getitem__

@@ -19,6 +19,7 @@ import json
 import posixpath
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,60 +150,83 @@ def place(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri) if "://" in uri else pa.fs.FileSystem.from_uri(f"file://{uri.removeprefix('file:')}")
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block: int = 1 << 14, file_ids: int = 128 << 20) -> DataFrame:
+def _bounds(rows: DataFrame, parts: int, each: int = 64) -> list[tuple]:
+    """Upper keys (doc_id, h) of ranges that hold about as many rows, from a sample of `each` keys a range picked by their hash."""
+    if parts < 2:
+        return []
+    picked = rows.select("doc_id", "h").orderBy(F.xxhash64("doc_id", "h")).limit(each * parts).collect()
+    keys = sorted((LOWEST if r.doc_id is None else r.doc_id, r.h) for r in picked)
+    return [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+
+
+LOWEST = -(1 << 63)
+
+
+def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block: int = 1 << 14, file_ids: int = 128 << 20, part_bytes: int = 32 << 20) -> DataFrame:
     """Writes docs (doc_id, text) in ascending doc_id order to files below folder and returns the manifest: file, documents, n_ids, base.
 
-    Rows are dealt out by ranges of (doc_id, a hash of the text), so a repeated identifier doesn't land in one task; a null identifier comes
-    first, and rows that repeat one are ordered by that hash. Null and empty texts are the end id alone. Each file is written under
-    another name and moved into place, so a task that runs again replaces what it wrote. The manifest has a row a file.
+    Texts are encoded where they are read; what is dealt out, by ranges of (doc_id, a hash of the text), are packed ids. So a repeated
+    identifier doesn't land in one task; a null identifier comes first, and rows that repeat one are ordered by that hash. Null and
+    empty texts are the end id alone. Each file is written under another name and moved into place, so a task that runs again replaces
+    what it wrote. The manifest has a row a file. part_bytes: text a range has, about.
     """
     spark, end = docs.sparkSession, end_id.to_bytes(4, "little")
-    ship(spark)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
+    rows = id_and_text(docs).withColumn("h", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    bounds = spark.sparkContext.broadcast(_bounds(rows, parts))
+
+    def tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = encoder(path, 450_000)
+        bits = bits_for(max(codec.vocab_size, end_id + 1))
+        for batch in batches(it, size=4 << 20):
+            doc_ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ids = codec.encode(batch.column(1).cast(pa.binary()).to_pylist())
+            packed = [pack_bits(np.frombuffer(x + end, "<u4"), bits) for x in ids]
+            counts = [len(x) // 4 + 1 for x in ids]
+            part = [bisect_right(bounds.value, (LOWEST if d is None else d, h)) for d, h in zip(doc_ids, hashes)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(packed, pa.binary()), pa.array([bits] * len(part), pa.int32())], names=["part", "doc_id", "h", "n", "packed", "bits"])
+
+    def files(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = place(folder)
-        tokens = encoder(path, 200_000)
-        bits = bits_for(max(tokens.vocab_size, end_id + 1))
         writer = aside = None
-        made: list[tuple] = []
+        part, made = -1, []
 
         def close():
             writer.finish()
             writer.out.close()
-            name = f"tokens-{task:06d}-{len(made):05d}.fltok"
+            name = f"tokens-{part:06d}-{len(made):05d}.fltok"
             fs.move(aside, posixpath.join(base, name))
-            made.append((task, len(made), name, len(writer.doc_ids), writer.n_ids))
+            made.append((part, len(made), name, len(writer.doc_ids), writer.n_ids))
 
-        for batch in batches(it, size=2 << 20):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).cast(pa.binary()).to_pylist())):
-                if writer is None:
-                    fs.create_dir(base, recursive=True)
-                    aside = posixpath.join(base, f".{task:06d}-{uuid.uuid4().hex}")
-                    writer = TokenWriter(fs.open_output_stream(aside), bits, block)
-                writer.add(doc_id, ids + end)
-                if writer.n_ids >= file_ids:
+        for batch in it:
+            for own, doc_id, n, packed, bits in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if writer is not None and (own != part or writer.n_ids >= file_ids):
                     close()
                     writer = None
+                if writer is None:
+                    fs.create_dir(base, recursive=True)
+                    aside = posixpath.join(base, f".{own:06d}-{uuid.uuid4().hex}")
+                    writer, part = TokenWriter(fs.open_output_stream(aside), bits, block), own
+                writer.add(doc_id, unpack_bits(packed, bits, n).astype("<u4").tobytes())
         if writer is not None:
             close()
         if made:
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=["task", "part", "file", "documents", "n_ids"])
-
-    ordered = id_and_text(docs).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    made = ordered.select("doc_id", "text").mapInArrow(run, "task long, part long, file string, documents long, n_ids long").collect()  # a row a file
-    rows, base = [], 0
-    for r in sorted(made, key=lambda r: (r.task, r.part)):
-        rows.append((r.file, r.documents, r.n_ids, base))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=["part", "turn", "file", "documents", "n_ids"])
+
+    packed = rows.mapInArrow(tokens, "part int, doc_id long, h long, n long, packed binary, bits int")
+    dealt = packed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "h").select("part", "doc_id", "n", "packed", "bits")
+    made = dealt.mapInArrow(files, "part long, turn long, file string, documents long, n_ids long").collect()  # a row a file
+    listed, base = [], 0
+    for r in sorted(made, key=lambda r: (r.part, r.turn)):
+        listed.append((r.file, r.documents, r.n_ids, base))
         base += r.n_ids
     system, root = place(folder)
     system.create_dir(root, recursive=True)
     with system.open_output_stream(posixpath.join(root, "manifest.json")) as out:
-        out.write(json.dumps([dict(zip(("file", "documents", "n_ids", "base"), r)) for r in rows]).encode())
-    return spark.createDataFrame(rows, "file string, documents long, n_ids long, base long")
+        out.write(json.dumps([dict(zip(("file", "documents", "n_ids", "base"), r)) for r in listed]).encode())
+    return spark.createDataFrame(listed, "file string, documents long, n_ids long, base long")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
