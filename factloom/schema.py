@@ -19,8 +19,12 @@ MAX_SPILL_ROWS = 10_000_000
 IR_VERSION = 1
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+_KINDS = {"TINYINT": T.ByteType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "STRING": T.StringType(), "BOOLEAN": T.BooleanType(), "BINARY": T.BinaryType()}
+
+
+def _struct(text: str, **nested: T.StructType) -> T.StructType:
+    """Schema of "name TYPE, ..."; needs no session."""
+    return T.StructType([T.StructField(n, nested.get(k) or _KINDS[k]) for n, k in (f.split() for f in text.split(", "))])
 
 
 VALUE_DDL = "kind TINYINT, text STRING, i64 BIGINT, f64 DOUBLE, b BOOLEAN, ts BIGINT"
@@ -28,7 +32,7 @@ LOG = _struct(
     "id BIGINT, subject BIGINT, predicate BIGINT, object BIGINT, valid_from BIGINT, valid_to BIGINT, observed_at BIGINT, "
     "confidence DOUBLE, appended_status TINYINT, supersedes_id BIGINT, retracts_id BIGINT"
 )
-ENTITIES = _struct(f"id BIGINT, value STRUCT<{', '.join(f.replace(' ', ': ') for f in VALUE_DDL.split(', '))}>")
+ENTITIES = _struct("id BIGINT, value VALUE", VALUE=_struct(VALUE_DDL))
 PREDICATES = _struct("id BIGINT, name STRING")
 PAYLOADS = _struct("id BIGINT, content BINARY")
 MERGES = _struct("seq BIGINT, absorbed BIGINT, surviving BIGINT, merged_at BIGINT")
