@@ -119,8 +119,10 @@ class ChunkEncoder:
                 odd.append(chunk)
             else:
                 split.append((chunk, m[1] + m[2] if self.keeps_space else m[2].lower() if m[2].isascii() else m[2], m[3]))
-        self._words(self.words.missing({w for _, w, _ in split}))
-        tails = self.words.missing({p for _, _, p in split if p})
+        letters = {w for _, w, _ in split}
+        new = self.words.missing(letters | {p for _, _, p in split if p})  # once, as a turn of generations lets entries go
+        self._words([w for w in new if w in letters])
+        tails = [w for w in new if w not in letters]
         self.words.new.update(zip(tails, self._encode(tails)))
         words = self.words.new
         self.chunks.new.update((c, words[w] + words[p] if p else words[w]) for c, w, p in split)
