@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import WHITE, Generations, chunk_text, cut_at_spaces, tokenizer_path
+from .chunks import WHITE, Generations, chunk_key, chunk_text, cut_at_spaces, tokenizer_path
 from .common import batches, id_and_text
 
 #: Fixed value: the pattern that splits text before merges are applied; white space is spelt out.
@@ -73,7 +73,7 @@ class TrieBpe:
                 self.tokens[raw_token] = i
                 self.longest[raw_token[-1]] = max(self.longest[raw_token[-1]], len(raw_token))
         self.bytes_of.update((i, t.encode()) for t, i in self.added.items())
-        self.chunks, self.words = Generations(limit), Generations(limit)
+        self.chunks = Generations(limit)
 
     def _border(self, token: int, side: int) -> list[tuple[int, int]]:
         """(symbol, rank of the merge that ends it) along a border of the token's merge tree, from the byte up."""
@@ -161,20 +161,29 @@ class TrieBpe:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """ids of each text as little-endian uint32."""
-        if len(self.follows) > 1_000_000:
+        if len(self.follows) > 500_000:
             self.follows.clear()
         cut = [cut_at_spaces(t) for t in texts]
-        missing = {c: self._words(chunk_text(c)) for c in self.chunks.missing(set().union(*cut))}
-        if missing:
-            known = self.words
-            new = known.missing(set().union(*missing.values()))
-            for special in [w for w in new if w in self.added]:
-                known.new[special] = self.added[special].to_bytes(4, "little")
-            known.new.update((w.decode(), np.array(ids, "<u4").tobytes()) for w, ids in self.walk([w.encode() for w in new if w not in self.added]))
-            self.chunks.new.update((c, b"".join([known.new[w] for w in words])) for c, words in missing.items())
+        wanted = set().union(*cut)
+        self.chunks.turn(len(wanted))
+        if missing := self.chunks.missing(wanted):
+            self._learn(missing)
         of = self.chunks.new.__getitem__
         return [b"".join(map(of, c)) for c in cut]
 
+    def _learn(self, missing: set) -> None:
+        """A chunk's ids are its words'; a word is a chunk of its own, so both are known by the same key."""
+        known = self.chunks.new
+        split = [(c, [chunk_key(w) for w in self._words(chunk_text(c))]) for c in missing]
+        new = self.chunks.missing({w for _, words in split for w in words})
+        for content, i in self.added.items():
+            if (key := chunk_key(content)) in new:
+                known[key] = i.to_bytes(4, "little")
+                new.discard(key)
+        text_of = {chunk_text(w).encode(): w for w in new}
+        known.update([(text_of[w], np.array(ids, "<u4").tobytes()) for w, ids in self.walk(list(text_of))])
+        known.update([(c, b"".join([known[w] for w in words])) for c, words in split if len(words) != 1 or words[0] != c])
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 

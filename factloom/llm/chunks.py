@@ -17,7 +17,7 @@ import numpy as np
 WHITE = "\t-\r \x85\xa0  -     　"
 SPACED = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Letters, then nothing but ASCII punctuation: two pieces that no pattern of the two families joins.
-PLAIN = re.compile(r"( ?)([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 BULK = 500
 
 
@@ -32,17 +32,19 @@ class Generations:
     def __init__(self, limit: int):
         self.limit, self.new, self.old = limit, {}, {}
 
-    def missing(self, keys: set) -> list:
-        """Those of the keys that aren't known; the others are in `new` afterwards."""
-        if len(self.new) + len(keys) > self.limit:
-            self.old, self.new = self.new, {}
+    def missing(self, keys: set) -> set:
+        """Those of the keys that aren't known; the others are in `new` afterwards, until the next turn."""
         keys = keys.difference(self.new)
         if self.old:
-            known = keys.intersection(self.old)
-            old = self.old
+            known, old = keys.intersection(self.old), self.old
             self.new.update([(k, old[k]) for k in known])
             keys -= known
-        return list(keys)
+        return keys
+
+    def turn(self, more: int) -> None:
+        """Makes room for so many entries; only here entries go."""
+        if len(self.new) + more > self.limit:
+            self.old, self.new = self.new, {}
 
 
 #: Stands before a chunk that no space precedes; no UTF-8 text holds this byte.
@@ -59,20 +61,24 @@ def cut_at_spaces(raw: bytes) -> list[bytes]:
     out = raw.split(b" ")
     if b"" in out or b"\n " in raw or b"\t " in raw or b"\r " in raw or b"\x0b " in raw or b"\x0c " in raw or not raw.isascii() and any(w in raw for w in _WIDER):
         out = [c.encode() for c in SPACED.findall(raw.decode())]
-        return [c[1:] if len(c) > 1 and c[0] == 32 and not _BLANK.match(c, 1) else BARE + c for c in out]
+        return [c[1:] if len(c) > 1 and c[0] == 32 else BARE + c for c in out]
     out[0] = BARE + out[0]
     return out
 
 
 #: First bytes of the white space beyond ASCII (U+0085 and U+00A0, U+1680, U+2000 to U+205F, U+3000).
 _WIDER = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
-_BLANK = re.compile(rb"[\t-\r ]")
 
 
 def chunk_text(chunk: bytes) -> str:
     return chunk[1:].decode() if chunk[:1] == BARE else " " + chunk.decode()
 
 
+def chunk_key(text: str) -> bytes:
+    """The inverse of chunk_text."""
+    return text[1:].encode() if len(text) > 1 and text[0] == " " else BARE + text.encode()
+
+
 class ChunkEncoder:
     """ids of whole texts, as little-endian uint32 bytes. keeps_space: tokens keep white space (byte-level), else it is dropped."""
 
@@ -93,44 +99,53 @@ class ChunkEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(re.search(f"[{WHITE}]", t) for t in self.added):
             raise ValueError("an added token holds white space")
-        self.chunks, self.words = Generations(limit), Generations(limit)
+        self.chunks = Generations(limit)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> None:
-        """Letters only, with a space before if white space is kept: many at once, cut at the tokens that begin or end words."""
+    def _words(self, words: list[bytes]) -> None:
+        """Chunks of letters only: many at once, cut at the tokens that begin or end words."""
+        text_of, sep = (chunk_text, "") if self.keeps_space else (bytes.decode, " ")
+        put = self.chunks.new
         parts = [words[i : i + BULK] for i in range(0, len(words), BULK)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([("" if self.keeps_space else " ").join(p) for p in parts], add_special_tokens=False)):
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([sep.join(map(text_of, p)) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             at = np.flatnonzero(self.marks[ids])
-            cuts = [*at, len(ids)] if self.keeps_space else [0, *(at + 1)]
+            cuts = [*(4 * at).tolist(), 4 * len(ids)] if self.keeps_space else [0, *(4 * at + 4).tolist()]
             if len(cuts) != len(part) + 1:  # a letter that normalisation splits: one by one
-                self.words.new.update(zip(part, self._encode(part)))
+                put.update(zip(part, self._encode(list(map(text_of, part)))))
                 continue
-            self.words.new.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, cuts, cuts[1:]))
+            raw = ids.tobytes()
+            put.update([(w, raw[i:j]) for w, i, j in zip(part, cuts, cuts[1:])])
 
-    def _learn(self, missing: list) -> None:
-        text_of = chunk_text if self.keeps_space else bytes.decode
-        split, odd = [], []
+    def _learn(self, missing: set) -> None:
+        """A chunk of a word and ASCII punctuation is the word's chunk and the punctuation's, which are chunks of their own."""
+        split, odd, match = [], [], PLAIN.fullmatch
         for chunk in missing:
-            m = PLAIN.fullmatch(t := text_of(chunk))
-            if m is None or self.keeps_space and m[1] != " " or not self.keeps_space and not _stays_word(m[2]) or "<|" in t:
+            m = None if chunk[:1] == BARE else match(chunk.decode())
+            if m is None or m[2][:1] and "<|" in m[0] or not self.keeps_space and not _stays_word(m[1]):
                 odd.append(chunk)
-            else:
-                split.append((chunk, m[1] + m[2] if self.keeps_space else m[2].lower() if m[2].isascii() else m[2], m[3]))
-        letters = {w for _, w, _ in split}
-        new = self.words.missing(letters | {p for _, _, p in split if p})  # once, as a turn of generations lets entries go
-        self._words([w for w in new if w in letters])
-        tails = [w for w in new if w not in letters]
-        self.words.new.update(zip(tails, self._encode(tails)))
-        words = self.words.new
-        self.chunks.new.update((c, words[w] + words[p] if p else words[w]) for c, w, p in split)
-        self.chunks.new.update(zip(odd, self._encode([text_of(c) for c in odd])))
+                continue
+            word, tail = m[1], m[2]
+            if not self.keeps_space and word.isascii():
+                word = word.lower()
+            split.append((chunk, word.encode(), (BARE if self.keeps_space else b"") + tail.encode() if tail else b""))
+        words = {w for _, w, _ in split}
+        new = self.chunks.missing(words | {p for _, _, p in split if p})
+        self._words([w for w in new if w in words])
+        tails = [w for w in new if w not in words]
+        text_of = chunk_text if self.keeps_space else bytes.decode
+        known = self.chunks.new
+        known.update(zip(tails, self._encode([text_of(t) for t in tails])))
+        known.update([(c, known[w] + known[p] if p else known[w]) for c, w, p in split if p or c != w])
+        known.update(zip(odd, self._encode([text_of(c) for c in odd])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         cut = [cut_at_spaces(t) for t in texts] if self.keeps_space else [t.split() for t in texts]
-        if missing := self.chunks.missing(set().union(*cut)):
+        wanted = set().union(*cut)
+        self.chunks.turn(len(wanted))
+        if missing := self.chunks.missing(wanted):
             self._learn(missing)
         of = self.chunks.new.__getitem__
         return [b"".join(map(of, c)) for c in cut]

@@ -40,7 +40,7 @@ def pack(docs: DataFrame, path: str, longest: int = 4096, end_id: int = 2, with_
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path, 500_000).encode
+        encode = encoder(path, 350_000).encode
         sequence = TaskContext.get().partitionId() << 40
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         for batch in batches(it, size=4 << 20):

@@ -177,7 +177,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
     bounds = spark.sparkContext.broadcast(_bounds(rows, parts))
 
     def tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = encoder(path, 450_000)
+        codec = encoder(path, 300_000)
         bits = bits_for(max(codec.vocab_size, end_id + 1))
         for batch in batches(it, size=4 << 20):
             doc_ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
