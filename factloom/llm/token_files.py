@@ -229,8 +229,15 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
     return spark.createDataFrame(listed, "file string, documents long, n_ids long, base long")
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids (little-endian uint32) of each document in the files below folder."""
+def _as_ids(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "start", "ids"])
+
+
+def read_tokens(spark: SparkSession, folder: str, make=_as_ids, schema: str = "doc_id long, start long, ids binary") -> DataFrame:
+    """doc_id, start (ids of all documents before it) and ids (little-endian uint32) of each document in the files below folder.
+
+    make, schema: what to make of a list of such rows in the same pass, a record batch of the schema.
+    """
     ship(spark)
     system, root = place(folder)
     with system.open_input_stream(posixpath.join(root, "manifest.json")) as file:
@@ -238,11 +245,6 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = place(folder)
-        names = ["doc_id", "start", "ids"]
-
-        def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=names)
-
         for some in it:
             for name, before in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
                 rows, held = [], 0
@@ -251,22 +253,22 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                         rows.append((doc_id, before + start, ids.astype("<u4").tobytes()))
                         held += len(ids)
                         if held >= 1 << 19:
-                            yield batch(rows)
+                            yield make(rows)
                             rows, held = [], 0
                 if rows:
-                    yield batch(rows)
+                    yield make(rows)
 
     listed = spark.createDataFrame([(f["file"], f["base"]) for f in files], "file string, base long").repartition(max(1, len(files)))
-    return listed.mapInArrow(run, "doc_id long, start long, ids binary")
+    return listed.mapInArrow(run, schema)
 
 
 def op8_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, tokenizer_path("byte_bpe_50k.json"))
 
-    def digest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            ids = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(zlib.crc32, ids), pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    def digests(rows: list[tuple]) -> pa.RecordBatch:
+        doc_ids, starts, ids = zip(*rows)
+        columns = (doc_ids, starts, [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read_tokens(spark, folder).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(spark, folder, digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
