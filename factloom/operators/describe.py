@@ -58,13 +58,17 @@ def explain_query(query: Query, tables: Tables) -> dict:
     def index(source: str, n: int) -> None:
         usable(source, n, COSTS["lookup"] + COSTS["index"] * n)
 
-    if subject is None:
+    if query.force_scan:
+        rejected("subject_index", "force_scan")
+    elif subject is None:
         rejected("subject_index", "query names no subject")
     else:
         index("subject_index", found.subject)
         index("observed_time_index", found.observed) if bounds else rejected("observed_time_index", "query has no observed_to bound")
     for source, named, n in (("object_current_index", object, found.object), ("predicate_current_index", query.predicate, found.predicate)):
-        if named is None:
+        if query.force_scan:
+            rejected(source, "force_scan")
+        elif named is None:
             rejected(source, f"query names no {source.split('_')[0]}")
         elif query.is_as_of:
             rejected(source, "index describes current state now; query is as-of")
@@ -72,7 +76,7 @@ def explain_query(query: Query, tables: Tables) -> dict:
             rejected(source, "index holds only Active open-ended rows; query is not current-shaped")
         else:
             index(source, n)
-    usable("columnar_scan", found.total, COSTS["columnar"] * found.total)
+    rejected("columnar_scan", "force_row_scan") if query.force_row_scan else usable("columnar_scan", found.total, COSTS["columnar"] * found.total)
     usable("row_scan", found.total, COSTS["row"] * found.total)
     best = min((c for c in considered if "cost" in c), key=lambda c: c["cost"])
     from ..plans.compile import page

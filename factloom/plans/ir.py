@@ -99,6 +99,9 @@ class Filter:
         return out
 
 
+_TESTS = ("force_scan", "force_row_scan")
+
+
 @dataclass(frozen=True)
 class Query:
     """A shaped read; every part is optional."""
@@ -122,6 +125,9 @@ class Query:
     max_rows_examined: int = 0
     as_of_commit: int | None = None
     as_of_observed: int | None = None
+    # for tests only, and no part of the JSON: what explain_query may not choose; rows never depend on them
+    force_scan: bool = False
+    force_row_scan: bool = False
 
     def validate(self) -> None:
         if self.ir_version != IR_VERSION:
@@ -158,7 +164,7 @@ class Query:
         return set(self.statuses) == {"Active"} and self.open_ended_only
 
     def to_json(self) -> dict:
-        out = {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) not in (None, "", ())}
+        out = {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) not in (None, "", ()) and f.name not in _TESTS}
         if self.filter is not None:
             out["filter"] = self.filter.to_json()
         if self.statuses:
@@ -167,7 +173,7 @@ class Query:
 
     @staticmethod
     def from_json(args: dict) -> Query:
-        given = {f.name: args[f.name] for f in fields(Query) if args.get(f.name) is not None}
+        given = {f.name: args[f.name] for f in fields(Query) if args.get(f.name) is not None and f.name not in _TESTS}
         for name in given.keys() - {"statuses", "filter", "order", "cursor", "open_ended_only", "resolve_names", "newest_first"}:
             if not isinstance(given[name], int) or isinstance(given[name], bool):
                 raise EngineError(f"{name} must be an integer")

@@ -32,7 +32,7 @@ s AS (SELECT *, coalesce(CASE WHEN n % 5 = 2 THEN one WHEN n % 23 = 7 THEN two E
 r AS (SELECT *, CASE WHEN supersedes_id = 0 AND n % 17 = 4 THEN coalesce(one, 0) ELSE 0 END AS retracts_id FROM s),
 log AS (SELECT n + 1 AS id, subject, predicate, object, start AS valid_from, CASE WHEN n % 3 = 0 THEN start + 86400 ELSE 0 END AS valid_to,
                start + n % 7 * 3600 - CASE WHEN n % 11 = 3 THEN 200000 ELSE 0 END AS observed_at, (n % 101) / 100.0::DOUBLE AS confidence,
-               CASE WHEN retracts_id <> 0 THEN 3 WHEN n % 19 = 5 THEN 4 ELSE 0 END AS appended_status, supersedes_id, retracts_id FROM r),
+               CAST(CASE WHEN retracts_id <> 0 THEN 3 WHEN n % 19 = 5 THEN 4 ELSE 0 END AS TINYINT) AS appended_status, supersedes_id, retracts_id FROM r),
 entities AS (SELECT DISTINCT subject AS id, 0 AS kind, 'user-' || (subject - 1) AS text, NULL::BIGINT AS i64, NULL::DOUBLE AS f64, NULL::BOOLEAN AS b FROM e
              UNION ALL
              SELECT object, CASE WHEN object >= 4000000000 THEN 2 WHEN object >= 3000000000 THEN 3 WHEN object >= 2000000000 THEN 1 ELSE 0 END,
@@ -41,7 +41,8 @@ entities AS (SELECT DISTINCT subject AS id, 0 AS kind, 'user-' || (subject - 1)
                     CASE WHEN object >= 4000000000 THEN (object - 4000000000) / 100.0::DOUBLE END,
                     CASE WHEN object >= 3000000000 AND object < 4000000000 THEN object = 3000000001 END
              FROM (SELECT DISTINCT object FROM o) WHERE NOT (object < 2000000000 AND (object - 1000000000) % 13 = 0)),
-merges AS (SELECT * FROM (VALUES (1, 100001, 100000, 10), (2, 100000, 1, 20), (3, 100002, 7, 30), (4, 100002, 2, 40)) t(seq, absorbed, surviving, merged_at)),
+merges AS (SELECT CAST(seq AS BIGINT) AS seq, CAST(absorbed AS BIGINT) AS absorbed, CAST(surviving AS BIGINT) AS surviving, CAST(merged_at AS BIGINT) AS merged_at
+           FROM (VALUES (1, 100001, 100000, 10), (2, 100000, 1, 20), (3, 100002, 7, 30), (4, 100002, 2, 40)) t(seq, absorbed, surviving, merged_at)),
 provenance AS (SELECT n * 2 + turn + 1 AS seq, n + 1 AS assertion_id, n % 10 + turn * 100 + 1 AS source, n * 10 + turn AS recorded_at,
                       CASE WHEN turn = 0 THEN 'import' ELSE 'review' END AS method
                FROM e, (VALUES (0), (1)) t(turn) WHERE n % 3 = 0 AND (turn = 0 OR n % 9 = 0)),
@@ -82,9 +83,9 @@ def _query(name: str, query: Query, where: str, tail: str = "", source: str = "l
 # ---- sources and statuses
 register("log_full_read", "SELECT * FROM log")(lambda t: t.log)
 register("log_tail_read", "SELECT * FROM log WHERE id > 5000")(lambda t: t.log.where("id > 5000"))
-register("status_now", "SELECT id, code AS status_code FROM l")(lambda t: with_status(t.log).select("id", F.col("status_code").cast("int").alias("status_code")))
-register("as_of_commit_status", "SELECT id, code AS status_code FROM l", scope="id <= 4000")(lambda t: with_status(t.log, as_of_commit=4000).select("id", F.col("status_code").cast("int").alias("status_code")))
-register("as_of_observed_status", "SELECT id, code AS status_code FROM l", scope="observed_at <= 1704500000", last="{'o': observed_at, 'i': id}")(
+register("status_now", "SELECT id, CAST(code AS INTEGER) AS status_code FROM l")(lambda t: with_status(t.log).select("id", F.col("status_code").cast("int").alias("status_code")))
+register("as_of_commit_status", "SELECT id, CAST(code AS INTEGER) AS status_code FROM l", scope="id <= 4000")(lambda t: with_status(t.log, as_of_commit=4000).select("id", F.col("status_code").cast("int").alias("status_code")))
+register("as_of_observed_status", "SELECT id, CAST(code AS INTEGER) AS status_code FROM l", scope="observed_at <= 1704500000", last="{'o': observed_at, 'i': id}")(
     lambda t: with_status(t.log, as_of_observed=1_704_500_000).select("id", F.col("status_code").cast("int").alias("status_code"))
 )
 
@@ -167,7 +168,7 @@ register(
        SELECT entity, 1 AS hops FROM h1 WHERE entity <> 5 UNION ALL SELECT entity, 2 FROM h2 WHERE entity <> 5 AND entity NOT IN (SELECT entity FROM h1)""",
 )(lambda t: graph.neighbors(t, 5, 2))
 register("co_occurring_predicates", f"SELECT DISTINCT predicate FROM l WHERE subject = 5 AND {_NOW}")(lambda t: graph.co_occurring_predicates(t, 5))
-register("resolve_entity", "SELECT * FROM (VALUES (100001, 1), (100000, 1), (100002, 2)) t(absorbed, surviving)")(lambda t: merges.resolve_all(t.merges))
+register("resolve_entity", "SELECT CAST(absorbed AS BIGINT) AS absorbed, CAST(surviving AS BIGINT) AS surviving FROM (VALUES (100001, 1), (100000, 1), (100002, 2)) t(absorbed, surviving)")(lambda t: merges.resolve_all(t.merges))
 register("describe_predicates", f"SELECT p.id, p.name, count(l.id) AS current_rows FROM predicates p LEFT JOIN l ON l.predicate = p.id AND {_NOW} GROUP BY p.id, p.name")(describe.describe_predicates)
 register(
     "describe_corpus",
