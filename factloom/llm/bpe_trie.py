@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import WHITE, Generations, chunk_key, chunk_text, cut_at_spaces, tokenizer_path
+from .chunks import BARE, PLAIN, WHITE, Generations, chunk_key, chunk_text, cut_at_spaces, tokenizer_path
 from .common import batches, id_and_text
 
 #: Fixed value: the pattern that splits text before merges are applied; white space is spelt out.
@@ -73,6 +73,7 @@ class TrieBpe:
                 self.tokens[raw_token] = i
                 self.longest[raw_token[-1]] = max(self.longest[raw_token[-1]], len(raw_token))
         self.bytes_of.update((i, t.encode()) for t, i in self.added.items())
+        self.by_id = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.chunks = Generations(limit)
 
     def _border(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -174,7 +175,13 @@ class TrieBpe:
     def _learn(self, missing: set) -> None:
         """A chunk's ids are its words'; a word is a chunk of its own, so both are known by the same key."""
         known = self.chunks.new
-        split = [(c, [chunk_key(w) for w in self._words(chunk_text(c))]) for c in missing]
+        split = []
+        for c in missing:
+            m = None if c[:1] == BARE else PLAIN.fullmatch(c.decode())
+            if m is not None and m[1].isalpha() and "<|" not in m[2]:  # letters, then nothing but punctuation: two words, as the pattern has it
+                split.append((c, [m[1].encode(), BARE + m[2].encode()] if m[2] else [c]))
+            else:
+                split.append((c, [chunk_key(w) for w in self._words(chunk_text(c))]))
         new = self.chunks.missing({w for _, words in split for w in words})
         for content, i in self.added.items():
             if (key := chunk_key(content)) in new:
@@ -185,7 +192,7 @@ class TrieBpe:
         known.update([(c, b"".join([known[w] for w in words])) for c, words in split if len(words) != 1 or words[0] != c])
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return b"".join(map(self.by_id.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
 @cache
@@ -228,7 +235,7 @@ def op7_trie_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def digests(doc_id: pa.Array, ids: list[bytes], bpe: TrieBpe) -> pa.RecordBatch:
-        shown = [sha(",".join([NAMES[i] for i in np.frombuffer(x, "<u4").tolist()])) for x in ids]
+        shown = [sha(",".join(map(NAMES.__getitem__, np.frombuffer(x, "<u4").tolist()))) for x in ids]
         return pa.RecordBatch.from_arrays([doc_id, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(shown), pa.array([sha(bpe.decode(x)) for x in ids])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 from functools import cache
 
 import numpy as np
@@ -18,12 +17,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 SPACED = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Letters, then nothing but ASCII punctuation: two pieces that no pattern of the two families joins.
 PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
-BULK = 500
-
-
-def _stays_word(word: str) -> bool:
-    """Is it letters still once normalised and lowered? Then it ends where ASCII punctuation begins."""
-    return word.isascii() or word.lower().isalpha() and unicodedata.is_normalized("NFC", word)
+BULK = 100
 
 
 class Generations:
@@ -90,56 +84,46 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         vocab = self.tokenizer.get_vocab()
-        ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.vocab_size = max(vocab.values()) + 1
         self.keeps_space = not any(t.endswith("</w>") for t in vocab)
-        for token, i in vocab.items():
-            ends[i] = token.startswith("Ġ") if self.keeps_space else token.endswith("</w>")
-        self.marks = ends
-        self.vocab_size = len(ends)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if any(re.search(f"[{WHITE}]", t) for t in self.added):
-            raise ValueError("an added token holds white space")
+        self.spaced = np.zeros(self.vocab_size, bool)
+        self.spaced[[i for t, i in vocab.items() if t[0] == "Ġ"]] = self.keeps_space
+        lone = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        self.border = lone[0] if len(lone) == 1 else -1
+        if any(re.search(f"[{WHITE}]", t.content) or not t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("an added token holds white space, or doesn't begin with <|")
         self.chunks = Generations(limit)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[bytes]) -> None:
-        """Chunks of letters only: many at once, cut at the tokens that begin or end words."""
-        text_of, sep = (chunk_text, "") if self.keeps_space else (bytes.decode, " ")
-        put = self.chunks.new
-        parts = [words[i : i + BULK] for i in range(0, len(words), BULK)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([sep.join(map(text_of, p)) for p in parts], add_special_tokens=False)):
+    def _learn(self, missing: set) -> None:
+        """Chunks that stand apart wherever they are: many at once, as a call costs more than a chunk. Others one by one.
+
+        In a joined text a token that begins with a space, or a word between, shows where a chunk begins.
+        """
+        put, text_of = self.chunks.new, chunk_text if self.keeps_space else bytes.decode
+        if self.keeps_space:
+            plain = [c for c in missing if 32 < c[0] < 255 and c[-1] > 32 and b"<|" not in c]
+        else:
+            plain = [c for c in missing if b"<|" not in c and b"\x01" not in c]
+        odd = list(missing.difference(plain))
+        parts = [plain[i : i + BULK] for i in range(0, len(plain), BULK)]
+        joined = [" " + b" ".join(p).decode() if self.keeps_space else b" \x01 ".join(p).decode() for p in parts]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            at = np.flatnonzero(self.marks[ids])
-            cuts = [*(4 * at).tolist(), 4 * len(ids)] if self.keeps_space else [0, *(4 * at + 4).tolist()]
-            if len(cuts) != len(part) + 1:  # a letter that normalisation splits: one by one
-                put.update(zip(part, self._encode(list(map(text_of, part)))))
+            if self.keeps_space:
+                starts = np.flatnonzero(self.spaced[ids])
+                ends = [*starts[1:].tolist(), len(ids)]
+            else:
+                at = np.flatnonzero(ids == self.border)
+                starts, ends = np.concatenate([[0], at + 1]), [*at.tolist(), len(ids)]
+            if len(starts) != len(part):  # every chunk shows one beginning at least, so equal numbers mean that each shows one
+                odd += part
                 continue
             raw = ids.tobytes()
-            put.update([(w, raw[i:j]) for w, i, j in zip(part, cuts, cuts[1:])])
-
-    def _learn(self, missing: set) -> None:
-        """A chunk of a word and ASCII punctuation is the word's chunk and the punctuation's, which are chunks of their own."""
-        split, odd, match = [], [], PLAIN.fullmatch
-        for chunk in missing:
-            m = None if chunk[:1] == BARE else match(chunk.decode())
-            if m is None or m[2][:1] and "<|" in m[0] or not self.keeps_space and not _stays_word(m[1]):
-                odd.append(chunk)
-                continue
-            word, tail = m[1], m[2]
-            if not self.keeps_space and word.isascii():
-                word = word.lower()
-            split.append((chunk, word.encode(), (BARE if self.keeps_space else b"") + tail.encode() if tail else b""))
-        words = {w for _, w, _ in split}
-        new = self.chunks.missing(words | {p for _, _, p in split if p})
-        self._words([w for w in new if w in words])
-        tails = [w for w in new if w not in words]
-        text_of = chunk_text if self.keeps_space else bytes.decode
-        known = self.chunks.new
-        known.update(zip(tails, self._encode([text_of(t) for t in tails])))
-        known.update([(c, known[w] + known[p] if p else known[w]) for c, w, p in split if p or c != w])
-        known.update(zip(odd, self._encode([text_of(c) for c in odd])))
+            put.update([(c, raw[4 * i : 4 * j]) for c, i, j in zip(part, starts.tolist(), ends)])
+        put.update(zip(odd, self._encode([text_of(c) for c in odd])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         cut = [cut_at_spaces(t) for t in texts] if self.keeps_space else [t.split() for t in texts]

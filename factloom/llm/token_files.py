@@ -162,13 +162,13 @@ def _bounds(rows: DataFrame, parts: int, each: int = 64) -> list[tuple]:
 LOWEST = -(1 << 63)
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block: int = 1 << 14, file_ids: int = 128 << 20, part_bytes: int = 32 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block: int = 1 << 14, file_ids: int = 128 << 20, part_bytes: int = 32 << 20, cache: int = 600_000) -> DataFrame:
     """Writes docs (doc_id, text) in ascending doc_id order to files below folder and returns the manifest: file, documents, n_ids, base.
 
     Texts are encoded where they are read; what is dealt out, by ranges of (doc_id, a hash of the text), are packed ids. So a repeated
     identifier doesn't land in one task; a null identifier comes first, and rows that repeat one are ordered by that hash. Null and
     empty texts are the end id alone. Each file is written under another name and moved into place, so a task that runs again replaces
-    what it wrote. The manifest has a row a file. part_bytes: text a range has, about.
+    what it wrote. The manifest has a row a file. part_bytes: text a range has, about. cache: chunks whose ids a Python worker keeps, some 200 bytes each, twice at most.
     """
     spark, end = docs.sparkSession, end_id.to_bytes(4, "little")
     rows = id_and_text(docs).withColumn("h", F.xxhash64("text"))
@@ -177,7 +177,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
     bounds = spark.sparkContext.broadcast(_bounds(rows, parts))
 
     def tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = encoder(path, 300_000)
+        codec = encoder(path, cache)
         bits = bits_for(max(codec.vocab_size, end_id + 1))
         for batch in batches(it, size=4 << 20):
             doc_ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
