@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -19,12 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import BARE, PLAIN, WHITE, Generations, chunk_key, chunk_text, cut_at_spaces, tokenizer_path
+from .chunks import BARE, Generations, chunk_key, chunk_text, cut_at_spaces, tokenizer_path
 from .common import batches, id_and_text
 
-#: Fixed value: the pattern that splits text before merges are applied; white space is spelt out.
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 NEVER = 1 << 60
+#: Letters, then nothing but ASCII punctuation: a word of the pattern each.
+PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+#: Letters below are the same in every version of Unicode.
+LATIN = "\u0250"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -59,10 +62,10 @@ class TrieBpe:
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec.get("added_tokens", [])):
             raise ValueError("added tokens that strip or need word borders aren't supported")
-        import regex
+        from tokenizers import Tokenizer
 
-        self.words_of = regex.compile(PATTERN).findall
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.cut_words = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str  # its Unicode tables decide what a letter is
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.left: dict[int, list] = {}
         self.right: dict[int, list] = {}
         self.follows: dict[int, bool] = {}
@@ -156,21 +159,14 @@ class TrieBpe:
             before = word
 
     def _words(self, chunk: str) -> list[str]:
-        if self.special is None or "<|" not in chunk and not self.special.search(chunk):
-            return self.words_of(chunk)
-        return [w for part in self.special.split(chunk) if part for w in ([part] if part in self.added else self.words_of(part))]
+        parts = [chunk] if self.special is None else [p for p in self.special.split(chunk) if p]
+        return [w for p in parts for w in ([p] if p in self.added else [p[a:b] for _, (a, b) in self.cut_words(p)])]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """ids of each text as little-endian uint32."""
         if len(self.follows) > 500_000:
             self.follows.clear()
-        cut = [cut_at_spaces(t) for t in texts]
-        wanted = set().union(*cut)
-        self.chunks.turn(len(wanted))
-        if missing := self.chunks.missing(wanted):
-            self._learn(missing)
-        of = self.chunks.new.__getitem__
-        return [b"".join(map(of, c)) for c in cut]
+        return list(map(b"".join, self.chunks.of([cut_at_spaces(t) for t in texts], self._learn)))
 
     def _learn(self, missing: set) -> None:
         """A chunk's ids are its words'; a word is a chunk of its own, so both are known by the same key."""
@@ -178,7 +174,7 @@ class TrieBpe:
         split = []
         for c in missing:
             m = None if c[:1] == BARE else PLAIN.fullmatch(c.decode())
-            if m is not None and m[1].isalpha() and "<|" not in m[2]:  # letters, then nothing but punctuation: two words, as the pattern has it
+            if m is not None and (m[1].isascii() or max(m[1]) < LATIN and m[1].isalpha()) and "<|" not in m[2]:  # letters, then nothing but punctuation: two words, as the pattern has it
                 split.append((c, [m[1].encode(), BARE + m[2].encode()] if m[2] else [c]))
             else:
                 split.append((c, [chunk_key(w) for w in self._words(chunk_text(c))]))

@@ -15,8 +15,6 @@ import numpy as np
 #: The characters that \\s stands for in the tokenizers' patterns.
 WHITE = "\t-\r \x85\xa0  -     　"
 SPACED = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Letters, then nothing but ASCII punctuation: two pieces that no pattern of the two families joins.
-PLAIN = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 BULK = 100
 
 
@@ -35,6 +33,21 @@ class Generations:
             keys -= known
         return keys
 
+    def of(self, lists: list[list[bytes]], learn) -> list[list[bytes]]:
+        """The values of each list's keys; learn(keys) puts those of unknown ones into `new`."""
+        get = self.new.get
+        found = [list(map(get, keys)) for keys in lists]
+        unknown = {k for keys, values in zip(lists, found) if None in values for k, v in zip(keys, values) if v is None}
+        if unknown:
+            self.turn(len(unknown))
+            if missing := self.missing(unknown):
+                learn(missing)
+            known = self.new
+            for keys, values in zip(lists, found):
+                if None in values:
+                    values[:] = [known[k] if v is None else v for k, v in zip(keys, values)]
+        return found
+
     def turn(self, more: int) -> None:
         """Makes room for so many entries; only here entries go."""
         if len(self.new) + more > self.limit:
@@ -127,12 +140,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         cut = [cut_at_spaces(t) for t in texts] if self.keeps_space else [t.split() for t in texts]
-        wanted = set().union(*cut)
-        self.chunks.turn(len(wanted))
-        if missing := self.chunks.missing(wanted):
-            self._learn(missing)
-        of = self.chunks.new.__getitem__
-        return [b"".join(map(of, c)) for c in cut]
+        return list(map(b"".join, self.chunks.of(cut, self._learn)))
 
 
 @cache

@@ -22,7 +22,7 @@ from factloom.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
-PIECES = ["the", " the", "ation", " ", "  ", "\n", "\t ", "'s", "'ll", "é", "É", "İ", "ſ", "ß", "é", "日本", "😀‍", "²½", "19", "<|endoftext|>", "<|startoftext|>", "!!", "...", "\xa0", " ", "　", "\x1c", "aaaa", "_", "Σς"]
+PIECES = ["the", " the", "ation", " ", "  ", "\n", "\t ", "'s", "'ll", "é", "É", "İ", "ſ", "ß", "é", "日本", "😀‍", "²½", "19", "<|endoftext|>", "<|startoftext|>", "!!", "...", "\xa0", " ", "　", "\x1c", "aaaa", "_", "Σς", "\U000323b0", "ǆ", "⁂"]
 
 
 @pytest.fixture(scope="module")
