@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import BARE, Generations, chunk_key, chunk_text, cut_at_spaces, tokenizer_path
+from .chunks import BARE, Chunked, Generations, chunk_key, chunk_text, tokenizer_path
 from .common import batches, id_and_text
 
 NEVER = 1 << 60
@@ -38,8 +38,10 @@ def byte_alphabet() -> dict[str, int]:
     return out
 
 
-class TrieBpe:
-    """encode(words) and decode(ids) with a tokenizers file of the byte-level BPE kind."""
+class TrieBpe(Chunked):
+    """encode(texts) and decode(ids) with a tokenizers file of the byte-level BPE kind."""
+
+    keeps_space = True
 
     def __init__(self, path: str, limit: int = 300_000):
         with open(path, encoding="utf-8") as file:
@@ -162,14 +164,10 @@ class TrieBpe:
         parts = [chunk] if self.special is None else [p for p in self.special.split(chunk) if p]
         return [w for p in parts for w in ([p] if p in self.added else [p[a:b] for _, (a, b) in self.cut_words(p)])]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """ids of each text as little-endian uint32."""
-        if len(self.follows) > 500_000:
-            self.follows.clear()
-        return list(map(b"".join, self.chunks.of([cut_at_spaces(t) for t in texts], self._learn)))
-
     def _learn(self, missing: set) -> None:
         """A chunk's ids are its words'; a word is a chunk of its own, so both are known by the same key."""
+        if len(self.follows) > 500_000:
+            self.follows.clear()
         known = self.chunks.new
         split = []
         for c in missing:

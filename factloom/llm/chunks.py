@@ -11,6 +11,8 @@ import re
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The characters that \\s stands for in the tokenizers' patterns.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -33,19 +35,16 @@ class Generations:
             keys -= known
         return keys
 
-    def of(self, lists: list[list[bytes]], learn) -> list[list[bytes]]:
-        """The values of each list's keys; learn(keys) puts those of unknown ones into `new`."""
-        get = self.new.get
-        found = [list(map(get, keys)) for keys in lists]
-        unknown = {k for keys, values in zip(lists, found) if None in values for k, v in zip(keys, values) if v is None}
+    def values(self, keys: list[bytes], learn) -> list[bytes]:
+        """The value of each key; learn(keys) puts those of unknown ones into `new`."""
+        found = list(map(self.new.get, keys))
+        unknown = {k for k, v in zip(keys, found) if v is None}
         if unknown:
             self.turn(len(unknown))
             if missing := self.missing(unknown):
                 learn(missing)
             known = self.new
-            for keys, values in zip(lists, found):
-                if None in values:
-                    values[:] = [known[k] if v is None else v for k, v in zip(keys, values)]
+            found = [known[k] if v is None else v for k, v in zip(keys, found)]
         return found
 
     def turn(self, more: int) -> None:
@@ -58,21 +57,19 @@ class Generations:
 BARE = b"\xff"
 
 
-def cut_at_spaces(raw: bytes) -> list[bytes]:
-    """A text's chunks, each with the space before it left out (BARE stands there if there is none).
+def cut_slowly(raw: bytes) -> list[bytes]:
+    """A text's chunks, each with the space before it left out (BARE stands there if there is none)."""
+    return [chunk_key(c) for c in SPACED.findall(raw.decode())]
 
-    Where single spaces stand between other characters, they are the cuts; other texts are cut by SPACED.
-    """
-    if not raw:
-        return []
-    out = raw.split(b" ")
-    if b"" in out or b"\n " in raw or b"\t " in raw or b"\r " in raw or b"\x0b " in raw or b"\x0c " in raw or not raw.isascii() and any(w in raw for w in _WIDER):
-        out = [c.encode() for c in SPACED.findall(raw.decode())]
-        return [c[1:] if len(c) > 1 and c[0] == 32 else BARE + c for c in out]
-    out[0] = BARE + out[0]
-    return out
+
+def spaced_evenly(raw: bytes) -> bool:
+    """Do single spaces stand between other characters? Then they are the cuts."""
+    if raw[:1] == b" " or raw[-1:] == b" " or any(w in raw for w in _UNEVEN):
+        return False
+    return raw.isascii() or not any(w in raw for w in _WIDER)
 
 
+_UNEVEN = (b"  ", b"\n ", b"\t ", b"\r ", b"\x0b ", b"\x0c ")
 #: First bytes of the white space beyond ASCII (U+0085 and U+00A0, U+1680, U+2000 to U+205F, U+3000).
 _WIDER = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 
@@ -86,8 +83,50 @@ def chunk_key(text: str) -> bytes:
     return text[1:].encode() if len(text) > 1 and text[0] == " " else BARE + text.encode()
 
 
-class ChunkEncoder:
-    """ids of whole texts, as little-endian uint32 bytes. keeps_space: tokens keep white space (byte-level), else it is dropped."""
+class Chunked:
+    """Encodes whole texts by their chunks, of which each distinct one is looked up once a batch.
+
+    keeps_space: chunks are cut at single spaces and tokens keep them (byte-level); else ASCII white space is dropped. A
+    subclass learns the ids of unknown chunks.
+    """
+
+    keeps_space: bool
+    chunks: Generations
+
+    def _learn(self, missing: set) -> None:
+        raise NotImplementedError
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """ids of each text as little-endian uint32."""
+        if self.keeps_space:
+            even = [i for i, t in enumerate(texts) if t and spaced_evenly(t)]
+            lists = pc.split_pattern(pa.array([BARE + texts[i] for i in even], pa.binary()), b" ")
+        else:
+            even = [i for i, t in enumerate(texts) if t]
+            lists = pc.ascii_split_whitespace(pa.array([texts[i] for i in even], pa.binary()).cast(pa.string()))
+        out = [b""] * len(texts)
+        if len(even) < len(texts):
+            for i in set(range(len(texts))).difference(even):
+                if texts[i]:
+                    out[i] = b"".join(self.chunks.values(cut_slowly(texts[i]), self._learn))
+        if not even:
+            return out
+        coded = lists.flatten().dictionary_encode()
+        values = self.chunks.values(coded.dictionary.cast(pa.binary()).to_pylist(), self._learn)
+        pool, which = np.frombuffer(b"".join(values), "<u4"), coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        ends = np.cumsum(sizes[which])
+        total = int(ends[-1]) if len(ends) else 0
+        begins = np.cumsum(sizes) - sizes
+        raw = pool[np.repeat(begins[which] - ends + sizes[which], sizes[which]) + np.arange(total)].tobytes()
+        cuts = (4 * np.concatenate([[0], ends])[lists.offsets.to_numpy()]).tolist()
+        for i, a, b in zip(even, cuts, cuts[1:]):
+            out[i] = raw[a:b]
+        return out
+
+
+class ChunkEncoder(Chunked):
+    """The tokenizers library's ids."""
 
     def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -138,10 +177,6 @@ class ChunkEncoder:
             put.update([(c, raw[4 * i : 4 * j]) for c, i, j in zip(part, starts.tolist(), ends)])
         put.update(zip(odd, self._encode([text_of(c) for c in odd])))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [cut_at_spaces(t) for t in texts] if self.keeps_space else [t.split() for t in texts]
-        return list(map(b"".join, self.chunks.of(cut, self._learn)))
-
 
 @cache
 def encoder(path: str, limit: int) -> ChunkEncoder:

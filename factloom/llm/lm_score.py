@@ -37,7 +37,7 @@ ANSWER = "block long, k int, p int, totals binary"
 
 @cache
 def _codec() -> pa.Codec:
-    return pa.Codec("zstd", compression_level=1)
+    return pa.Codec("zstd", compression_level=6)
 
 
 def bodies(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
@@ -117,6 +117,15 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
+def pack_counts(x: np.ndarray) -> bytes:
+    """32-bit numbers byte plane by byte plane; most are small."""
+    return np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def requests(blocks: DataFrame, order: int, top_bits: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -127,7 +136,7 @@ def requests(blocks: DataFrame, order: int, top_bits: int) -> DataFrame:
                     edges = np.searchsorted(hashes, np.arange(1, 1 << top_bits, dtype=np.uint64) << np.uint64(64 - top_bits))
                     for p, (i, j) in enumerate(zip([0, *edges], [*edges, len(hashes)])):
                         if i < j:
-                            rows.append((p, b["block"], k, j - i, pack_sorted(hashes[i:j]), counts[i:j].astype("<u4").tobytes()))
+                            rows.append((p, b["block"], k, j - i, pack_sorted(hashes[i:j]), pack_counts(counts[i:j])))
                 if rows:
                     types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["p", "block", "k", "n", "hashes", "counts"])
@@ -141,11 +150,11 @@ def count_range(asked: pa.Table) -> pa.Table:
     for k in sorted(set(asked.column("k").to_pylist())):
         some = asked.filter(pa.compute.equal(asked.column("k"), k))
         lists = [unpack_sorted(x) for x in some.column("hashes").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in some.column("counts").to_pylist()])
+        counts = np.concatenate([unpack_counts(x) for x in some.column("counts").to_pylist()])
         _, which = np.unique(np.concatenate(lists), return_inverse=True)
         totals = np.minimum(np.bincount(which, counts), (1 << 32) - 1).astype("<u4")[which]
         cuts = np.cumsum([0, *map(len, lists)])
-        out += [(b, k, p, totals[i:j].tobytes()) for b, p, i, j in zip(some.column("block").to_pylist(), some.column("p").to_pylist(), cuts, cuts[1:])]
+        out += [(b, k, p, pack_counts(totals[i:j])) for b, p, i, j in zip(some.column("block").to_pylist(), some.column("p").to_pylist(), cuts, cuts[1:])]
     types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
     return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "k", "p", "totals"])
 
@@ -154,7 +163,7 @@ def score_block(body: dict, answers: pa.Table, order: int, words: int, least: in
     """(words, sum of log scores) of each document of a block."""
     grams = BlockGrams(body["sizes"], body["raw_size"], body["body"], order)
     rows = sorted(zip(answers.column("k").to_pylist(), answers.column("p").to_pylist(), answers.column("totals").to_pylist()))
-    totals = [np.frombuffer(b"".join(t for k2, _, t in rows if k2 == k), "<u4").astype(float) for k in range(1, order + 1)]
+    totals = [np.concatenate([np.zeros(0), *(unpack_counts(t) for k2, _, t in rows if k2 == k)]) for k in range(1, order + 1)]
     n = len(grams.document)
     seen = totals[0][grams.which[0]] if n else np.zeros(0)  # count of the (k-1)-gram that ends at each word
     logs = np.log(seen / max(words, 1)) if n else seen
