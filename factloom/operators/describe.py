@@ -14,6 +14,18 @@ from .reads import rows
 #: Modelled cost of a lookup and of a row by source, and of a filter a row. They rank sources within one report and say nothing about Spark's time.
 COSTS = {"lookup": 50.0, "index": 5.15, "columnar": 0.91, "row": 1.54, "filter": 3.0}
 
+#: Reasons against a source.
+REASONS = {
+    "force_scan": "force_scan",
+    "force_row_scan": "force_row_scan",
+    "subject": "query names no subject",
+    "object": "query names no object",
+    "predicate": "query names no predicate",
+    "observed": "query has no observed_to bound",
+    "as_of": "index describes current state now; query is as-of",
+    "shape": "index holds only Active open-ended rows; query is not current-shaped",
+}
+
 
 def describe_predicates(tables: Tables) -> DataFrame:
     """id, name, current_rows of every predicate, zeros included."""
@@ -53,7 +65,7 @@ def explain_query(query: Query, tables: Tables) -> dict:
         considered.append({"source": source, "rows": n, "cost": cost})
 
     def rejected(source: str, why: str) -> None:
-        considered.append({"source": source, "rejected_because": why})
+        considered.append({"source": source, "rejected_because": REASONS[why]})
 
     def index(source: str, n: int) -> None:
         usable(source, n, COSTS["lookup"] + COSTS["index"] * n)
@@ -61,19 +73,19 @@ def explain_query(query: Query, tables: Tables) -> dict:
     if query.force_scan:
         rejected("subject_index", "force_scan")
     elif subject is None:
-        rejected("subject_index", "query names no subject")
+        rejected("subject_index", "subject")
     else:
         index("subject_index", found.subject)
-        index("observed_time_index", found.observed) if bounds else rejected("observed_time_index", "query has no observed_to bound")
+        index("observed_time_index", found.observed) if bounds else rejected("observed_time_index", "observed")
     for source, named, n in (("object_current_index", object, found.object), ("predicate_current_index", query.predicate, found.predicate)):
         if query.force_scan:
             rejected(source, "force_scan")
         elif named is None:
-            rejected(source, f"query names no {source.split('_')[0]}")
+            rejected(source, source.split("_")[0])
         elif query.is_as_of:
-            rejected(source, "index describes current state now; query is as-of")
+            rejected(source, "as_of")
         elif not query.is_current_shaped:
-            rejected(source, "index holds only Active open-ended rows; query is not current-shaped")
+            rejected(source, "shape")
         else:
             index(source, n)
     rejected("columnar_scan", "force_row_scan") if query.force_row_scan else usable("columnar_scan", found.total, COSTS["columnar"] * found.total)

@@ -1,8 +1,9 @@
 """The store: append-only tables of committed batches below a root folder, with one writer.
 
-Every commit writes a Parquet file and then swaps the manifest, which lists the files that count. A batch is there as a whole once
-the manifest names it; a crash before that leaves a file that nothing lists, and burns no identifier. Reads go through Spark,
-over exactly the listed files, which a reader pins when it opens.
+Every commit writes a Parquet file under a hidden name, swaps the manifest, which lists the files that count, and gives the file its
+name. A batch is there as a whole once the manifest names it; a crash before that leaves a hidden file that nothing lists, and
+burns no identifier; after a crash behind it the next writer finishes the renaming. Reads go through Spark, over exactly the
+listed files, which a reader pins when it opens; streams see committed files only.
 """
 
 from __future__ import annotations
@@ -66,6 +67,8 @@ class Store:
         else:
             self.manifest = {"format": FORMAT, "version": 0, "next": {"assertion": 1, "entity": 1, "predicate": 1, "seq": 1}, "files": {t: [] for t in TABLES}, "snapshots": []}
             self._swap(self.manifest)
+        if not read_only:
+            self._settle(e for entries in self.manifest["files"].values() for e in entries[-1:])
 
     def close(self) -> None:
         if self._lock is not None:
@@ -108,13 +111,24 @@ class Store:
             entry = {"file": f"{table}/batch-{new['version']:09d}.parquet", "rows": len(rows)}
             if table == "log":
                 entry |= {"first": rows[0]["id"], "last": rows[-1]["id"]}
-            pq.write_table(pa.Table.from_pylist(rows, schema=_ARROW[table]), self.root / entry["file"])
-            _sync(self.root / entry["file"])
+            pq.write_table(pa.Table.from_pylist(rows, schema=_ARROW[table]), self._pending(entry["file"]))
+            _sync(self._pending(entry["file"]))
             _sync(folder)
             new["files"][table].append(entry)
         for counter, by in advance.items():
             new["next"][counter] += by
         self._swap(new)
+        self._settle([new["files"][table][-1] for table in batches if new["files"][table]])
+
+    def _pending(self, file: str) -> Path:
+        return self.root / posixpath.dirname(file) / f"_pending-{posixpath.basename(file)}"
+
+    def _settle(self, entries: Iterable[dict]) -> None:
+        """Gives committed files their names."""
+        for entry in entries:
+            if not (self.root / entry["file"]).exists() and self._pending(entry["file"]).exists():
+                os.replace(self._pending(entry["file"]), self.root / entry["file"])
+                _sync((self.root / entry["file"]).parent)
 
     def load_log(self, rows: DataFrame) -> int:
         """Bulk load of a log whose identifiers continue this one's without gaps; returns how many rows. Spark writes the files."""
@@ -162,8 +176,8 @@ class Store:
         return self.root / posixpath.dirname(file) / "archive" / posixpath.basename(file)
 
     def _uri(self, file: str) -> str:
-        path = self.root / file
-        return f"file://{(path if path.exists() or not self._archived(file).exists() else self._archived(file)).resolve()}"
+        places = [self.root / file, self._archived(file), self._pending(file)]
+        return f"file://{next((p for p in places if p.exists()), places[0]).resolve()}"
 
     def table(self, name: str, files: list[dict] | None = None) -> DataFrame:
         """Exactly the listed files, hot or archived."""

@@ -75,6 +75,8 @@ def test_script(kernel):
     assert corpus["assertion_count"] == 8 and corpus["status_counts"] == {"Active": 4, "Superseded": 1, "Retracted": 1, "Retraction": 1, "Hypothesis": 1} and corpus["entity_count"] == 4
     plan = kernel.explain_query(Query(subject=1, statuses=("Active",), open_ended_only=True, predicate=1))
     assert plan["chosen"] == "columnar_scan" and [c["source"] for c in plan["considered"]] == ["subject_index", "observed_time_index", "object_current_index", "predicate_current_index", "columnar_scan", "row_scan"]
+    why = {c["source"]: c.get("rejected_because") for c in kernel.explain_query(Query(predicate=1, as_of_commit=3, force_row_scan=True))["considered"]}
+    assert why == {"subject_index": "query names no subject", "object_current_index": "query names no object", "predicate_current_index": "index describes current state now; query is as-of", "columnar_scan": "force_row_scan", "row_scan": None}
     before = ids(kernel.query(Query()).assertions)
     kernel.archive_segments_before(5)
     assert (kernel.store.root / "log" / "archive").exists() and ids(kernel.query(Query()).assertions) == before
@@ -132,6 +134,10 @@ def test_store(spark, tmp_path):
         assert k.store.load_log(more) == 3 and ids(k.query(Query()).assertions) == [1, 2, 3, 4, 5, 6]
     with Kernel(spark, tmp_path / "s") as k:
         assert k.commit(1, 1, 4, 0, 0, 1, 1.0) == 7
+    last = tmp_path / "s" / k.store.manifest["files"]["log"][-1]["file"]
+    last.rename(last.with_name(f"_pending-{last.name}"))  # a crash behind the manifest
+    with Kernel(spark, tmp_path / "s") as k:
+        assert last.exists() and len(k.query(Query()).assertions) == 7
 
 
 def test_spill(kernel, tmp_path):
