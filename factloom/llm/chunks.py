@@ -64,12 +64,23 @@ def cut_slowly(raw: bytes) -> list[bytes]:
 
 def spaced_evenly(raw: bytes) -> bool:
     """Do single spaces stand between other characters? Then they are the cuts."""
-    if raw[:1] == b" " or raw[-1:] == b" " or any(w in raw for w in _UNEVEN):
+    if raw[:1] == b" " or raw[-1:] == b" " or b"  " in raw or b"\n " in raw or b"\t " in raw or b"\r " in raw or b"\x0b " in raw or b"\x0c " in raw:
         return False
     return raw.isascii() or not any(w in raw for w in _WIDER)
 
 
-_UNEVEN = (b"  ", b"\n ", b"\t ", b"\r ", b"\x0b ", b"\x0c ")
+#: ASCII punctuation but for what opens an added token.
+PUNCTUATION = b"!\"#$%&'()*+,-./:;=>?@[\\]^_`{}~"
+
+
+def word_of(chunk: bytes) -> bytes:
+    """The chunk without the punctuation that ends it, if a letter that nothing changes stands before; no pattern joins the two."""
+    word = chunk.rstrip(PUNCTUATION)
+    if word[-1:].isalpha() or word[-2:-1] == b"\xc3" and word[-1:] not in (b"\x97", b"\xb7"):
+        return word
+    return chunk
+
+
 #: First bytes of the white space beyond ASCII (U+0085 and U+00A0, U+1680, U+2000 to U+205F, U+3000).
 _WIDER = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
 
@@ -114,12 +125,13 @@ class Chunked:
         coded = lists.flatten().dictionary_encode()
         values = self.chunks.values(coded.dictionary.cast(pa.binary()).to_pylist(), self._learn)
         pool, which = np.frombuffer(b"".join(values), "<u4"), coded.indices.to_numpy()
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        ends = np.cumsum(sizes[which])
+        sizes = np.fromiter(map(len, values), np.int32, len(values)) // 4
+        each = sizes[which]
+        ends = np.cumsum(each, dtype=np.int32)
         total = int(ends[-1]) if len(ends) else 0
-        begins = np.cumsum(sizes) - sizes
-        raw = pool[np.repeat(begins[which] - ends + sizes[which], sizes[which]) + np.arange(total)].tobytes()
-        cuts = (4 * np.concatenate([[0], ends])[lists.offsets.to_numpy()]).tolist()
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
+        raw = pool[np.repeat(begins[which] - ends + each, each) + np.arange(total, dtype=np.int32)].tobytes()
+        cuts = (4 * np.concatenate([[0], ends]).astype(np.int64)[lists.offsets.to_numpy()]).tolist()
         for i, a, b in zip(even, cuts, cuts[1:]):
             out[i] = raw[a:b]
         return out
@@ -160,6 +172,13 @@ class ChunkEncoder(Chunked):
         else:
             plain = [c for c in missing if b"<|" not in c and b"\x01" not in c]
         odd = list(missing.difference(plain))
+        bare = BARE if self.keeps_space else b""
+        split = [(c, w, bare + c[len(w) :]) for c in plain if len(w := word_of(c)) < len(c)]
+        if split:
+            words, tails = {w for _, w, _ in split}, {t for _, _, t in split}
+            new = self.chunks.missing(words | tails)
+            odd += new.intersection(tails).difference(odd)
+            plain = list(set(plain).difference([c for c, _, _ in split]).union(new.difference(tails)))
         parts = [plain[i : i + BULK] for i in range(0, len(plain), BULK)]
         joined = [" " + b" ".join(p).decode() if self.keeps_space else b" \x01 ".join(p).decode() for p in parts]
         for part, e in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
@@ -176,6 +195,7 @@ class ChunkEncoder(Chunked):
             raw = ids.tobytes()
             put.update([(c, raw[4 * i : 4 * j]) for c, i, j in zip(part, starts.tolist(), ends)])
         put.update(zip(odd, self._encode([text_of(c) for c in odd])))
+        put.update([(c, put[w] + put[t]) for c, w, t in split])
 
 
 @cache

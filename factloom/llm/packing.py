@@ -43,7 +43,7 @@ def pack(docs: DataFrame, path: str, longest: int = 4096, end_id: int = 2, with_
         encode = encoder(path, cache).encode
         sequence = TaskContext.get().partitionId() << 40
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-        for batch in batches(it, size=4 << 20):
+        for batch in batches(it, size=8 << 20):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).cast(pa.binary()).to_pylist())):
                 ids += end

@@ -179,7 +179,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
     def tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(path, cache)
         bits = bits_for(max(codec.vocab_size, end_id + 1))
-        for batch in batches(it, size=4 << 20):
+        for batch in batches(it, size=8 << 20):
             doc_ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             ids = codec.encode(batch.column(1).cast(pa.binary()).to_pylist())
             packed = [pack_bits(np.frombuffer(x + end, "<u4"), bits) for x in ids]
