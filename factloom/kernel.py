@@ -49,10 +49,6 @@ class Provenance:
     method: str
 
 
-def _value_key(row) -> Value | None:
-    return Value.from_row(row)
-
-
 class Kernel:
     """All public operations. Reads see what is committed when they start; the clock is never read."""
 
@@ -153,7 +149,7 @@ class Kernel:
             for f in ("kind", *FIELDS):
                 same = same & wanted[f].eqNullSafe(held[f])
             for r in held.join(F.broadcast(wanted), same, "left_semi").collect():  # at most two values an entry of a batch
-                known[_value_key(r)] = r["id"]
+                known[Value.from_row(r)] = r["id"]
         out, new, first = [], [], self.store.next("entity")
         for v in values:
             id = None if v.is_nan else known.get(v)

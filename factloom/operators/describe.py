@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import is_current
-from ..plans.compile import Tables
+from ..plans.compile import Tables, page
 from ..plans.ir import Query
 from ..schema import STATUS_NAMES
 from .reads import rows
@@ -91,8 +91,6 @@ def explain_query(query: Query, tables: Tables) -> dict:
     rejected("columnar_scan", "force_row_scan") if query.force_row_scan else usable("columnar_scan", found.total, COSTS["columnar"] * found.total)
     usable("row_scan", found.total, COSTS["row"] * found.total)
     best = min((c for c in considered if "cost" in c), key=lambda c: c["cost"])
-    from ..plans.compile import page
-
     per_row = query.filter is not None
     return {
         "chosen": best["source"], "estimated_rows": best["rows"], "estimated_cost": best["cost"] + per_row * COSTS["filter"] * best["rows"],

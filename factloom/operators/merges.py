@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpointed
+
 
 def redirects(merges: DataFrame) -> DataFrame:
     return merges.groupBy("absorbed").agg(F.max_by("surviving", "seq").alias("surviving"))
@@ -29,10 +31,7 @@ def resolve_all(merges: DataFrame, rounds: int = 64) -> DataFrame:
     Each round joins the redirects with themselves, so a chain of n takes log2(n) rounds.
     """
     spark = merges.sparkSession
-    now = redirects(merges)
-    from ..sources.scratch import checkpointed
-
-    now = checkpointed(spark, now)
+    now = checkpointed(spark, redirects(merges))
     for _ in range(rounds):
         step = now.alias("a").join(now.alias("b"), F.col("a.surviving") == F.col("b.absorbed"), "left")
         moved = step.select("a.absorbed", F.coalesce("b.surviving", "a.surviving").alias("surviving"), F.col("b.absorbed").isNotNull().alias("moved")).where("absorbed <> surviving")
@@ -40,5 +39,4 @@ def resolve_all(merges: DataFrame, rounds: int = 64) -> DataFrame:
         now = moved.drop("moved")
         if moved.where("moved").isEmpty():
             break
-    ends = now.join(now.select(F.col("absorbed").alias("again")), F.col("surviving") == F.col("again"), "left_anti")
-    return ends
+    return now.join(now.select(F.col("absorbed").alias("again")), F.col("surviving") == F.col("again"), "left_anti")

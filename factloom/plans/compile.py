@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import bucket, covers, status_name
-from ..functions.values import KINDS, Value, field, literal, numeric
+from ..functions.values import Value, field, literal, numeric
+from ..operators.merges import resolve
 from ..schema import ASSERTION, MAX_GROUPS, MAX_RESULT_ROWS, STATUS_NAMES, BudgetExceeded
 from .cursor import Cursor
 from .ir import AggregateQuery, Filter, GroupBy, Query
@@ -27,11 +28,7 @@ class Tables:
     payloads: DataFrame | None = None
 
     def resolve(self, entity: int | None) -> int | None:
-        if entity is None or self.merges is None:
-            return entity
-        from ..operators.merges import resolve
-
-        return resolve(self.merges, entity)
+        return entity if entity is None or self.merges is None else resolve(self.merges, entity)
 
 
 _COMPARE = {"eq": "__eq__", "ne": "__ne__", "lt": "__lt__", "lte": "__le__", "gt": "__gt__", "gte": "__ge__"}
@@ -153,8 +150,7 @@ def page(query: Query, tables: Tables, more: int = 0) -> DataFrame:
     rows = rows.orderBy(*ordering(query))
     if query.offset:
         rows = rows.offset(min(query.offset, (1 << 31) - 1))
-    rows = shown(rows.limit(page_size(query) + more))
-    return rows
+    return shown(rows.limit(page_size(query) + more))
 
 
 def with_names(rows: DataFrame, tables: Tables) -> DataFrame:
@@ -231,7 +227,6 @@ def run_aggregate(query: AggregateQuery, tables: Tables) -> list[dict]:
     if len(found) > most:
         raise BudgetExceeded("max_groups", most, most + 1)
     kinds = ["text" if g.field == "status" else "timestamp" if g.field.endswith("_bucket") else "int64" for g in query.group_by]
-    assert set(kinds) <= set(KINDS)
     return [
         {"key": [Value(k, r[f"key_{i}"]) for i, k in enumerate(kinds)], "row_count": r["row_count"], "values": [r[f"value_{i}"] for i in range(len(query.aggregations))]}
         for r in found
