@@ -28,11 +28,15 @@ class Generations:
 
     def missing(self, keys: set) -> set:
         """Those of the keys that aren't known; the others are in `new` afterwards, until the next turn."""
-        keys = keys.difference(self.new)
+        return self._promoted(keys.difference(self.new))
+
+    def _promoted(self, keys: set) -> set:
+        """Keys that aren't in `new`, without those that `old` has, which move."""
         if self.old:
-            known, old = keys.intersection(self.old), self.old
+            old = self.old
+            known = [k for k in keys if k in old]
             self.new.update([(k, old[k]) for k in known])
-            keys -= known
+            keys = keys.difference(known)
         return keys
 
     def values(self, keys: list[bytes], learn) -> list[bytes]:
@@ -41,7 +45,7 @@ class Generations:
         unknown = {k for k, v in zip(keys, found) if v is None}
         if unknown:
             self.turn(len(unknown))
-            if missing := self.missing(unknown):
+            if missing := self._promoted(unknown):
                 learn(missing)
             known = self.new
             found = [known[k] if v is None else v for k, v in zip(keys, found)]
@@ -150,8 +154,8 @@ class ChunkEncoder(Chunked):
         vocab = self.tokenizer.get_vocab()
         self.vocab_size = max(vocab.values()) + 1
         self.keeps_space = not any(t.endswith("</w>") for t in vocab)
-        self.spaced = np.zeros(self.vocab_size, bool)
-        self.spaced[[i for t, i in vocab.items() if t[0] == "Ġ"]] = self.keeps_space
+        self.edge = np.zeros(self.vocab_size, bool)  # begins with a space, or ends a word
+        self.edge[[i for t, i in vocab.items() if (t[0] == "Ġ" if self.keeps_space else t.endswith("</w>"))]] = True
         lone = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.border = lone[0] if len(lone) == 1 else -1
         if any(re.search(f"[{WHITE}]", t.content) or not t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values()):
@@ -179,21 +183,28 @@ class ChunkEncoder(Chunked):
             new = self.chunks.missing(words | tails)
             odd += new.intersection(tails).difference(odd)
             plain = list(set(plain).difference([c for c, _, _ in split]).union(new.difference(tails)))
-        parts = [plain[i : i + BULK] for i in range(0, len(plain), BULK)]
-        joined = [" " + b" ".join(p).decode() if self.keeps_space else b" \x01 ".join(p).decode() for p in parts]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            if self.keeps_space:
-                starts = np.flatnonzero(self.spaced[ids])
-                ends = [*starts[1:].tolist(), len(ids)]
-            else:
-                at = np.flatnonzero(ids == self.border)
-                starts, ends = np.concatenate([[0], at + 1]), [*at.tolist(), len(ids)]
-            if len(starts) != len(part):  # every chunk shows one beginning at least, so equal numbers mean that each shows one
-                odd += part
-                continue
-            raw = ids.tobytes()
-            put.update([(c, raw[4 * i : 4 * j]) for c, i, j in zip(part, starts.tolist(), ends)])
+        letters = [] if self.keeps_space else [c for c in plain if c.isalpha()]  # ASCII letters alone: one word each
+        if letters:
+            plain = list(set(plain).difference(letters))
+        for chunks, between in ((plain, b" " if self.keeps_space else b" \x01 "), (letters, b" ")):
+            parts = [chunks[i : i + BULK] for i in range(0, len(chunks), BULK)]
+            joined = [((b" " if self.keeps_space else b"") + between.join(p)).decode() for p in parts]
+            for part, e in zip(parts, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                if self.keeps_space:
+                    starts = np.flatnonzero(self.edge[ids])
+                    ends = [*starts[1:].tolist(), len(ids)]
+                elif chunks is letters:
+                    ends = (np.flatnonzero(self.edge[ids]) + 1).tolist()
+                    starts = np.array([0, *ends[:-1]])
+                else:
+                    at = np.flatnonzero(ids == self.border)
+                    starts, ends = np.concatenate([[0], at + 1]), [*at.tolist(), len(ids)]
+                if len(starts) != len(part):  # every chunk shows one edge at least, so equal numbers mean that each shows one
+                    odd += part
+                    continue
+                raw = ids.tobytes()
+                put.update([(c, raw[4 * i : 4 * j]) for c, i, j in zip(part, starts.tolist(), ends)])
         put.update(zip(odd, self._encode([text_of(c) for c in odd])))
         put.update([(c, put[w] + put[t]) for c, w, t in split])
 

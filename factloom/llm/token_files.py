@@ -151,29 +151,35 @@ def place(uri: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 def _bounds(rows: DataFrame, parts: int, each: int = 64) -> list[tuple]:
-    """Upper keys (doc_id, h) of ranges that hold about as many rows, from a sample of `each` keys a range picked by their hash."""
+    """Upper keys (doc_id, h) of ranges that hold about as many rows, from a sample of `each` keys a range picked by their hash.
+
+    Identifiers alone are read, unless one is so frequent that it fills a range: then the texts' hashes split it.
+    """
     if parts < 2:
         return []
-    picked = rows.select("doc_id", "h").orderBy(F.xxhash64("doc_id", "h")).limit(each * parts).collect()
-    keys = sorted((LOWEST if r.doc_id is None else r.doc_id, r.h) for r in picked)
-    return [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+    for names in (["doc_id"], ["doc_id", "h"]):
+        picked = rows.select(*names).orderBy(F.xxhash64(*names)).limit(each * parts).collect()
+        keys = sorted((LOWEST if r.doc_id is None else r.doc_id, r.h if "h" in names else LOWEST) for r in picked)
+        out = [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+        if len(set(out)) == len(out) or len(keys) <= parts:
+            break
+    return out
 
 
 LOWEST = -(1 << 63)
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block: int = 1 << 14, file_ids: int = 128 << 20, part_bytes: int = 32 << 20, cache: int = 600_000) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block: int = 1 << 14, file_ids: int = 128 << 20, part_rows: int = 20_000, cache: int = 600_000) -> DataFrame:
     """Writes docs (doc_id, text) in ascending doc_id order to files below folder and returns the manifest: file, documents, n_ids, base.
 
     Texts are encoded where they are read; what is dealt out, by ranges of (doc_id, a hash of the text), are packed ids. So a repeated
     identifier doesn't land in one task; a null identifier comes first, and rows that repeat one are ordered by that hash. Null and
     empty texts are the end id alone. Each file is written under another name and moved into place, so a task that runs again replaces
-    what it wrote. The manifest has a row a file. part_bytes: text a range has, about. cache: chunks whose ids a Python worker keeps, some 200 bytes each, twice at most.
+    what it wrote. The manifest has a row a file. part_rows: documents of a range, about. cache: chunks whose ids a Python worker keeps, some 200 bytes each, twice at most.
     """
     spark, end = docs.sparkSession, end_id.to_bytes(4, "little")
     rows = id_and_text(docs).withColumn("h", F.xxhash64("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // part_rows))
     bounds = spark.sparkContext.broadcast(_bounds(rows, parts))
 
     def tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,16 +205,21 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
             fs.move(aside, posixpath.join(base, name))
             made.append((part, len(made), name, len(writer.doc_ids), writer.n_ids))
 
-        for batch in it:
-            for own, doc_id, n, packed, bits in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        for batch in batches(it, size=4 << 20, column="packed"):
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            if bits := columns[4][0] if len(set(columns[4])) == 1 and columns[4][0] == 16 else 0:  # whole batches at once
+                wide = np.frombuffer(b"".join(columns[3]), "<u2").astype("<u4").tobytes()
+                ends = np.cumsum([0, *columns[2]]).tolist()
+                columns[3] = [wide[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
+            for own, doc_id, n, packed, width in zip(*columns):
                 if writer is not None and (own != part or writer.n_ids >= file_ids):
                     close()
                     writer = None
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     aside = posixpath.join(base, f".{own:06d}-{uuid.uuid4().hex}")
-                    writer, part = TokenWriter(fs.open_output_stream(aside), bits, block), own
-                writer.add(doc_id, unpack_bits(packed, bits, n).astype("<u4").tobytes())
+                    writer, part = TokenWriter(fs.open_output_stream(aside), width, block), own
+                writer.add(doc_id, packed if bits else unpack_bits(packed, width, n).astype("<u4").tobytes())
         if writer is not None:
             close()
         if made:
