@@ -194,7 +194,8 @@ def drop_copies(docs: DataFrame, keep: str = "smallest", **options) -> DataFrame
     again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     gone = groups.where(~again).select(F.col("doc_id").alias("__gone_id"), F.col("digest").alias("__gone"))
     own = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    kept = docs.withColumn("__digest", own).join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone")), "left_anti")
+    # the same join at every size: a broadcast of what goes would end where it grows too large
+    kept = docs.withColumn("__digest", own).join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone")), "left_anti")
     if not groups.where(again).isEmpty():
         kept = kept.dropDuplicates(["doc_id", "__digest"])
     return kept.drop("__digest")

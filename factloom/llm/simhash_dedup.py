@@ -95,7 +95,7 @@ def near_groups(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
 def drop_near_copies(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
     """docs, all columns, with the row of the smallest identifier of each component. Rows that repeat an identifier stay or go together."""
     gone = written(near_groups(docs, words, most).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")), "near-copies")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
