@@ -43,7 +43,7 @@ class TrieBpe(Chunked):
 
     keeps_space = True
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 800_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
