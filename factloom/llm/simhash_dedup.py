@@ -13,6 +13,7 @@ however many documents there are, and only distinct fingerprints enter: exact gr
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,15 +45,18 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (long) of each row; null text counts as empty."""
+def fingerprints(docs: DataFrame, words: int = 3, digests: bool = False) -> DataFrame:
+    """doc_id and fp (long) of each row, with digests its text's SHA-256 in hexadecimal too; null text counts as empty."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
-            fps = np.array([fingerprint(t, words) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            columns = [batch.column(0), pa.array(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))]
+            if digests:
+                columns.append(pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "digest"][: len(columns)])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long" + ", digest string" * digests)
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -77,6 +81,13 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
     return x.join(y, "key").where(F.expr(f"a < b and bit_count(a ^ b) <= {int(most)}")).select("a", "b").distinct()
 
 
+def rooted(marked: DataFrame, most: int = 2) -> DataFrame:
+    """fp, least (its smallest identifier) and root (the same for all of a component) of each distinct fingerprint of marked (doc_id, fp)."""
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    roots = components(links(distinct.select("fp"), most))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
     """doc_id, fp and component_id (smallest identifier reachable) of each row of docs.
 
@@ -84,18 +95,34 @@ def near_groups(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
     Repeated rows are members like others. Empty table: empty result.
     """
     marked = written(fingerprints(docs, words), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), most))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(names, "root").select("fp", "component_id"), "components")
+    found = rooted(marked, most)
+    names = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(found.join(names, "root").select("fp", "component_id"), "components")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_but_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs, all columns, with one row of each group: that of the smallest identifier (null last), then of the smallest digest.
+
+    groups: doc_id, digest (hexadecimal SHA-256 of the text, null as the empty one) and root of each row of docs. Rows go by identifier and text, so
+    that an identifier that other texts share takes none of them along.
+    """
+    rows = written(groups.groupBy("doc_id", "digest", "root").agg(F.count(F.lit(1)).alias("n")), "near-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    gone = rows.join(first, "root").where("not (doc_id <=> first.doc_id and digest = first.digest)")
+    gone = written(gone.select(F.col("doc_id").alias("__gone_id"), F.col("digest").alias("__gone")), "near-copies")
+    own = docs.withColumn("__digest", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    kept = own.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone")), "left_anti")
+    if not rows.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__digest"])
+    return kept.drop("__digest")
+
+
 def drop_near_copies(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
-    """docs, all columns, with the row of the smallest identifier of each component. Rows that repeat an identifier stay or go together."""
-    gone = written(near_groups(docs, words, most).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")), "near-copies")
-    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """docs, all columns, with one row of each component: that of the smallest identifier."""
+    marked = written(fingerprints(docs, words, digests=True), "fingerprints")
+    return drop_but_one(docs, marked.join(rooted(marked, most), "fp"))
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
