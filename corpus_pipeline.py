@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import exact_dedup, packing, quality, secrets, simhash_dedup
+from factloom.llm import exact_dedup, packing, quality, secrets, similar
 from factloom.llm.chunks import tokenizer_path
 from factloom.llm.common import written
 
@@ -25,8 +25,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id stays."""
-    return simhash_dedup.drop_near_copies(docs)
+    """Of each group of near-duplicates, texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, the row with the smallest doc_id stays."""
+    return similar.drop_similar(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
