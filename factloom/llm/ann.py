@@ -108,8 +108,8 @@ class AdditiveIndex:
             return
         sample = self.rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).toArrow()
         self.codebooks = fit(matrix(sample.column("v").combine_chunks(), self.dim), books, size)
-        # of equal vectors only the smallest identifiers can be answers; one more, as a query leaves out its own
-        first = self.rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= answers + 1)
+        # of equal vectors only the smallest identifiers can be answers; one more, as a query leaves out its own; repeated rows take no places
+        first = self.rows.withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= answers + 1)
         distinct = first.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
         held = self.spark.sparkContext.broadcast(self.codebooks)
         dim = self.dim
