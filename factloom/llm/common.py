@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -37,15 +39,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where it is unset, and only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         kept = spark.sparkContext.getCheckpointDir()
         if kept:
             root = kept.rsplit("/", 1)[0]
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             root = "file://" + tempfile.mkdtemp(prefix="factloom-")
             spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -104,9 +108,65 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 
 def buffer_and_offsets(column: pa.Array):
     """All texts of a batch as one array of bytes, and where each starts (one entry more than texts)."""
-    import numpy as np
-
     column = pa.concat_arrays([column.cast(pa.large_binary()).fill_null(b"")])
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] is not None and offsets[-1] else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+#: Bits of a filter, at most: 32 MB. Beyond some 20 million values more passes the filter than has to; what passes is joined exactly in any case.
+MOST_BITS = 1 << 28
+
+
+def _positions(values: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two filter positions of each value."""
+    x = values.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    return [((x >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 32)]
+
+
+def filter_of(rows: DataFrame, column: str) -> np.ndarray:
+    """Bloom filter over a column of longs (null as -1): 12 bits a value or more, MOST_BITS at most. Words are merged by the executors before the driver gets them."""
+    bits = min(MOST_BITS, 1 << max(15, math.ceil(math.log2(12 * max(1, rows.count())))))
+
+    def words(it):
+        for batch in it:
+            values = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+            for at in _positions(values, bits):
+                yield pa.RecordBatch.from_arrays([pa.array(at >> 5, pa.int64()), pa.array(1 << (at & 31), pa.int64())], names=["w", "b"])
+
+    found = rows.select(column).mapInArrow(words, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits >> 5, np.uint32)
+    out[found.column("w").to_numpy()] = found.column("b").to_numpy().astype(np.uint32)
+    return out
+
+
+def may_hold(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values the filter lets through."""
+    ok = np.ones(len(values), bool)
+    for at in _positions(values, len(words) << 5):
+        ok &= (words[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
+    return ok
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, or name_1, name_2 and so on where a column has it."""
+    taken, n, out = {c.lower() for c in columns}, 0, name
+    while out.lower() in taken:
+        n += 1
+        out = f"{name}_{n}"
+    return out
+
+
+def join_with_hot(rows: DataFrame, found: DataFrame, key: str, weights: DataFrame, share: int = 200) -> DataFrame:
+    """rows joined with found, which has one row a key, so that no frequent key meets in one task.
+
+    weights: key, n (how many rows have it). Keys with more than one in `share` of all rows, fewer than `share` therefore, are broadcast with what was found;
+    the others are joined by key, as all are where there are fewer than 1000 rows a share.
+    """
+    all_of = weights.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    if (all_of.most or 0) * share <= (all_of.n or 0) or all_of.n < 1000 * share:  # few rows are no load for one task
+        return rows.join(found, key)
+    hot = weights.where(F.col("n") * share > all_of.n).select(key)
+    some = F.broadcast(found.join(F.broadcast(hot), key, "left_semi"))
+    return rows.join(some, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(found, key))

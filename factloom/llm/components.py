@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_root, written
+from .common import join_with_hot, shared_root, written
 
 
 def forest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,8 +49,10 @@ def forest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _star(links: DataFrame) -> DataFrame:
     """links (a, b), a > b. Large star: every larger neighbour of a node goes to its smallest neighbour; small star: every smaller one, and the node."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    least = written(least, "least")
+    # a component's centre has a link to every member: it must not meet them all in one task
+    large = join_with_hot(both, least.select("a", "m"), "a", least.select("a", "n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
     low = large.groupBy("a").agg(F.min("b").alias("m"))
     small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
     return small.where("a > b").distinct()

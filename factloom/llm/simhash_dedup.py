@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, id_and_text, written
+from .common import batches, free_name, id_and_text, join_with_hot, written
 from .components import components
 
 VARIANTS = 70
-CHUNK = 1 << 15
+CHUNK = 255  # rows whose bits a byte can count
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -41,7 +41,7 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, n, CHUNK):
         bits = np.unpackbits(hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -82,10 +82,10 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
 
 
 def rooted(marked: DataFrame, most: int = 2) -> DataFrame:
-    """fp, least (its smallest identifier) and root (the same for all of a component) of each distinct fingerprint of marked (doc_id, fp)."""
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    """fp, n (its rows), least (its smallest identifier) and root (the same for all of a component) of each distinct fingerprint of marked (doc_id, fp)."""
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), most))
-    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def near_groups(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
@@ -95,10 +95,10 @@ def near_groups(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:
     Repeated rows are members like others. Empty table: empty result.
     """
     marked = written(fingerprints(docs, words), "fingerprints")
-    found = rooted(marked, most)
+    found = written(rooted(marked, most), "rooted")
     names = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(found.join(names, "root").select("fp", "component_id"), "components")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(found.join(names, "root").select("fp", "n", "component_id"), "components")
+    return join_with_hot(marked, named.select("fp", "component_id"), "fp", named.select("fp", "n")).select("doc_id", "fp", "component_id")
 
 
 def drop_but_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -111,12 +111,13 @@ def drop_but_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
     first = rows.groupBy("root").agg(F.min(order).alias("first"))
     gone = rows.join(first, "root").where("not (doc_id <=> first.doc_id and digest = first.digest)")
-    gone = written(gone.select(F.col("doc_id").alias("__gone_id"), F.col("digest").alias("__gone")), "near-copies")
-    own = docs.withColumn("__digest", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    kept = own.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone")), "left_anti")
+    own, gone_id, gone_digest = (free_name(docs.columns, n) for n in ("__own", "__gone_id", "__gone"))
+    gone = written(gone.select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest)), "near-copies")
+    marked = docs.withColumn(own, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    kept = marked.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_digest)), "left_anti")
     if not rows.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__digest"])
-    return kept.drop("__digest")
+        kept = kept.dropDuplicates(["doc_id", own])
+    return kept.drop(own)
 
 
 def drop_near_copies(docs: DataFrame, words: int = 3, most: int = 2) -> DataFrame:

@@ -1,19 +1,24 @@
-"""Near copies by the Jaccard similarity of their word shingles.
+"""Near copies by the Jaccard similarity of their word shingles, found by deletion variants of SimHash segments.
 
-Candidates come from banded minimum hashes: texts that agree in all ROWS minima of one of BANDS bands meet in a bucket. A pair
-whose similarity is 0.8 meets in none with probability (1 - 0.8^5)^32 = 3e-6, a nearer one more rarely still. Every candidate
-is then verified on the sets themselves, so no pair below the bound is linked.
+A set's fingerprint is cut into segments of `width` bits. Sets that differ in at most one bit of some segment meet: a segment is indexed as it is
+and under variants with one wildcard bit. Wildcards go to the WILD bits whose votes were closest, which are those that near copies
+differ in. A bit differs with probability 0.15 at similarity 0.8 (the angle between the sets), so a segment brings two such sets together
+with a probability that width gives; as many segments are taken as leave MISS of the pairs at exactly 0.8 apart, and far less of nearer ones. The width
+follows the number of rows, so that buckets stay small at every size. Sets of at most SMALL shingles are coarse for votes: they also meet, exactly, under
+each set with one element deleted. Every candidate is then verified on the sets themselves, so no pair below the bound is linked.
 
     stars     each member of a bucket is held against the bucket's smallest; a large group of near copies costs its size, not its square
     the rest  members of a bucket that the stars left in different components are held against each other
 
-One bit a minimum makes a sketch; candidates whose sketches differ in more than FAR bits (16 expected at similarity 0.8, 5 standard deviations
-below FAR) aren't verified. Only distinct sets enter: equal ones never meet as pairs.
+The first 192 bits make a sketch; candidates whose sketches differ in more than FAR bits (29 expected at similarity 0.8, 6 standard
+deviations below FAR) aren't verified. Only distinct sets enter: equal ones never meet as pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +26,34 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, id_and_text, written
+from .common import batches, filter_of, id_and_text, join_with_hot, may_hold, written
 from .components import components
-from .exact_dedup import _filter_of, _positions
 from .lm_score import _mix
 from .simhash_dedup import drop_but_one
 
-ROWS, BANDS = 5, 32
-FAR = 37
-_random = np.random.default_rng(5)
-TIMES = _random.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
-PLUS = _random.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
+WILD, MISS, SMALL, FAR = 8, 3e-3, 12, 62
+FLIP = math.acos(1.6 / 1.8) / math.pi  # a bit's chance to differ at similarity 0.8, sets of equal size
 SKETCH = ["s0", "s1", "s2"]
+BLOCK = 255  # rows whose bits a byte can count
+
+
+@dataclass(frozen=True)
+class Layout:
+    width: int
+    segments: int
+
+    @property
+    def words(self) -> int:
+        """64-bit words of a fingerprint."""
+        return max(len(SKETCH), -(-self.width * self.segments // 64))
+
+
+def layout(rows: int) -> Layout:
+    """Segments so wide that a bucket holds a sixteenth of a random set at most, and as many as MISS asks for."""
+    width = min(60, max(16, math.ceil(math.log2(max(rows, 1))) + 4))
+    same = (1 - FLIP) ** width
+    one = 0.85 * width * FLIP * (1 - FLIP) ** (width - 1)  # by simulation 0.85 of single differing bits are among both sets' WILD closest
+    return Layout(width, math.ceil(math.log(MISS) / math.log(1 - same - one)))
 
 
 def shingles(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
@@ -55,59 +76,100 @@ def name_of(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes())
 
 
-def minima(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (sets x BANDS) and sketches (sets x 3) of sets, none of them empty."""
-    low = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    starts = np.cumsum([0, *map(len, sets)])[:-1]
-    least = np.empty((ROWS * BANDS, len(sets)), np.uint32)
-    x = np.empty_like(low)
-    for i, (a, b) in enumerate(zip(TIMES, PLUS)):
-        np.multiply(low, a, out=x)
-        np.add(x, b, out=x)
-        np.minimum.reduceat(x, starts, out=least[i])
-    keys = np.empty((len(sets), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(sets), band, np.uint64)
-        for row in least[band * ROWS : (band + 1) * ROWS]:
-            key = _mix(key, row.astype(np.uint64), band)
-        keys[:, band] = key
-    bits = ((least * np.uint32(0x9E3779B1)) >> np.uint32(16) & np.uint32(1)).astype(np.uint8).T
-    bits = np.pad(bits, ((0, 0), (0, 192 - ROWS * BANDS)))
-    return keys, np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.uint64)
-
-
-def marks(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, digest (of the text), fp (of its set), band keys (null for an empty set) and sketch of each row; null text counts as empty."""
+def votes(grams: np.ndarray, words: int) -> np.ndarray:
+    """How many of a set's hashes have each of 64 x words bits set; each word takes the hash through another mix."""
+    turns = np.arange(1, words + 1, dtype=np.uint64)
+    ones = np.zeros(64 * words, np.int64)
+    for i in range(0, len(grams), BLOCK):
+        x = _mix(grams[i : i + BLOCK, None], turns[None, :], 77)
+        x = _mix(x, turns[None, :], 78)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return ones
+
+
+def signatures(sets: list[np.ndarray], form: Layout) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set, none of them empty: segments' values and wildcard masks (sets x 2 x segments), and sketches (sets x 3)."""
+    ones = np.stack([votes(s, form.words) for s in sets])
+    n = np.array(list(map(len, sets)))[:, None]
+    bits, doubt = 2 * ones > n, np.abs(2 * ones - n)
+    cut = form.width * form.segments
+    shape = (len(sets), form.segments, form.width)
+    power = np.uint64(1) << np.arange(form.width, dtype=np.uint64)
+    values = (bits[:, :cut].reshape(shape) * power).sum(2, dtype=np.uint64)
+    weak = np.zeros(shape, bool)
+    np.put_along_axis(weak, np.argpartition(doubt[:, :cut].reshape(shape), WILD - 1, axis=2)[:, :, :WILD], True, axis=2)
+    masks = (weak * power).sum(2, dtype=np.uint64)
+    return np.stack([values, masks], 1), np.packbits(bits[:, :192], axis=1, bitorder="little").view(np.uint64)
+
+
+def variant_keys(signature: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which set, key) of every variant of signatures (sets x 2 x segments)."""
+    values, masks = signature[:, 0], signature[:, 1]
+    segment = np.broadcast_to(np.arange(values.shape[1], dtype=np.uint64), values.shape)
+    who, keys = [np.repeat(np.arange(len(values)), values.shape[1])], [_mix(values, segment, 64).reshape(-1)]
+    for p in range(width):
+        bit = np.uint64(1) << np.uint64(p)
+        row, at = np.nonzero(masks & bit)
+        who.append(row)
+        keys.append(_mix(values[row, at] & ~bit, segment[row, at], p))
+    return np.concatenate(who), np.concatenate(keys)
+
+
+def deletion_keys(grams: np.ndarray) -> np.ndarray:
+    """Keys of a small set as it is and without each of its elements."""
+    mixed = _mix(grams, grams, 79)
+    whole = np.add.reduce(mixed, dtype=np.uint64)
+    return _mix(np.append(whole - mixed, whole), np.ones(1, np.uint64), 80)
+
+
+def marks(docs: DataFrame, form: Layout, words: int = 5) -> DataFrame:
+    """doc_id, digest (of the text), fp (of its set), signature (null for an empty set), deletions and sketch of each row; null text counts as empty."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, size=1 << 20):
             sets = shingles(batch.column(2).cast(pa.binary()).to_pylist(), words)
             fps = np.array([name_of(s) for s in sets], np.uint64).view(np.int64)
             full = [i for i, s in enumerate(sets) if len(s)]
-            keys, sketch = [None] * len(sets), np.zeros((len(sets), 3), np.int64)
+            shown, sketch = [None] * len(sets), np.zeros((len(sets), 3), np.int64)
             if full:
-                found, sketch[full] = (x.view(np.int64) for x in minima([sets[i] for i in full]))
-                for i, k in zip(full, found):
-                    keys[i] = k
-            columns = [batch.column(0), batch.column(1), pa.array(fps), pa.array(keys, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "fp", "keys", *SKETCH])
+                found, marked = signatures([sets[i] for i in full], form)
+                sketch[full] = marked.view(np.int64)
+                for i, x in zip(full, found):
+                    shown[i] = x.tobytes()
+            less = [deletion_keys(s).view(np.int64) if 0 < len(s) <= SMALL else [] for s in sets]
+            columns = [batch.column(0), batch.column(1), pa.array(fps), pa.array(shown, pa.binary()), pa.array(less, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "fp", "signature", "deletions", *SKETCH])
 
     rows = id_and_text(docs).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "text")
-    return rows.mapInArrow(run, "doc_id long, digest string, fp long, keys array<long>, s0 long, s1 long, s2 long")
+    return rows.mapInArrow(run, "doc_id long, digest string, fp long, signature binary, deletions array<long>, s0 long, s1 long, s2 long")
+
+
+def keys_of(distinct: DataFrame, form: Layout) -> DataFrame:
+    """(fp, key) of every variant of every distinct set."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for i in range(0, whole.num_rows, 512):
+                batch = whole.slice(i, 512)
+                fps = batch.column(0).to_numpy(zero_copy_only=False)
+                signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(fps), 2, form.segments)
+                who, keys = variant_keys(signature, form.width)
+                less = batch.column(2)
+                more = np.repeat(np.arange(len(fps)), [len(x) for x in less.to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(fps[np.concatenate([who, more])]), pa.array(np.concatenate([keys.view(np.int64), less.flatten().to_numpy(zero_copy_only=False)]))], names=["fp", "key"])
+
+    return distinct.select("fp", "signature", "deletions").mapInArrow(run, "fp long, key long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """fp and grams (8 bytes a shingle) of the sets that `wanted` (fp) names."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted.select(F.col("fp").alias("keep_id"))))
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(wanted, "fp"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, size=1 << 20):
             sets = shingles(batch.column(1).cast(pa.binary()).to_pylist(), words)
             fps = np.array([name_of(s) for s in sets], np.uint64).view(np.int64)
-            ok = np.ones(len(fps), bool)
-            for at in _positions(fps):
-                ok &= (bits.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
-            some = np.flatnonzero(ok)
+            some = np.flatnonzero(may_hold(bits.value, fps))
             yield pa.RecordBatch.from_arrays([pa.array(fps[some]), pa.array([sets[i].tobytes() for i in some], pa.binary())], names=["fp", "grams"])
 
     return id_and_text(docs).mapInArrow(run, "fp long, grams binary").join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
@@ -136,13 +198,15 @@ def _near(x: str, y: str) -> str:
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """doc_id, digest, fp and root (the same number for all rows of a group) of each row of docs.
 
-    Rows link if the Jaccard similarity of their shingle sets is at least `least`, which the bands are laid out for from 0.8; links reach on. Empty sets are equal to each other.
+    Rows link if the Jaccard similarity of their shingle sets is at least `least`, which the segments are laid out for from 0.8; links reach on. Empty sets are equal to each other.
+    Repeated rows and null identifiers are members like others. Empty table: empty result.
     """
     if not 0.8 <= least <= 1:
-        raise ValueError("the bands are laid out for similarities of 0.8 and more")
-    marked = written(marks(docs, words), "shingle-marks")
-    distinct = written(marked.where("keys is not null").dropDuplicates(["fp"]).select("fp", "keys", *SKETCH), "shingle-sets")
-    keys = distinct.select("fp", F.explode("keys").alias("key"))
+        raise ValueError("the segments are laid out for similarities of 0.8 and more")
+    form = layout(docs.count())
+    marked = written(marks(docs, form, words), "shingle-marks")
+    distinct = written(marked.where("signature is not null").dropDuplicates(["fp"]).select("fp", "signature", "deletions", *SKETCH), "shingle-sets")
+    keys = keys_of(distinct, form)
     bucket = Window.partitionBy("key")
     shared = keys.withColumn("m", F.min("fp").over(bucket)).withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1")
     buckets = written(shared.select("key", "fp", "m"), "shingle-buckets")
@@ -161,7 +225,9 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
     met = met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
     links = written(links.unionByName(verified(met, sets, least)), "shingle-links")
     found = written(components(links), "shingle-components")
-    return marked.select("doc_id", "digest", "fp").join(found, F.col("fp") == F.col("node"), "left").select("doc_id", "digest", "fp", F.coalesce("root", "fp").alias("root"))
+    named = found.select(F.col("node").alias("fp"), "root")
+    every = written(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")), "shingle-named")
+    return join_with_hot(marked.select("doc_id", "digest", "fp"), every.select("fp", "root"), "fp", every.select("fp", "n"))
 
 
 def drop_similar(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:

@@ -16,7 +16,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import ann, bpe_trie, exact_dedup, language, lm_score, packing, quality, queries, secrets, simhash_dedup, token_files
+from brute_jaccard import one_a_group
+from factloom.llm import ann, bpe_trie, common, exact_dedup, language, lm_score, packing, quality, queries, secrets, simhash_dedup, token_files
 from factloom.llm.chunks import ChunkEncoder, tokenizer_path
 from factloom.llm.components import components
 
@@ -272,7 +273,42 @@ def test_runs_are_sorted_and_found(spark, tmp_path):
     for r in rows:
         runs.setdefault(r.run, []).append(bytes(r.digest))
     assert len(runs) == 7 and all(d == sorted(d) for d in runs.values())
-    assert {r.n for r in index.lookup([exact_dedup.digest_of(b"t5")]).collect()} == {1} and index.compact().count() == 90
+    one = exact_dedup.digest_of(b"t5")
+    before = index.lookup([one]).first()
+    assert (before.win_id, before.total) == (5, 3) and index.compact().count() == 90
+    assert index.lookup([one]).first() == before
+
+
+def test_generations(spark, tmp_path):
+    """Each flush adds to what is there; compaction takes the last one and what came since, and lookups see both."""
+    index = exact_dedup.MergeIndex(spark, f"file://{tmp_path}/runs", memtable_rows=7)
+    first, second = frame(spark, [f"t{i % 20}" for i in range(50)]), frame(spark, [f"t{i % 30}" for i in range(40)], 1000)
+    index.flush(first)
+    assert index.runs().agg(F.sum("n")).first()[0] == 50
+    index.flush(second)
+    assert index.runs().agg(F.sum("n")).first()[0] == 90 and index.runs().select("run", "slot", "digest").distinct().count() == index.runs().count()
+    merged = {bytes(r.digest): (r.win_id, r.total) for r in index.compact().collect()}
+    texts = [f"t{i % 20}" for i in range(50)] + [f"t{i % 30}" for i in range(40)]
+    ids = [*range(50), *range(1000, 1040)]
+    want = {exact_dedup.digest_of(t.encode()): (min(i for i, u in zip(ids, texts) if u == t), texts.count(t)) for t in set(texts)}
+    assert merged == want
+    third = frame(spark, ["t3", "new", "new"], 5000)
+    index.flush(third)
+    assert [(r.win_id, r.total) for r in index.lookup([exact_dedup.digest_of(x) for x in (b"t3", b"new")]).orderBy("win_id").collect()] == [(3, 6), (5001, 2)]
+    again = exact_dedup.MergeIndex(spark, f"file://{tmp_path}/runs")
+    assert again.compact().count() == len(want) + 1 and list(again._folders("merged")) == [3]
+    found = again.groups(first.unionByName(second).unionByName(third)).collect()
+    assert len(found) == 93 and sum(r.kept for r in found) == len(want) + 1
+    digests = [bytes(r.digest) for r in again.compact().collect()]
+    assert sorted(digests) == sorted(set(digests))
+
+
+def test_a_hot_text(spark):
+    """A third of all rows are one text, spread over many runs; one digest byte makes it collide with others as well."""
+    texts = [f"t{i}" if i % 3 else "" for i in range(900)]
+    found = by_id(exact_dedup.exact_groups(frame(spark, texts).repartition(6), digest_bytes=1, memtable_rows=4))
+    assert {found[i].keep_id for i in range(0, 900, 3)} == {0} and {found[i].group_size for i in range(0, 900, 3)} == {300}
+    assert all(found[i].kept and found[i].group_size == 1 for i in range(900) if i % 3)
 
 
 # ---- 8 token files
@@ -475,6 +511,34 @@ def test_near_groups(spark):
     assert len(set(comp)) < len(set(fps))
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_joins_with_hot_keys(spark, hot):
+    """The same rows whether frequent keys are dealt apart or not."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    found = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
+    weights = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = common.join_with_hot(rows, found, "k", weights, share=2 if hot else 200)
+    assert got.count() == 3000 and got.where("v <> k * 2").isEmpty() and got.where("k = 0").count() == 1000
+
+
+def test_fingerprint_query(spark, documents):
+    """The registered query against fingerprints bit by bit and all pairs of them."""
+    found = by_id(queries.QUERIES["op10_simhash_components"](spark, DATA))
+    ids = sorted(documents.index)
+    fps = {i: slow_fingerprint(documents.text[i]) for i in ids}
+    comp = {i: i for i in ids}
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i, j in itertools.combinations(ids, 2):
+        if (fps[i] ^ fps[j]).bit_count() <= 2 and root(i) != root(j):
+            comp[max(root(i), root(j))] = min(root(i), root(j))
+    assert {i: (r.fingerprint, r.component_id) for i, r in found.items()} == {i: (f"{fps[i]:016x}", root(i)) for i in ids}
+
+
 # ---- the pipeline
 
 
@@ -491,8 +555,7 @@ def test_pipeline(spark, documents):
         elif name == "exact":
             assert rows.text.is_unique and set(rows.doc_id) == set(before.reset_index().groupby("text").doc_id.min())
         elif name == "near":
-            groups = by_id(simhash_dedup.near_groups(docs))
-            assert set(rows.doc_id) == {g.component_id for g in groups.values()}
+            assert sorted(rows.doc_id) == one_a_group(list(zip(before.index.tolist(), before.text)))
         elif name == "secrets":
             assert set(rows.doc_id) == set(before.index) and not any(base_spans(t) for t in rows.text) and (rows.n_chars == rows.text.str.len()).all()
             kept = rows.set_index("doc_id")
