@@ -13,6 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,11 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def place(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """File system and path of a file or folder that driver and executors share."""
+    return pa.fs.FileSystem.from_uri(uri) if "://" in uri else pa.fs.FileSystem.from_uri(f"file://{uri.removeprefix('file:')}")
+
+
 def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Writes df below the shared folder and reads it back: cuts the lineage so that lost executors cost no recomputation."""
     spark, schema = df.sparkSession, df.schema

@@ -59,7 +59,7 @@ class LanguageModel:
 
 
 def learn(docs: DataFrame, lang: str = "lang", smooth: float = 0.5) -> LanguageModel:
-    """Counts trigrams of every row with a language. The driver gets one count a language and bucket, whatever the corpus."""
+    """Counts trigrams of every row with a language and a text, repeated rows each time. The driver gets one count a language and bucket, whatever the corpus."""
     ship(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,11 +84,12 @@ def learn(docs: DataFrame, lang: str = "lang", smooth: float = 0.5) -> LanguageM
     return LanguageModel(tuple(names), counts / counts.sum(1, keepdims=True))
 
 
-def mixtures(gram: np.ndarray, count: np.ndarray, lengths: np.ndarray, likelihood: np.ndarray, most: int = 3, rounds: int = 10) -> np.ndarray:
+def mixtures(gram: np.ndarray, count: np.ndarray, lengths: np.ndarray, likelihood: np.ndarray, rounds: int = 10) -> np.ndarray:
     """Shares (documents x languages) of the selected languages; documents must have grams.
 
     gram, count: distinct buckets of each document and how often they occur, one document after another; lengths: entries a document.
-    The languages that EM over all of them ranks first, up to `most`, are fitted again; each one more costs half the logarithm of the document's grams.
+    Of the languages as EM over all of them ranks them, the first 1, 2 and so on are fitted again until the penalised likelihood no longer rises; each one more costs
+    half the logarithm of the document's grams, and 2.
     """
     docs, k = len(lengths), len(likelihood)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -107,16 +108,18 @@ def mixtures(gram: np.ndarray, count: np.ndarray, lengths: np.ndarray, likelihoo
 
     share, _ = em(np.full((docs, k), 1 / k), rounds)
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
-    best, value = None, None
-    for m in range(1, min(most, k) + 1):
+    best, value, rises = None, None, np.ones(docs, bool)
+    for m in range(1, k + 1):
         chosen = np.where(rank < m, np.maximum(share, 1e-3), 0.0)
         fitted, likely = em(chosen / chosen.sum(1, keepdims=True), 0 if m == 1 else rounds // 2)
         likely = likely - 0.5 * (m - 1) * np.log(n) - 2.0 * (m - 1)
         if best is None:
             best, value = fitted, likely
-        else:
-            better = likely > value
-            best, value = np.where(better[:, None], fitted, best), np.maximum(likely, value)
+            continue
+        rises &= likely > value  # a document that stopped stays, whatever others in its batch do
+        if not rises.any():
+            break
+        best, value = np.where(rises[:, None], fitted, best), np.where(rises, likely, value)
     return best
 
 
@@ -124,6 +127,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score and languages (lang, share; largest first) of each row's whole text.
 
     Null texts and texts without a letter, and all texts if no language was learned, are `und` with score 0 and no languages. Ties go to the first name.
+    Repeated rows and null identifiers are rows like others; other columns of docs don't matter. Empty table: empty result.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, buffer_and_offsets, ship
+from .common import batches, buffer_and_offsets, free_name, ship
 
 CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t\n\r\x0b\x0c",
@@ -60,8 +60,8 @@ def statistics(column: pa.Array) -> np.ndarray:
     return out
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct of the text's statistics in the column HELD; every other column stays as it is."""
+def with_statistics(docs: DataFrame, text: str = "text", held_as: str = HELD) -> DataFrame:
+    """docs with a struct of the text's statistics in the column held_as; every other column stays as it is."""
     ship(docs.sparkSession)
     at = docs.columns.index(text)
     kind = pa.struct([(s, pa.float64()) for s in STATISTICS])
@@ -70,10 +70,10 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches(it, size=2 << 20, column=text):
             made = statistics(batch.column(at))
             fields = pa.StructArray.from_arrays([pa.array(c) for c in np.ascontiguousarray(made.T)], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns, fields], names=[*batch.schema.names, HELD])
+            yield pa.RecordBatch.from_arrays([*batch.columns, fields], names=[*batch.schema.names, held_as])
 
     held = T.StructType([T.StructField(s, T.DoubleType()) for s in STATISTICS])
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(HELD, held)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(held_as, held)]))
 
 
 @dataclass(frozen=True)
@@ -195,11 +195,16 @@ def in_fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows: int = 12_000) -> RuleModel:
-    """A model of `target`, learned from at most max_rows labelled rows outside the held-out fold, picked by a hash of the identifier."""
+    """A model of `target`, learned from at most max_rows labelled rows outside the held-out fold, picked by a hash of the identifier.
+
+    Of rows that repeat an identifier the one whose text has the smallest hash counts. Labels other than 0 and 1, and null identifiers, are left out. No labelled rows: a model
+    without rules.
+    """
     picked = labels.where((in_fold() != 0) & F.col(target).isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col(target).cast("int").alias("__y"))
     picked = picked.orderBy(F.xxhash64("__id"), "__y").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("__d"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("__d") == F.col("__id"))
-    rows = with_statistics(texts).select("__y", F.array(*(F.col(f"{HELD}.{s}") for s in STATISTICS)).alias("x"), "__d").limit(2 * max_rows).toArrow()
+    rows = with_statistics(texts).select("__y", F.array(*(F.col(f"{HELD}.{s}") for s in STATISTICS)).alias("x"), "__d", F.xxhash64("text").alias("h"))
+    rows = rows.groupBy("__d", "__y").agg(F.min(F.struct("h", "x")).alias("first")).select("__d", "__y", "first.x").toArrow()  # a row a label picked, at most
     if not rows.num_rows:
         return RuleModel(0.0, (), ())
     order = np.lexsort((rows.column("__y").to_numpy(), rows.column("__d").to_numpy()))
@@ -208,13 +213,19 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows:
 
 
 def score(docs: DataFrame, model: RuleModel, name: str = "score") -> DataFrame:
-    """docs with the score (0 to 1, higher for label 1) of each row's whole text. Empty and null texts have zero statistics and a score like others."""
-    return with_statistics(docs).withColumn(name, model.column()).drop(HELD)
+    """docs with the score (0 to 1, higher for label 1) of each row's whole text.
+
+    Empty and null texts have zero statistics and a score like others; repeated rows and null identifiers are rows like others. A column of docs that is called `name` stays, and the score
+    is then name_1, or the next free one. Empty table: empty result.
+    """
+    held = free_name(docs.columns, HELD)
+    return with_statistics(docs, held_as=held).withColumn(free_name(docs.columns, name), model.column(held)).drop(held)
 
 
 def keep_good(docs: DataFrame, model: RuleModel, least: float = 0.3) -> DataFrame:
     """The rows of docs that score `least` or more, with docs' columns."""
-    return with_statistics(docs).where(model.column() >= least).drop(HELD)
+    held = free_name(docs.columns, HELD)
+    return with_statistics(docs, held_as=held).where(model.column(held) >= least).drop(held)
 
 
 def op2_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
