@@ -2,9 +2,11 @@
 
 A vector is approximated by a sum of full-dimensional codewords, one from each codebook; codebooks are fitted one after another to
 residuals, and a beam search picks the codewords. The index stores codes, the approximation's squared norm and the
-vector. A query makes one table of inner products with all codewords; a vector's approximate score is a sum of table
-entries (and the stored norm, for Euclidean nearness). The best of each index part are scored exactly on the
-original vectors, and the parts' winners merged.
+vector, in parts of a bounded number of bytes. A query makes one table of inner products with all codewords; a vector's approximate score is a sum of table
+entries (and the stored norm, for Euclidean nearness). A fixed share of each part, the best by that score, is scored exactly on the
+original vectors, and the parts' winners merged, so results don't depend on how many parts there are but for chance.
+
+A search is one plan: rows that name a part and a block of queries, dealt over tasks; a task reads both from the shared folder and holds one of each.
 
 Equal vectors are indexed once, with the few smallest identifiers that could ever be returned, so a vector that a third
 of all rows share costs one entry and crowds out nobody.
@@ -12,6 +14,9 @@ of all rows share costs one entry and crowds out nobody.
 
 from __future__ import annotations
 
+import io
+import posixpath
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import join_with_hot, place, shared_path, ship, written
 
-SALTS = 8
+MANY = 256  # parts whose winners are merged at once, about
+AT_ONCE = 128  # queries scored at once
 
 
 @dataclass(frozen=True)
@@ -89,15 +95,72 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def save(folder: str, **arrays: np.ndarray) -> str:
+    """Writes arrays to a new file below folder and returns where."""
+    file, out = posixpath.join(folder, f"{uuid.uuid4().hex}.npz"), io.BytesIO()
+    np.savez(out, **arrays)
+    system, path = place(file)
+    system.create_dir(posixpath.dirname(path), recursive=True)
+    with system.open_output_stream(path) as sink:
+        sink.write(out.getbuffer())
+    return file
+
+
+def load(file: str) -> dict[str, np.ndarray]:
+    system, path = place(file)
+    with system.open_input_file(path) as source:
+        return dict(np.load(io.BytesIO(source.read())))
+
+
+def _slices(it: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of exactly `rows` rows, the last one excepted."""
+    held, n = [], 0
+    for batch in it:
+        at = 0
+        while at < batch.num_rows:
+            some = batch.slice(at, rows - n)
+            held.append(some)
+            n, at = n + some.num_rows, at + some.num_rows
+            if n == rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def nearest(part: dict[str, np.ndarray], q: np.ndarray, words: np.ndarray, k: int, share: float, euclidean: bool) -> list[list[dict]]:
+    """The k best of a part for each query, by exact scores of the share that scores best approximately; an entry an identifier."""
+    xs, codes, ids, ends = part["v"], part["codes"], part["ids"], part["ends"]
+    n, out = len(xs), []
+    take = min(n, max(4 * k, int(np.ceil(share * n))))
+    for i in range(0, len(q), AT_ONCE):
+        some = q[i : i + AT_ONCE]
+        tables = [np.ascontiguousarray((some.astype(np.float32) @ w.T).T) for w in words]  # codewords x queries
+        score = tables[0][codes[:, 0]]
+        for m in range(1, len(words)):
+            score += tables[m][codes[:, m]]
+        if euclidean:
+            score = 2 * score - part["norm"].astype(np.float32)[:, None]
+        for x, approx in zip(some, np.ascontiguousarray(score.T)):
+            mine = np.argpartition(-approx, take - 1)[:take] if take < n else np.arange(n)
+            exact = -((xs[mine] - x) ** 2).sum(1) if euclidean else (xs[mine] * x).sum(1)
+            pairs = [(float(exact[j]), int(v)) for j in top(exact, ids[ends[mine]], k) for v in ids[ends[mine[j]] : ends[mine[j] + 1]]]
+            pairs.sort(key=lambda p: (-p[0], p[1]))
+            out.append([{"far": -s, "id": v} for s, v in pairs[:k]])
+    return out
+
+
 class AdditiveIndex:
     """Every valid row of vectors (id long, embedding array), indexed by additive quantisation.
 
     fit_rows: codebooks are fitted to so many rows at most, picked by a hash of the identifier. answers: at most so many
-    neighbours are asked for later. Rows whose embedding is null, zero, of another length than most, or holds null or non-finite components are left out.
-    A repeated identifier is a candidate as often as it occurs with different vectors.
+    neighbours are asked for later. part_bytes: vectors of an index part. Rows whose embedding is null, zero, of another length than most, or holds null or non-finite components are
+    left out, as are null identifiers. A repeated identifier is a candidate as often as it occurs with different vectors. Empty table: searches find nothing.
     """
 
-    def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", answers: int = 20, books: int = 8, size: int = 256, fit_rows: int = 16_384, beam: int = 4):
+    def __init__(
+        self, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", answers: int = 20, books: int = 8, size: int = 256, fit_rows: int = 16_384, beam: int = 4, part_bytes: int = 32 << 20
+    ):
         self.spark, self.answers = vectors.sparkSession, answers
         ship(self.spark)
         rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & valid(F.col("v")))
@@ -106,97 +169,80 @@ class AdditiveIndex:
         self.rows = rows.where(F.size("v") == self.dim)
         if not usual:
             return
-        sample = self.rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).toArrow()
+        # the hash picks twice as many rows as are wanted, or all, before any are sorted
+        share = min(1.0, 2 * fit_rows / usual["count"])
+        few = self.rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(max(1, int(share * (1 << 30))))).dropDuplicates(["id"])
+        sample = few.orderBy(F.xxhash64("id"), "id").limit(fit_rows).toArrow()
+        if not sample.num_rows:
+            sample = self.rows.limit(fit_rows).toArrow()
         self.codebooks = fit(matrix(sample.column("v").combine_chunks(), self.dim), books, size)
         # of equal vectors only the smallest identifiers can be answers; one more, as a query leaves out its own; repeated rows take no places
         first = self.rows.withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= answers + 1)
         distinct = first.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-        held = self.spark.sparkContext.broadcast(self.codebooks)
-        dim = self.dim
+        held, folder, dim = self.spark.sparkContext.broadcast(self.codebooks), shared_path(self.spark, "ann-parts"), self.dim
+        part_rows = max(AT_ONCE, part_bytes // (8 * dim))
 
         def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in it:
-                for i in range(0, whole.num_rows, 2048):
-                    b = whole.slice(i, 2048)
-                    codes, near = held.value.encode(matrix(b.column(0), dim), beam)
-                    norms = (near.astype(np.float64) ** 2).sum(1)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["v", "ids", "codes", "norm"])
-
-        self.index = written(distinct.mapInArrow(encode, "v array<double>, ids array<long>, codes binary, norm double"), "ann-index")
-
-    def search(self, queries: DataFrame, k: int = 20, shortlist: int = 1024, block: int = 512, euclidean: bool = False) -> DataFrame:
+            for part in _slices(it, part_rows):
+                x = matrix(part.column(0), dim)
+                made = [held.value.encode(x[i : i + 2048], beam) for i in range(0, len(x), 2048)]
+                norms = np.concatenate([(near.astype(np.float64) ** 2).sum(1) for _, near in made])
+                lengths = pa.compute.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+                ids = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                file = save(folder, v=x, codes=np.concatenate([c for c, _ in made]), norm=norms, ids=ids, ends=np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([len(x)], pa.int64())], names=["part", "n"])
+
+        self.parts = written(distinct.mapInArrow(encode, "part string, n long"), "ann-index")
+
+    def search(self, queries: DataFrame, k: int = 20, share: float = 1 / 32, block: int = 512, euclidean: bool = False) -> DataFrame:
         """query_id, rank (from 1), vec_id, score of each query's k best other rows, largest exact score first, ties to smaller ids.
 
-        queries: id, v. The score is the inner product (or minus the squared distance) in double precision. Queries are taken in blocks of about `block`
-        distinct vectors, the only thing broadcast. Of each part of the index the `shortlist` best approximate scores are scored exactly.
+        queries: id, v. The score is the inner product (or minus the squared distance) in double precision. Queries are taken in blocks of at most `block`
+        distinct vectors. Of each part of the index the best `share` by approximate scores is scored exactly, 4 (k + 1) vectors at least.
         """
         out = "query_id long, rank int, vec_id long, score double"
         if k > self.answers:
             raise ValueError("the index keeps fewer answers")
         if not self.dim:
             return self.spark.createDataFrame([], out)
+        spark, dim, folder = self.spark, self.dim, shared_path(self.spark, "ann-queries")
+        words = spark.sparkContext.broadcast(self.codebooks.words)
         asked = queries.withColumn("key", F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))
-        distinct = asked.groupBy("key").agg(F.first("v").alias("v"))
-        distinct = written(distinct, "ann-queries")
-        blocks = max(1, -(-distinct.count() // block))
-        found = None
-        for b in range(blocks):
-            part = distinct.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).orderBy("key").toArrow()
-            if part.num_rows:
-                one = self._block(part, k, shortlist, euclidean)
-                found = one if found is None else found.unionByName(one)
-        if found is None:
-            return self.spark.createDataFrame([], out)
-        nearest = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1)
-        merged = written(found.groupBy("key").agg(nearest.alias("found")), "ann-found")
-        salted = merged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        members = asked.select("key", F.col("id").alias("query_id"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-        mine = members.join(salted, ["key", "salt"]).select("query_id", F.slice(F.expr("filter(found, x -> x.id <> query_id)"), 1, k).alias("found"))
-        return mine.select("query_id", F.posexplode("found").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.far")).alias("score"))
 
-    def _block(self, part: pa.Table, k: int, shortlist: int, euclidean: bool) -> DataFrame:
-        dim = self.dim
-        q = matrix(part.column("v").combine_chunks(), dim)
-        held = self.spark.sparkContext.broadcast((part.column("key").to_pylist(), q, self.codebooks.words))
+        def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for some in _slices(it, block):
+                file = save(folder, q=matrix(some.column(1), dim), keys=np.array(some.column(0).to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array([file])], names=["queries"])
+
+        listed = written(asked.groupBy("key").agg(F.first("v").alias("v")).mapInArrow(blocks, "queries string"), "ann-blocks")
+        rows = self.parts.count() * listed.count()
+        if not rows:
+            return spark.createDataFrame([], out)
+        # each part with each block of queries: rows that name two files
+        turns = self.parts.select("part", F.lit(1).alias("one")).join(listed.withColumn("one", F.lit(1)), "one").select("part", "queries")
+        dealt = turns.repartition(min(4 * rows, 20_000), "part", "queries").sortWithinPartitions("part")
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, q, words = held.value
-            tables = [np.ascontiguousarray((q.astype(np.float32) @ w.T).T) for w in words]  # codewords x queries
-            near = np.full((len(keys), 0), 0, np.float32)
-            xs, ids = np.zeros((0, dim)), []
-            shown = np.zeros((len(keys), 0), np.int32)  # positions in xs, per query
-            for whole in it:
-                for i in range(0, whole.num_rows, 2048):
-                    b = whole.slice(i, 2048)
-                    codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, len(words))
-                    score = tables[0][codes[:, 0]]
-                    for m in range(1, len(words)):
-                        score += tables[m][codes[:, m]]
-                    if euclidean:
-                        score = 2 * score - b.column(3).to_numpy().astype(np.float32)[:, None]
-                    at = np.broadcast_to(np.arange(len(xs), len(xs) + len(codes), dtype=np.int32), (len(keys), len(codes)))
-                    near, shown = np.concatenate([near, score.T], 1), np.concatenate([shown, at], 1)
-                    xs, ids = np.concatenate([xs, matrix(b.column(0), dim)]), ids + b.column(1).to_pylist()
-                    if near.shape[1] > shortlist:
-                        some = np.argpartition(-near, shortlist - 1, axis=1)[:, :shortlist]
-                        near, shown = np.take_along_axis(near, some, 1), np.take_along_axis(shown, some, 1)
-                        used = np.unique(shown)  # vectors on no shortlist go
-                        if len(used) < len(xs):
-                            shown = np.searchsorted(used, shown).astype(np.int32)
-                            xs, ids = xs[used], [ids[j] for j in used]
-            if not len(xs):
-                return
-            out = []
-            for i, key in enumerate(keys):
-                mine = shown[i]
-                exact = -((xs[mine] - q[i]) ** 2).sum(1) if euclidean else (xs[mine] * q[i]).sum(1)
-                least = np.array([ids[j][0] for j in mine])
-                pairs = [(float(exact[j]), x) for j in top(exact, least, k + 1) for x in ids[mine[j]]]
-                pairs.sort(key=lambda p: (-p[0], p[1]))
-                out.append([{"far": -s, "id": x} for s, x in pairs[: k + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(out, pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())])))], names=["key", "found"])
-
-        return self.index.select("v", "ids", "codes", "norm").mapInArrow(run, "key string, found array<struct<far double, id long>>")
+            name, part = None, {}
+            for batch in it:
+                for own, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if own != name:
+                        name, part = own, load(own)
+                    held = load(file)
+                    found = nearest(part, held["q"], words.value, k + 1, share, euclidean)
+                    shown = pa.array(found, pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())])))
+                    yield pa.RecordBatch.from_arrays([pa.array([own] * len(found)), pa.array(held["keys"].tolist()), shown], names=["part", "key", "found"])
+
+        found = dealt.mapInArrow(run, "part string, key string, found array<struct<far double, id long>>")
+        best = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found")
+        groups = max(1, -(-self.parts.count() // MANY))
+        if groups > 1:
+            found = found.groupBy("key", F.pmod(F.xxhash64("part"), F.lit(groups)).alias("g")).agg(best)
+        merged = written(found.groupBy("key").agg(best), "ann-found")
+        members = asked.select("key", F.col("id").alias("query_id"))
+        mine = join_with_hot(members, merged, "key", members.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+        mine = mine.select("query_id", F.slice(F.expr("filter(found, x -> x.id <> query_id)"), 1, k).alias("found"))
+        return mine.select("query_id", F.posexplode("found").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.far")).alias("score"))
 
 
 def op9_additive_quantisation_search(spark: SparkSession, sf_dir: str) -> DataFrame:

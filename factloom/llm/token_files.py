@@ -15,21 +15,20 @@ A block is unpacked by numpy without a loop over ids; any range of ids is read b
 
 from __future__ import annotations
 
-import json
 import posixpath
 import uuid
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import encoder, tokenizer_path
-from .common import batches, id_and_text, shared_path, ship
+from .common import batches, id_and_text, place, shared_path, ship, written
 
 MAGIC = b"FLTOK1\0\0"
 FOOT = 48 + len(MAGIC)
@@ -145,25 +144,48 @@ class TokenFile:
             i = j
 
 
-def place(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    """File system and path of a folder that driver and executors share."""
-    return pa.fs.FileSystem.from_uri(uri) if "://" in uri else pa.fs.FileSystem.from_uri(f"file://{uri.removeprefix('file:')}")
+#: Keys sampled to lay out ranges, about, and ranges whose bounds are taken from them. Both are fixed, so what the driver holds never grows with the rows.
+SAMPLE, BOUNDS = 1 << 16, 1 << 10
 
 
-def _bounds(rows: DataFrame, parts: int, each: int = 64) -> list[tuple]:
-    """Upper keys (doc_id, h) of ranges that hold about as many rows, from a sample of `each` keys a range picked by their hash.
+class Ranges:
+    """Ranges of (doc_id, hash of the text), numbered in their order; as many as asked for, about, with about as many rows each.
 
-    Identifiers alone are read, unless one is so frequent that it fills a range: then the texts' hashes split it.
+    bounds: upper keys of coarse ranges. Where more ranges are wanted than bounds, each coarse range is cut into `cuts` by
+    interpolation between its bounds, on the identifier or, if that is the same, on the hash.
     """
+
+    def __init__(self, keys: list[tuple[int, int]], parts: int):
+        coarse = max(1, min(parts, BOUNDS, len(keys)))
+        self.bounds = sorted({keys[len(keys) * i // coarse] for i in range(1, coarse)}) if keys else []
+        self.cuts = -(-parts // (len(self.bounds) + 1))
+        self.low, self.high = (keys[0], keys[-1]) if keys else ((LOWEST, LOWEST), (LOWEST, LOWEST))
+
+    def __len__(self) -> int:
+        return (len(self.bounds) + 1) * self.cuts
+
+    def of(self, doc_id: int | None, h: int) -> int:
+        key = (LOWEST if doc_id is None else doc_id, h)
+        at = bisect_right(self.bounds, key)
+        if self.cuts == 1:
+            return at
+        low, high = (self.bounds[at - 1] if at else self.low), (self.bounds[at] if at < len(self.bounds) else self.high)
+        i = 0 if low[0] != high[0] else 1
+        cut = (key[i] - low[i]) * self.cuts // (high[i] - low[i] + 1)
+        return at * self.cuts + min(self.cuts - 1, max(0, cut))
+
+
+def _ranges(rows: DataFrame, total: int, parts: int) -> Ranges:
+    """Ranges laid out by a sample of rows (doc_id, h). Identifiers alone are read, unless one fills a range: then the texts' hashes split it."""
     if parts < 2:
-        return []
+        return Ranges([], 1)
+    share = min(1.0, SAMPLE / max(total, 1))
     for names in (["doc_id"], ["doc_id", "h"]):
-        picked = rows.select(*names).orderBy(F.xxhash64(*names)).limit(each * parts).collect()
-        keys = sorted((LOWEST if r.doc_id is None else r.doc_id, r.h if "h" in names else LOWEST) for r in picked)
-        out = [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
-        if len(set(out)) == len(out) or len(keys) <= parts:
+        picked = rows.select(*names).sample(share, 17).collect()  # SAMPLE rows, about
+        keys = sorted((LOWEST if r[0] is None else r[0], r[1] if len(names) > 1 else LOWEST) for r in picked)
+        if not keys or Counter(keys).most_common(1)[0][1] * min(parts, BOUNDS) < 2 * len(keys):
             break
-    return out
+    return Ranges(keys, parts)
 
 
 LOWEST = -(1 << 63)
@@ -175,12 +197,14 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
     Texts are encoded where they are read; what is dealt out, by ranges of (doc_id, a hash of the text), are packed ids. So a repeated
     identifier doesn't land in one task; a null identifier comes first, and rows that repeat one are ordered by that hash. Null and
     empty texts are the end id alone. Each file is written under another name and moved into place, so a task that runs again replaces
-    what it wrote. The manifest has a row a file. part_rows: documents of a range, about. cache: chunks whose ids a Python worker keeps, some 200 bytes each, twice at most.
+    what it wrote. The manifest, a row a file, is a Parquet data set beside them; an empty table makes an empty one. part_rows: documents of a range, about.
+    cache: chunks whose ids a Python worker keeps, some 200 bytes each, twice at most.
     """
     spark, end = docs.sparkSession, end_id.to_bytes(4, "little")
     rows = id_and_text(docs).withColumn("h", F.xxhash64("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // part_rows))
-    bounds = spark.sparkContext.broadcast(_bounds(rows, parts))
+    total = docs.count()
+    laid = _ranges(rows, total, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_rows)))
+    ranges, parts = spark.sparkContext.broadcast(laid), len(laid)
 
     def tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(path, cache)
@@ -190,7 +214,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
             ids = codec.encode(batch.column(1).cast(pa.binary()).to_pylist())
             packed = [pack_bits(np.frombuffer(x + end, "<u4"), bits) for x in ids]
             counts = [len(x) // 4 + 1 for x in ids]
-            part = [bisect_right(bounds.value, (LOWEST if d is None else d, h)) for d, h in zip(doc_ids, hashes)]
+            part = list(map(ranges.value.of, doc_ids, hashes))
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(packed, pa.binary()), pa.array([bits] * len(part), pa.int32())], names=["part", "doc_id", "h", "n", "packed", "bits"])
 
     def files(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,16 +252,18 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
 
     packed = rows.mapInArrow(tokens, "part int, doc_id long, h long, n long, packed binary, bits int")
     dealt = packed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "h").select("part", "doc_id", "n", "packed", "bits")
-    made = dealt.mapInArrow(files, "part long, turn long, file string, documents long, n_ids long").collect()  # a row a file
-    listed, base = [], 0
-    for r in sorted(made, key=lambda r: (r.part, r.turn)):
-        listed.append((r.file, r.documents, r.n_ids, base))
-        base += r.n_ids
-    system, root = place(folder)
-    system.create_dir(root, recursive=True)
-    with system.open_output_stream(posixpath.join(root, "manifest.json")) as out:
-        out.write(json.dumps([dict(zip(("file", "documents", "n_ids", "base"), r)) for r in listed]).encode())
-    return spark.createDataFrame(listed, "file string, documents long, n_ids long, base long")
+    made = written(dealt.mapInArrow(files, "part long, turn long, file string, documents long, n_ids long"), "token-files").withColumn("group", F.floor(F.col("part") / BOUNDS))
+    before = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)  # a row a thousand ranges
+    groups = made.groupBy("group").agg(F.sum("n_ids").alias("held")).select("group", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("group").orderBy("part", "turn").rowsBetween(Window.unboundedPreceding, -1)
+    based = made.withColumn("ahead", F.coalesce(F.sum("n_ids").over(within), F.lit(0))).join(groups, "group")
+    based.select("file", "documents", "n_ids", (F.col("start") + F.col("ahead")).alias("base")).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return manifest(spark, folder)
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """file, documents, n_ids and base (ids of all files before it) of each file below folder."""
+    return spark.read.schema("file string, documents long, n_ids long, base long").parquet(f"{folder}/manifest")
 
 
 def _as_ids(rows: list[tuple]) -> pa.RecordBatch:
@@ -250,9 +276,6 @@ def read_tokens(spark: SparkSession, folder: str, make=_as_ids, schema: str = "d
     make, schema: what to make of a list of such rows in the same pass, a record batch of the schema.
     """
     ship(spark)
-    system, root = place(folder)
-    with system.open_input_stream(posixpath.join(root, "manifest.json")) as file:
-        files = json.loads(file.read())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = place(folder)
@@ -269,8 +292,8 @@ def read_tokens(spark: SparkSession, folder: str, make=_as_ids, schema: str = "d
                 if rows:
                     yield make(rows)
 
-    listed = spark.createDataFrame([(f["file"], f["base"]) for f in files], "file string, base long").repartition(max(1, len(files)))
-    return listed.mapInArrow(run, schema)
+    files = manifest(spark, folder).select("file", "base")
+    return files.repartition(max(1, files.count())).mapInArrow(run, schema)
 
 
 def op8_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

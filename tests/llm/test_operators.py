@@ -496,6 +496,30 @@ def test_small_files(spark, tmp_path):
     assert [r.doc_id for r in token_files.read_tokens(spark, folder).orderBy("start").collect()] == list(range(200))
 
 
+def test_ranges():
+    """Ranges rise with their keys and hold about as many rows, also where they are more than the bounds, and where one identifier has a third of all rows."""
+    rng = random.Random(1)
+    keys = sorted([(rng.randrange(1 << 40), token_files.LOWEST) for _ in range(4000)])
+    ranges = token_files.Ranges(keys, 3000)
+    assert 3000 <= len(ranges) < 3 * 3000 and len(ranges.bounds) < token_files.BOUNDS
+    found = [ranges.of(*k) for k in keys]
+    assert found == sorted(found) and 0 <= found[0] and found[-1] < len(ranges) and ranges.of(None, 5) == 0 and ranges.of(1 << 62, 0) == len(ranges) - 1
+    hot = sorted([(7, rng.getrandbits(64) - (1 << 63)) if rng.random() < 1 / 3 else (rng.randrange(10**6), rng.getrandbits(64) - (1 << 63)) for _ in range(6000)])
+    ranges = token_files.Ranges(hot, 5000)
+    counts = pd.Series([ranges.of(*k) for k in hot])
+    assert counts.is_monotonic_increasing and counts.value_counts().max() < 40
+    assert [token_files.Ranges([], 5).of(i, 0) for i in (None, -3, 9)] == [0, 0, 0] or len(token_files.Ranges([], 5)) == 5
+
+
+def test_one_identifier_many_rows(spark, tmp_path):
+    texts = [(7 if i % 3 == 0 else i, f"text {i} " * (i % 5)) for i in range(600)]
+    folder = f"file://{tmp_path}/hot"
+    made = token_files.write_tokens(spark.createDataFrame(texts, "doc_id long, text string"), folder, tokenizer_path(BYTE), part_rows=20)
+    assert made.count() > 15 and made.agg(F.max("documents")).first()[0] < 150
+    rows = token_files.read_tokens(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == sorted(i for i, _ in texts) and [r.start for r in rows] == np.cumsum([0, *(len(r.ids) // 4 for r in rows)])[:-1].tolist()
+
+
 # ---- 7 encoding and decoding
 
 
@@ -537,7 +561,7 @@ def test_a_short_list_still_finds(spark):
     x = np.round(centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 32)) * 0.4, 3).astype(np.float32)
     x[500:1500] = x[7]
     index = ann.AdditiveIndex(vectors(spark, x).repartition(2), size=64)
-    found = index.search(index.rows.where("id % 20 = 0"), shortlist=150, block=64).toPandas()
+    found = index.search(index.rows.where("id % 20 = 0"), share=0.05, block=64).toPandas()
     x, hits = x.astype(float), 0
     for q, mine in found.groupby("query_id"):
         score = (x * x[q]).sum(1)
@@ -550,6 +574,28 @@ def test_a_short_list_still_finds(spark):
     assert hits / len(found) > 0.9
 
 
+@pytest.mark.parametrize("partitions", ["2", "8", "32"])
+def test_recall_does_not_hang_on_partitions(spark, partitions):
+    rng = np.random.default_rng(14)
+    x = (rng.normal(size=(50, 24))[rng.integers(0, 50, 12_000)] + rng.normal(size=(12_000, 24)) * 0.5).astype(np.float32)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = ann.AdditiveIndex(vectors(spark, x), part_bytes=1 << 20)
+        found = index.search(index.rows.where("id % 100 = 0")).toPandas()
+        parts = index.parts.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    x, hits = x.astype(float), 0
+    for q, mine in found.groupby("query_id"):
+        score = (x * x[q]).sum(1)
+        score[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(len(x)), -score))[:20]) & set(mine.vec_id))
+    assert parts >= int(partitions) and hits / len(found) >= 0.9
+
+
 def test_euclidean(spark):
     x = np.random.default_rng(5).normal(size=(300, 8)).astype(np.float32)
     index = ann.AdditiveIndex(vectors(spark, x))
