@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from .functions.values import FIELDS, Value
 from .operators import conflicts, describe, graph, reads
-from .operators.merges import resolve
 from .plans.compile import QueryResult, Tables, run_aggregate, run_query, shown
 from .plans.ir import AggregateQuery, Query
-from .schema import ACTIVE, HYPOTHESIS, MAX_BATCH, RETRACTION, VALUE_DDL, EngineError
+from .schema import ACTIVE, HYPOTHESIS, MAX_BATCH, MAX_READ_ROWS, RETRACTION, VALUE_DDL, BudgetExceeded, EngineError
 from .sinks import spill
 from .sources.store import Store, check_batch
 
@@ -230,7 +229,11 @@ class Kernel:
 
     @staticmethod
     def _list(frame: DataFrame) -> list[dict]:
-        return [r.asDict() for r in frame.collect()]
+        """All rows as values; more than MAX_READ_ROWS are an error, never a part."""
+        found = frame.limit(MAX_READ_ROWS + 1).collect()
+        if len(found) > MAX_READ_ROWS:
+            raise BudgetExceeded("max_read_rows", MAX_READ_ROWS, len(found))
+        return [r.asDict() for r in found]
 
     @staticmethod
     def _one(frame: DataFrame, column: str):
@@ -285,7 +288,7 @@ class Kernel:
 
     def find_conflicts(self, subject: int, predicate: int) -> list[tuple[dict, dict]]:
         tables = self.tables
-        pairs = conflicts.find_conflicts(tables, subject, predicate).select("a_id", "b_id").orderBy("a_id", "b_id").collect()
+        pairs = [(r["a_id"], r["b_id"]) for r in self._list(conflicts.find_conflicts(tables, subject, predicate).select("a_id", "b_id").orderBy("a_id", "b_id"))]
         rows = {r["id"]: r for r in self._list(shown(reads.rows(tables, (F.col("subject") == F.lit(tables.resolve(subject))) & (F.col("predicate") == F.lit(predicate)))))} if pairs else {}
         return [(rows[a], rows[b]) for a, b in pairs]
 
@@ -340,13 +343,13 @@ class Kernel:
         return self._answers(assertion_ids, reads.last_provenance(self.tables), "assertion_id", make)
 
     def neighbors(self, subject: int, max_hops: int = 1) -> list[int]:
-        return [r["entity"] for r in graph.neighbors(self.tables, subject, max_hops).orderBy("hops", "entity").collect()]
+        return [r["entity"] for r in self._list(graph.neighbors(self.tables, subject, max_hops).orderBy("hops", "entity"))]
 
     def co_occurring_predicates(self, subject: int) -> list[int]:
-        return [r["predicate"] for r in graph.co_occurring_predicates(self.tables, subject).orderBy("predicate").collect()]
+        return [r["predicate"] for r in self._list(graph.co_occurring_predicates(self.tables, subject).orderBy("predicate"))]
 
     def resolve_entity(self, id: int) -> int:
-        return id if self.tables.merges is None else resolve(self.tables.merges, id)
+        return self.tables.resolve(id)
 
     def query(self, query: Query) -> QueryResult:
         return run_query(query, self.tables)

@@ -14,16 +14,16 @@ from .reads import rows
 #: Modelled cost of a lookup and of a row by source, and of a filter a row. They rank sources within one report and say nothing about Spark's time.
 COSTS = {"lookup": 50.0, "index": 5.15, "columnar": 0.91, "row": 1.54, "filter": 3.0}
 
-#: Reasons against a source.
+#: Reasons against a source.
 REASONS = {
-    "force_scan": "force_scan",
-    "force_row_scan": "force_row_scan",
-    "subject": "query names no subject",
-    "object": "query names no object",
-    "predicate": "query names no predicate",
-    "observed": "query has no observed_to bound",
-    "as_of": "index describes current state now; query is as-of",
-    "shape": "index holds only Active open-ended rows; query is not current-shaped",
+    "force_scan": "only scans are allowed (force_scan)",
+    "force_row_scan": "only row scans are allowed (force_row_scan)",
+    "subject": "no subject is given",
+    "object": "no object is given",
+    "predicate": "no predicate is given",
+    "observed": "there is no upper bound on observed_at",
+    "as_of": "current state is of no use to a read of the past",
+    "shape": "current state holds open-ended active rows alone; others are asked for too",
 }
 
 

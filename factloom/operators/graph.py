@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import is_current
 from ..plans.compile import Tables, shown
+from ..plans.status import links
 from ..schema import EngineError
 from ..sources.scratch import checkpointed
 from .merges import resolve_all
@@ -29,8 +30,10 @@ def neighbors(tables: Tables, start: int, max_hops: int = 1) -> DataFrame:
     if max_hops < 0 or max_hops > MAX_HOPS:
         raise EngineError(f"max_hops is 0 to {MAX_HOPS}")
     spark, start = tables.log.sparkSession, tables.resolve(start)
-    edge = checkpointed(spark, edges(tables)) if max_hops > 1 else edges(tables)
-    merged = resolve_all(tables.merges) if tables.merges is not None and not tables.merges.isEmpty() else None
+    edge = edges(tables)
+    if max_hops > 1 and tables.settled is None:  # a snapshot is read as fast as what would be kept of it
+        edge = checkpointed(spark, edge)
+    merged = resolve_all(tables.merges) if tables.redirects != {} else None
     frontier = spark.createDataFrame([(start,)], "entity BIGINT")
     reached = spark.createDataFrame([(start, 0)], "entity BIGINT, hops INT")
     for hop in range(1, max_hops + 1):
@@ -56,42 +59,47 @@ def chains(tables: Tables, rounds: int = 40) -> DataFrame:
     Links always point to smaller identifiers, so chains end; n links take log2(n) rounds.
     """
     spark = tables.log.sparkSession
-    parent = F.when(F.col("supersedes_id") != 0, F.col("supersedes_id")).when(F.col("retracts_id") != 0, F.col("retracts_id"))
-    now = checkpointed(spark, tables.log.select("id", F.coalesce(parent, F.col("id")).alias("root"), F.when(parent.isNotNull(), 1).otherwise(0).cast("bigint").alias("depth")))
+    start = checkpointed(spark, links(tables.log).select("id", F.col("target").alias("root"), F.lit(1).cast("bigint").alias("depth")))
+    now = start
     for _ in range(rounds):
-        links = now.where("depth > 0")
-        step = now.alias("a").join(links.alias("b"), F.col("a.root") == F.col("b.id"), "left")
+        step = now.alias("a").join(now.alias("b"), F.col("a.root") == F.col("b.id"), "left")
         moved = step.select("a.id", F.coalesce("b.root", "a.root").alias("root"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"), F.col("b.id").isNotNull().alias("moved"))
         moved = checkpointed(spark, moved)
         now = moved.drop("moved")
         if moved.where("moved").isEmpty():
             break
-    return now
+    ends = now.select(F.col("id").alias("__id"), "root", "depth")
+    whole = tables.log.select("id").join(ends, F.col("id") == F.col("__id"), "left")
+    return whole.select("id", F.coalesce("root", "id").alias("root"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"))
 
 
 def explain(tables: Tables, id: int) -> list[dict]:
-    """The chain from a record to its root, newest first: one scan a link for short chains, all links at once beyond.
+    """The chain from a record to its root, newest first: a read a link for short chains.
 
-    The second case streams the corrections below to the driver in falling order, a partition at a time, and keeps only the chain.
+    Beyond, links are doubled until each record knows its root, and those of the asked one's root and not above it are walked, in falling order and a partition at a time.
     """
     chain, at = [], id
-    links = tables.log.where("supersedes_id <> 0 or retracts_id <> 0").select("id", F.when(F.col("supersedes_id") != 0, F.col("supersedes_id")).otherwise(F.col("retracts_id")).alias("to"))
+    found = links(tables.log)
     for _ in range(8):
         chain.append(at)
-        row = links.where(F.col("id") == F.lit(at)).first()
+        row = found.where(F.col("id") == F.lit(at)).first()
         if row is None:
             at = None
             break
-        at = row["to"]
+        at = row["target"]
     if at is not None:
-        for row in links.where(F.col("id") <= F.lit(at)).orderBy(F.desc("id")).toLocalIterator():
-            if row["id"] == at:  # links point down, so one pass over falling identifiers walks the chain
-                chain.append(at)
-                at = row["to"]
+        spark = tables.log.sparkSession
+        below = checkpointed(spark, chains(tables).where((F.col("depth") > 0) & (F.col("id") <= F.lit(at))).select("id", "root"))
+        own = below.where(F.col("id") == F.lit(at)).first()
+        if own is not None:
+            mine = found.join(below.where(F.col("root") == F.lit(own["root"])).select("id"), "id", "left_semi")
+            for row in mine.orderBy(F.desc("id")).toLocalIterator():
+                if row["id"] == at:  # links point down, so one pass over falling identifiers walks the chain
+                    chain.append(at)
+                    at = row["target"]
         chain.append(at)
     found = {r["id"]: r.asDict() for r in shown(rows(tables, F.col("id").isin(chain[:1000]))).collect()} if len(chain) <= 1000 else {}
     if len(chain) > 1000:
-        spark = tables.log.sparkSession
-        asked = spark.createDataFrame([(i,) for i in chain], "asked BIGINT")
+        asked = tables.log.sparkSession.createDataFrame([(i,) for i in chain], "asked BIGINT")
         found = {r["id"]: r.asDict() for r in shown(rows(tables).join(asked, F.col("id") == F.col("asked"), "left_semi")).collect()}
     return [found[i] for i in chain if i in found]

@@ -13,7 +13,7 @@ def redirects(merges: DataFrame) -> DataFrame:
 
 
 def resolve(merges: DataFrame, entity: int) -> int:
-    """Follows redirects from one entity; on a cycle the first entity met again. Nothing but the chain reaches the driver."""
+    """Follows redirects from one entity, a read a step; on a cycle the first entity met again. Nothing but the chain reaches the driver."""
     seen = {entity}
     while True:
         row = merges.where(F.col("absorbed") == F.lit(entity)).agg(F.max_by("surviving", "seq").alias("to")).first()
@@ -25,18 +25,55 @@ def resolve(merges: DataFrame, entity: int) -> int:
         seen.add(entity)
 
 
-def resolve_all(merges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(absorbed, surviving) with each chain followed to its end by pointer doubling; entities on or before a cycle are left out.
+#: Redirects that are few enough to be followed by the driver; more are followed by joins.
+FEW = 100_000
 
-    Each round joins the redirects with themselves, so a chain of n takes log2(n) rounds.
-    """
-    spark = merges.sparkSession
-    now = checkpointed(spark, redirects(merges))
+
+def few_redirects(merges: DataFrame) -> dict[int, int] | None:
+    """All redirects, or None if there are more than FEW."""
+    rows = redirects(merges).limit(FEW + 1).collect()
+    return {r["absorbed"]: r["surviving"] for r in rows} if len(rows) <= FEW else None
+
+
+def follow(found: dict[int, int], entity: int) -> int:
+    """As resolve does, over redirects at hand."""
+    seen = {entity}
+    while entity in found:
+        entity = found[entity]
+        if entity in seen:
+            break
+        seen.add(entity)
+    return entity
+
+
+def _doubled(spark, now: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
+    """(absorbed, surviving) after 2^rounds steps, or fewer if all have come to an end, and whether all have."""
     for _ in range(rounds):
         step = now.alias("a").join(now.alias("b"), F.col("a.surviving") == F.col("b.absorbed"), "left")
-        moved = step.select("a.absorbed", F.coalesce("b.surviving", "a.surviving").alias("surviving"), F.col("b.absorbed").isNotNull().alias("moved")).where("absorbed <> surviving")
+        moved = step.select("a.absorbed", F.coalesce("b.surviving", "a.surviving").alias("surviving"), F.col("b.absorbed").isNotNull().alias("moved"))
         moved = checkpointed(spark, moved)
         now = moved.drop("moved")
         if moved.where("moved").isEmpty():
-            break
-    return now.join(now.select(F.col("absorbed").alias("again")), F.col("surviving") == F.col("again"), "left_anti")
+            return now, True
+    return now, False
+
+
+def resolve_all(merges: DataFrame, few: int = FEW) -> DataFrame:
+    """(absorbed, surviving) of every absorbed entity, as resolve gives it: the end of its chain, or, where that leads into a cycle, the first entity of the cycle that it meets, itself if it
+    is on it.
+
+    More than `few` redirects are followed by pointer doubling: as many rounds as n redirects can take lead everything that doesn't end onto a cycle, and onto all of its entities. Those are
+    ends in a second pass. n redirects take log2(n) rounds each.
+    """
+    spark = merges.sparkSession
+    start = checkpointed(spark, redirects(merges))
+    n = start.count()
+    if n <= few:
+        found = {r["absorbed"]: r["surviving"] for r in start.collect()}
+        return spark.createDataFrame([(e, follow(found, e)) for e in found], "absorbed BIGINT, surviving BIGINT")
+    now, ended = _doubled(spark, start, n.bit_length() + 1)
+    if ended:
+        return now
+    cyclic = checkpointed(spark, now.select(F.col("surviving").alias("absorbed")).distinct().join(start.select("absorbed"), "absorbed", "left_semi"))
+    now, _ = _doubled(spark, checkpointed(spark, start.join(cyclic, "absorbed", "left_anti")), n.bit_length() + 1)
+    return now.unionByName(cyclic.select("absorbed", F.col("absorbed").alias("surviving")))

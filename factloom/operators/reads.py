@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.expressions import covers, is_current
 from ..functions.values import FIELDS, Value, literal
 from ..plans.compile import Tables, shown
-from ..plans.status import with_status
+from ..plans.status import statuses
 from ..schema import ACTIVE, HYPOTHESIS, EngineError
 
 
 def rows(tables: Tables, where: Column | None = None) -> DataFrame:
-    return with_status(tables.log, rows=where)
+    return statuses(tables, rows=where)
 
 
 def _subject(tables: Tables, subject: int) -> Column:

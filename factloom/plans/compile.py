@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import bucket, covers, status_name
 from ..functions.values import Value, field, literal, numeric
-from ..operators.merges import resolve
+from ..operators.merges import few_redirects, follow, resolve
 from ..schema import ASSERTION, MAX_GROUPS, MAX_RESULT_ROWS, STATUS_NAMES, BudgetExceeded
 from .cursor import Cursor
 from .ir import AggregateQuery, Filter, GroupBy, Query
-from .status import in_scope, with_status
+from .status import in_scope, statuses
 
 
 @dataclass(frozen=True)
 class Tables:
-    """The tables that reads need. resolve maps an identifier through entity merges."""
+    """The tables that reads need. resolve maps an identifier through entity merges.
+
+    settled: the part of log that a snapshot holds, with statuses; crowded: links that didn't fit into it; tail: the records behind it, None if there are none, of which
+    tail_links close another. Without settled, statuses come from the whole log. last_id: the last record's identifier, if the store knows it.
+    """
 
     log: DataFrame
     entities: DataFrame
@@ -26,9 +31,21 @@ class Tables:
     merges: DataFrame | None = None
     provenance: DataFrame | None = None
     payloads: DataFrame | None = None
+    settled: DataFrame | None = None
+    crowded: DataFrame | None = None
+    tail: DataFrame | None = None
+    tail_links: int = 0
+    last_id: int | None = None
+
+    @cached_property
+    def redirects(self) -> dict[int, int] | None:
+        """All redirects, if they are few."""
+        return {} if self.merges is None else few_redirects(self.merges)
 
     def resolve(self, entity: int | None) -> int | None:
-        return entity if entity is None or self.merges is None else resolve(self.merges, entity)
+        if entity is None or self.redirects == {}:
+            return entity
+        return resolve(self.merges, entity) if self.redirects is None else follow(self.redirects, entity)
 
 
 _COMPARE = {"eq": "__eq__", "ne": "__ne__", "lt": "__lt__", "lte": "__le__", "gt": "__gt__", "gte": "__ge__"}
@@ -89,7 +106,7 @@ def with_object_value(rows: DataFrame, tables: Tables) -> DataFrame:
 
 def select_rows(query: Query, tables: Tables, value: bool = False) -> DataFrame:
     """All matching rows, unordered. value: keep object_value."""
-    rows = with_status(tables.log, query.as_of_commit, query.as_of_observed, selectors(query, tables))
+    rows = statuses(tables, query.as_of_commit, query.as_of_observed, selectors(query, tables))
     if query.statuses:
         rows = rows.where(F.col("status_code").isin([STATUS_NAMES.index(s) for s in query.statuses]))
     needs = query.filter is not None and query.filter.names("object_value")
@@ -149,7 +166,7 @@ def page(query: Query, tables: Tables, more: int = 0) -> DataFrame:
         rows = rows.where(after(cursor))
     rows = rows.orderBy(*ordering(query))
     if query.offset:
-        rows = rows.offset(min(query.offset, (1 << 31) - 1))
+        rows = rows.offset(query.offset)
     return shown(rows.limit(page_size(query) + more))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, fields
 
 from ..functions.values import Value
-from ..schema import IR_VERSION, MAX_FILTER_DEPTH, MAX_GROUP_FIELDS, STATUS_NAMES, EngineError
+from ..schema import IR_VERSION, MAX_FILTER_DEPTH, MAX_GROUP_FIELDS, MAX_OFFSET, STATUS_NAMES, EngineError
 from .cursor import Cursor
 
 #: Filter fields and the kind their operand must have (None: any).
@@ -48,7 +48,7 @@ class Filter:
 
     def validate(self, depth: int = 1) -> None:
         if depth > MAX_FILTER_DEPTH:
-            raise EngineError("filter nested deeper than MAX_FILTER_DEPTH")
+            raise EngineError(f"a filter may be nested {MAX_FILTER_DEPTH} levels deep")
         if self.kind == "comparison":
             if self.field not in FILTER_FIELDS:
                 raise EngineError(f"unknown filter field: {self.field}")
@@ -63,10 +63,10 @@ class Filter:
                 raise EngineError(f"unknown status name in filter: {self.value.value}")
         elif self.kind in ("and", "or"):
             if not self.children:
-                raise EngineError("and/or filter needs at least one child")
+                raise EngineError("'and' and 'or' take one child or more")
         elif self.kind == "not":
             if len(self.children) != 1:
-                raise EngineError("not filter needs exactly one child")
+                raise EngineError("'not' takes a single child")
         else:
             raise EngineError(f"unknown filter kind: {self.kind}")
         for child in self.children:
@@ -83,15 +83,15 @@ class Filter:
     @staticmethod
     def from_json(node, depth: int = 1) -> Filter:
         if depth > MAX_FILTER_DEPTH:
-            raise EngineError("filter nested deeper than MAX_FILTER_DEPTH")
+            raise EngineError(f"a filter may be nested {MAX_FILTER_DEPTH} levels deep")
         if not isinstance(node, dict) or "kind" not in node:
-            raise EngineError("filter must be an object")
+            raise EngineError("a filter is an object with a kind")
         try:
             if node["kind"] == "comparison":
                 out = Filter.compare(node["field"], node["op"], Value.from_json(node["value"]))
             else:
                 if not isinstance(node.get("children"), list):
-                    raise EngineError("filter children must be an array")
+                    raise EngineError("a filter's children are an array")
                 out = Filter(node["kind"], children=tuple(Filter.from_json(c, depth + 1) for c in node["children"]))
         except KeyError as missing:
             raise EngineError(f"filter lacks {missing}") from missing
@@ -131,28 +131,30 @@ class Query:
 
     def validate(self) -> None:
         if self.ir_version != IR_VERSION:
-            raise EngineError("unsupported query IR version")
+            raise EngineError(f"this engine reads IR version {IR_VERSION} alone")
         if self.order not in ORDERS:
             raise EngineError(f"unknown order: {self.order}")
         for name in self.statuses:
             if name not in STATUS_NAMES:
                 raise EngineError(f"unknown status: {name}")
         if min(self.limit, self.offset, self.max_rows_examined) < 0:
-            raise EngineError("limit, offset and budgets can't be negative")
+            raise EngineError("limit, offset and max_rows_examined are never negative")
+        if self.offset > MAX_OFFSET:
+            raise EngineError(f"an offset is {MAX_OFFSET} at most; a cursor goes further")
         if self.filter is not None:
             self.filter.validate()
         if self.as_of_commit is not None and self.as_of_observed is not None:
-            raise EngineError("query sets both as_of_commit and as_of_observed")
+            raise EngineError("as_of_commit and as_of_observed exclude each other")
         self.decoded_cursor()
 
     def decoded_cursor(self) -> Cursor | None:
         if not self.cursor:
             return None
         if self.offset:
-            raise EngineError("query sets both a cursor and an offset")
+            raise EngineError("a cursor and an offset exclude each other")
         cursor = Cursor.decode(self.cursor)
         if (cursor.order, cursor.newest_first) != (self.order, self.newest_first):
-            raise EngineError("query cursor was produced under a different ordering")
+            raise EngineError("the cursor belongs to another ordering")
         return cursor
 
     @property
@@ -182,7 +184,7 @@ class Query:
                 raise EngineError(f"{name} must be a boolean")
         if "statuses" in given:
             if not isinstance(given["statuses"], (list, tuple)):
-                raise EngineError("statuses must be an array")
+                raise EngineError("statuses are an array")
             given["statuses"] = tuple(given["statuses"])
         if "filter" in given:
             given["filter"] = Filter.from_json(given["filter"])
@@ -211,11 +213,11 @@ class AggregateQuery:
     def validate(self) -> None:
         s = self.selection
         if s.ir_version != IR_VERSION:
-            raise EngineError("unsupported query IR version")
+            raise EngineError(f"this engine reads IR version {IR_VERSION} alone")
         if not self.aggregations:
-            raise EngineError("aggregate needs at least one aggregation")
+            raise EngineError("an aggregate without aggregations")
         if len(self.group_by) > MAX_GROUP_FIELDS:
-            raise EngineError("aggregate groups by more than MAX_GROUP_BY_FIELDS fields")
+            raise EngineError(f"grouping takes {MAX_GROUP_FIELDS} fields at most")
         for a in self.aggregations:
             if a.function not in FUNCTIONS:
                 raise EngineError(f"unknown aggregate function: {a.function}")
@@ -225,7 +227,7 @@ class AggregateQuery:
             if g.field not in GROUP_FIELDS:
                 raise EngineError(f"unknown group-by field: {g.field}")
             if g.field.endswith("_bucket") and g.bucket_width <= 0:
-                raise EngineError("bucket group-by needs a positive bucket_width")
+                raise EngineError("buckets need a bucket_width above zero")
         if s.limit or s.offset or s.cursor or s.newest_first or s.resolve_names or s.order != "id":
             raise EngineError("an aggregate's selection takes no limit, offset, cursor, ordering or resolve_names")
         s.validate()
@@ -233,9 +235,9 @@ class AggregateQuery:
     @staticmethod
     def from_json(args: dict) -> AggregateQuery:
         if not isinstance(args.get("aggregations"), list):
-            raise EngineError("aggregations must be an array")
+            raise EngineError("aggregations are an array")
         if not isinstance(args.get("group_by") or [], list):
-            raise EngineError("group_by must be an array")
+            raise EngineError("group_by is an array")
         aggregations = []
         for a in args["aggregations"]:
             if a.get("function") != "count" and not a.get("target"):

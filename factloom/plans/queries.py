@@ -14,7 +14,7 @@ from ..streaming.changes import counts_by_bucket
 from . import compile as plan
 from .compile import Tables
 from .ir import AggregateQuery, Aggregation, Filter, GroupBy, Query
-from .status import with_status
+from .status import statuses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,17 +76,25 @@ def _rows(name: str, where: str, f: Callable[[Tables], DataFrame], tail: str = "
     register(name, f"SELECT {_ROW} FROM l WHERE {where} {tail}", **options)(f)
 
 
-def _query(name: str, query: Query, where: str, tail: str = "", source: str = "l", **options) -> None:
-    register(name, f"SELECT {_ROW} FROM {source} WHERE {where} {tail}", **options)(lambda t: plan.page(query, t))
+def _query(name: str, query: Query | Callable[[Tables], Query], where: str, tail: str = "", source: str = "l", **options) -> None:
+    register(name, f"SELECT {_ROW} FROM {source} WHERE {where} {tail}", **options)(lambda t: plan.page(query(t) if callable(query) else query, t))
+
+
+#: Reads as of a commit look back to two fifths of the log.
+_CUT = "id <= (SELECT max(n) + 1 FROM e) * 2 // 5"
+
+
+def _cut(t: Tables) -> int:
+    return t.last_id * 2 // 5
 
 
 # ---- sources and statuses
 register("log_full_read", "SELECT * FROM log")(lambda t: t.log)
-register("log_tail_read", "SELECT * FROM log WHERE id > 5000")(lambda t: t.log.where("id > 5000"))
-register("status_now", "SELECT id, CAST(code AS INTEGER) AS status_code FROM l")(lambda t: with_status(t.log).select("id", F.col("status_code").cast("int").alias("status_code")))
-register("as_of_commit_status", "SELECT id, CAST(code AS INTEGER) AS status_code FROM l", scope="id <= 4000")(lambda t: with_status(t.log, as_of_commit=4000).select("id", F.col("status_code").cast("int").alias("status_code")))
+register("log_tail_read", "SELECT * FROM log WHERE id > (SELECT max(n) + 1 FROM e) * 9 // 10")(lambda t: t.log.where(F.col("id") > t.last_id * 9 // 10))
+register("status_now", "SELECT id, CAST(code AS INTEGER) AS status_code FROM l")(lambda t: statuses(t).select("id", F.col("status_code").cast("int").alias("status_code")))
+register("as_of_commit_status", "SELECT id, CAST(code AS INTEGER) AS status_code FROM l", scope=_CUT)(lambda t: statuses(t, as_of_commit=_cut(t)).select("id", F.col("status_code").cast("int").alias("status_code")))
 register("as_of_observed_status", "SELECT id, CAST(code AS INTEGER) AS status_code FROM l", scope="observed_at <= 1704500000", last="{'o': observed_at, 'i': id}")(
-    lambda t: with_status(t.log, as_of_observed=1_704_500_000).select("id", F.col("status_code").cast("int").alias("status_code"))
+    lambda t: statuses(t, as_of_observed=1_704_500_000).select("id", F.col("status_code").cast("int").alias("status_code"))
 )
 
 
@@ -186,7 +194,7 @@ _query("query_order_limit", Query(order="observed_at", newest_first=True, limit=
 _query("query_offset", Query(order="valid_from", limit=40, offset=33, predicate=2), "predicate = 2", "ORDER BY valid_from, id LIMIT 40 OFFSET 33")
 _query("query_cursor", Query(order="observed_at", limit=40, cursor="flc1:observed_at:asc:1704400000:777"), "observed_at > 1704400000 OR (observed_at = 1704400000 AND id > 777)", "ORDER BY observed_at, id LIMIT 40")
 _query("query_merged_subject", Query(subject=100_001), "subject = 1", "ORDER BY id LIMIT 10000")
-_query("query_as_of_commit", Query(as_of_commit=4000, statuses=("Superseded", "Retracted")), "code IN (1, 2)", "ORDER BY id LIMIT 10000", scope="id <= 4000")
+_query("query_as_of_commit", lambda t: Query(as_of_commit=_cut(t), statuses=("Superseded", "Retracted")), "code IN (1, 2)", "ORDER BY id LIMIT 10000", scope=_CUT)
 _query("query_as_of_observed", Query(as_of_observed=1_704_500_000, statuses=("Active",), subject=5), "code = 0 AND subject = 5", "ORDER BY id LIMIT 10000", scope="observed_at <= 1704500000", last="{'o': observed_at, 'i': id}")
 _query("query_filter_confidence", Query(filter=Filter.compare("confidence", "gte", Value("double", 0.9))), "confidence >= 0.9", "ORDER BY id LIMIT 10000")
 _query("query_filter_status_name", Query(filter=Filter.compare("status", "gt", text("Hypothesis"))), "status > 'Hypothesis'", "ORDER BY id LIMIT 10000")
@@ -212,11 +220,11 @@ _ALL = tuple(Aggregation(f) for f in ("count", "count_distinct", "sum", "min", "
 _CELLS = "count(*) AS row_count, count(*) AS value_0, count(DISTINCT CASE WHEN kind IS NOT NULL THEN object END) AS value_1, round(sum(num), 4) AS value_2, min(num) AS value_3, max(num) AS value_4, round(avg(num), 4) AS value_5"
 
 
-def _rounded(query: AggregateQuery, *sums: int) -> Callable[[Tables], DataFrame]:
-    return lambda t: plan.aggregate(query, t).withColumns({f"value_{i}": F.round(f"value_{i}", 4) for i in sums})
+def _rounded(query: AggregateQuery | Callable[[Tables], AggregateQuery], *sums: int) -> Callable[[Tables], DataFrame]:
+    return lambda t: plan.aggregate(query(t) if callable(query) else query, t).withColumns({f"value_{i}": F.round(f"value_{i}", 4) for i in sums})
 
 
-def _aggregates(name: str, query: AggregateQuery, sql: str, *sums: int, **options) -> None:
+def _aggregates(name: str, query: AggregateQuery | Callable[[Tables], AggregateQuery], sql: str, *sums: int, **options) -> None:
     register(name, sql, **options)(_rounded(query, *sums))
 
 
@@ -235,7 +243,7 @@ _aggregates(
     "aggregate_valid_buckets", AggregateQuery(Query(open_ended_only=True), (Aggregation("count"), Aggregation("count_distinct", "object")), (GroupBy("valid_from_bucket", 604_800), GroupBy("status"))),
     "SELECT valid_from - ((valid_from % 604800) + 604800) % 604800 AS key_0, status AS key_1, count(*) AS row_count, count(*) AS value_0, count(DISTINCT object) AS value_1 FROM l WHERE valid_to = 0 GROUP BY 1, 2",
 )
-_aggregates("aggregate_as_of_commit", AggregateQuery(Query(as_of_commit=4000), (Aggregation("count"),), (GroupBy("status"),)), "SELECT status AS key_0, count(*) AS row_count, count(*) AS value_0 FROM l GROUP BY status", scope="id <= 4000")
+_aggregates("aggregate_as_of_commit", lambda t: AggregateQuery(Query(as_of_commit=_cut(t)), (Aggregation("count"),), (GroupBy("status"),)), "SELECT status AS key_0, count(*) AS row_count, count(*) AS value_0 FROM l GROUP BY status", scope=_CUT)
 _aggregates("aggregate_no_rows", AggregateQuery(Query(subject=987_654_321), (Aggregation("count"),)), "SELECT count(*) AS row_count, count(*) AS value_0 FROM l WHERE subject = 987654321 HAVING count(*) > 0")
 _aggregates(
     "aggregate_filtered", AggregateQuery(Query(filter=Filter.compare("object_value", "gte", Value("double", 50.0))), (Aggregation("sum"), Aggregation("count")), (GroupBy("predicate"), GroupBy("status"))),

@@ -16,6 +16,8 @@ MAX_GROUPS = 10_000
 MAX_GROUP_FIELDS = 4
 MAX_FILTER_DEPTH = 8
 MAX_SPILL_ROWS = 10_000_000
+MAX_READ_ROWS = 1_000_000
+MAX_OFFSET = (1 << 31) - 1
 IR_VERSION = 1
 
 
@@ -32,6 +34,11 @@ LOG = _struct(
     "id BIGINT, subject BIGINT, predicate BIGINT, object BIGINT, valid_from BIGINT, valid_to BIGINT, observed_at BIGINT, "
     "confidence DOUBLE, appended_status TINYINT, supersedes_id BIGINT, retracts_id BIGINT"
 )
+#: A settled record: the log's fields, the code it was closed with last, and its closers by id; `crowded` ones have more than MAX_INLINE, which lie beside.
+MAX_INLINE = 16
+CLOSER = _struct("id BIGINT, observed_at BIGINT, as TINYINT")
+SETTLED = T.StructType([*LOG.fields, T.StructField("closed_as", T.ByteType()), T.StructField("closers", T.ArrayType(CLOSER)), T.StructField("crowded", T.BooleanType())])
+CROWDED = _struct("target BIGINT, as TINYINT, id BIGINT, observed_at BIGINT")
 ENTITIES = _struct("id BIGINT, value VALUE", VALUE=_struct(VALUE_DDL))
 PREDICATES = _struct("id BIGINT, name STRING")
 PAYLOADS = _struct("id BIGINT, content BINARY")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import zlib
 from itertools import batched
 from pathlib import Path
 
@@ -38,9 +39,9 @@ def selection(query: Query, tables: Tables) -> DataFrame:
         rows = rows.where(after(cursor))
     rows = rows.orderBy(*ordering(query))
     if query.offset:
-        rows = rows.offset(min(query.offset, (1 << 31) - 1))
+        rows = rows.offset(query.offset)
     if query.limit:
-        rows = rows.limit(min(query.limit, MAX_SPILL_ROWS))
+        rows = rows.limit(min(query.limit, MAX_SPILL_ROWS + 1))
     return rows.withColumnRenamed("status_code", "status").select(*ASSERTION)
 
 
@@ -61,6 +62,9 @@ def spill(query: Query, tables: Tables, directory: str | Path, token: str = "",
         raise EngineError(f"spill '{token}' already exists")
     check_budget(query, tables)
     rows = selection(query, tables)
+    n = rows.limit(MAX_SPILL_ROWS + 1).count()
+    if n > MAX_SPILL_ROWS:
+        raise BudgetExceeded("max_spill_rows", MAX_SPILL_ROWS, n)
     aside = directory / f".{token}.part"
     shutil.rmtree(aside, ignore_errors=True)
     aside.mkdir(parents=True)
@@ -68,18 +72,18 @@ def spill(query: Query, tables: Tables, directory: str | Path, token: str = "",
     rows.write.parquet(data)
     spark = tables.log.sparkSession
     kept = spark.read.schema(rows.schema).parquet(data)
-    n = kept.count()
-    if n > MAX_SPILL_ROWS:
-        shutil.rmtree(aside)
-        raise BudgetExceeded("max_spill_rows", MAX_SPILL_ROWS, n)
     listed = [{"name": c, "file": "rows.parquet" if columns == "parquet" else f"{c}.col", "type": TYPES[c][0], "bytes_per_value": TYPES[c][1]} for c in ASSERTION]
     if columns == "raw":
-        files = {c: (aside / f"{c}.col").open("wb") for c in ASSERTION}
+        files, sums = {c: (aside / f"{c}.col").open("wb") for c in ASSERTION}, dict.fromkeys(ASSERTION, 0)
         for some in batched(kept.orderBy(*ordering(query)).toLocalIterator(prefetchPartitions=True), 10_000):
             for c in ASSERTION:
-                files[c].write(np.array([row[c] for row in some], _NUMPY[TYPES[c][0]]).tobytes())
+                data = np.array([row[c] for row in some], _NUMPY[TYPES[c][0]]).tobytes()
+                files[c].write(data)
+                sums[c] = zlib.crc32(data, sums[c])
         for file in files.values():
             file.close()
+        for column in listed:
+            column["crc32"] = sums[column["name"]]
     _dictionary(kept, tables, aside / "dictionary.json")
     if columns == "raw":
         shutil.rmtree(aside / "rows.parquet")
@@ -105,10 +109,15 @@ def _dictionary(rows: DataFrame, tables: Tables, path: Path) -> None:
 
 
 def read_raw(directory: str | Path) -> dict[str, np.ndarray]:
-    """Columns of a raw spill."""
-    directory = Path(directory)
+    """Columns of a raw spill, held against their checksums."""
+    directory, out = Path(directory), {}
     descriptor = json.loads((directory / "descriptor.json").read_text())
-    return {c["name"]: np.fromfile(directory / c["file"], _NUMPY[c["type"]], descriptor["rows"]) for c in descriptor["columns"]}
+    for c in descriptor["columns"]:
+        data = (directory / c["file"]).read_bytes()
+        if len(data) != descriptor["rows"] * c["bytes_per_value"] or zlib.crc32(data) != c["crc32"]:
+            raise EngineError(f"column {c['name']} of the spill is damaged")
+        out[c["name"]] = np.frombuffer(data, _NUMPY[c["type"]])
+    return out
 
 
 def drop_spill(directory: str | Path, token: str) -> None:

@@ -1,4 +1,4 @@
-"""The driver's events as an assertion log: a pure plan, so that selectors on it reach the scan of events.
+"""The driver's events as an assertion log, loaded into a store once a session and table, and read from there.
 
 Identifiers are arithmetic (no ranking over the data): an event's row is its id, a user is a subject, and objects are numbered
 by kind. Some objects stay without a value. Residues of event_id pick corrections, hypotheses, closed intervals and backdating.
@@ -7,14 +7,22 @@ SQL twins of these rules are in plans/queries.py.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import uuid
+from pathlib import Path
+from urllib.parse import urlparse
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import struct_of
 from ..plans.compile import Tables
-from ..schema import HYPOTHESIS, RETRACTION
+from ..schema import HYPOTHESIS, RETRACTION, EngineError
+from .scratch import shared_folder
+from .store import Store
 
-PAGE, COUNT, FLAG, AMOUNT = 1_000_000_000, 2_000_000_000, 3_000_000_000, 4_000_000_000
+PAGE, COUNT, FLAG, AMOUNT, DOCUMENT = 1_000_000_000, 2_000_000_000, 3_000_000_000, 4_000_000_000, 1_000_000_000_000
 
 
 def _parts(events: DataFrame) -> DataFrame:
@@ -81,6 +89,53 @@ def provenance(events: DataFrame) -> DataFrame:
     )
 
 
+def payloads(events: DataFrame) -> DataFrame:
+    """A document for every seventh event: its properties."""
+    return events.where("event_id % 7 = 0").select((F.col("event_id") + DOCUMENT).cast("bigint").alias("id"), F.encode(F.coalesce("props", F.lit("")), "utf-8").alias("content"))
+
+
+def folder(spark: SparkSession, tag: str) -> Path:
+    """A new folder for a store below the shared one, which a store needs to be mounted everywhere; removed when the driver ends."""
+    place = urlparse(shared_folder(spark))
+    if place.scheme not in ("", "file"):
+        raise EngineError("a store needs a shared folder that is mounted; spark.checkpoint.dir isn't")
+    path = Path(place.path) / f"factloom-{tag}-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def load(spark: SparkSession, events: DataFrame, root: Path, snapshot: bool = True) -> None:
+    """All tables of events in a new store."""
+    with Store(spark, root) as store:
+        store.load_log(log(events))
+        store.load("entities", entities(events), counter="entity")
+        store.load("predicates", predicates(events), counter="predicate")
+        store.load("merges", merges(spark), "seq")
+        store.load("provenance", provenance(events), "assertion_id")
+        store.load("payloads", payloads(events))
+        if snapshot:
+            store.write_snapshot()
+
+
+_OPEN: dict[tuple, Tables] = {}
+
+
+def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def version_of(spark: SparkSession, path: str) -> tuple:
+    """Session, path, and the newest change and length of what lies there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.sparkContext.applicationId, path, system.getFileStatus(where).getModificationTime(), system.getContentSummary(where).getLength()
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return Tables(log(events), entities(events), predicates(events), merges(spark), provenance(events))
+    """The tables of a store that holds the events of sf_dir; loaded by the first call of a session, and again if the file changes."""
+    key = version_of(spark, f"{sf_dir}/events.parquet")
+    if key not in _OPEN:
+        root = folder(spark, "store")
+        load(spark, events_of(spark, sf_dir), root)
+        _OPEN[key] = Store(spark, root, read_only=True).tables()
+    return _OPEN[key]

@@ -1,9 +1,12 @@
 """The store: append-only tables of committed batches below a root folder, with one writer.
 
-Every commit writes a Parquet file under a hidden name, swaps the manifest, which lists the files that count, and gives the file its
-name. A batch is there as a whole once the manifest names it; a crash before that leaves a hidden file that nothing lists, and
+Every commit writes a Parquet file under a hidden name, adds a line to the manifest's log, which lists the files that count, and gives the file its
+name. A batch is there as a whole once the line is; a crash before that leaves a hidden file that nothing lists, and
 burns no identifier; after a crash behind it the next writer finishes the renaming. Reads go through Spark, over exactly the
-listed files, which a reader pins when it opens; streams see committed files only.
+listed files, which a reader pins when it opens.
+
+A snapshot rewrites the log as one data set that is dealt by subject, with the closers of each record beside it, so that reads of statuses need no
+join; batches that come later lie behind it.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 import fcntl
 import json
 import os
-import posixpath
+import shutil
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -21,9 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.compile import Tables
-from ..schema import LOG, MAX_BATCH, TABLES, EngineError
-
-FORMAT = 1
+from ..plans.status import crowded_links, settle
+from ..schema import CROWDED, LOG, MAX_BATCH, SETTLED, TABLES, EngineError
+from . import manifest as listing
+
+#: Commits in the manifest's log before it is folded.
+FOLD = 256
+#: Records of a part of a snapshot, about.
+PART_ROWS = 4_000_000
+#: Filters by which single records, values and names are found without reading whole data sets.
+FILTERS = {"log": ["id"], "entities": ["id", "value.text"], "predicates": ["name"], "provenance": ["assertion_id"], "payloads": ["id"]}
 _ARROW = {
     "log": pa.schema([("id", pa.int64()), ("subject", pa.int64()), ("predicate", pa.int64()), ("object", pa.int64()), ("valid_from", pa.int64()), ("valid_to", pa.int64()), ("observed_at", pa.int64()), ("confidence", pa.float64()), ("appended_status", pa.int8()), ("supersedes_id", pa.int64()), ("retracts_id", pa.int64())]),
     "entities": pa.schema([("id", pa.int64()), ("value", pa.struct([("kind", pa.int8()), ("text", pa.string()), ("i64", pa.int64()), ("f64", pa.float64()), ("b", pa.bool_()), ("ts", pa.int64())]))]),
@@ -34,14 +44,6 @@ _ARROW = {
 }
 
 
-def _sync(path: Path) -> None:
-    handle = os.open(path, os.O_RDONLY)
-    try:
-        os.fsync(handle)
-    finally:
-        os.close(handle)
-
-
 class Store:
     """root: a folder that the driver writes and all executors read."""
 
@@ -49,7 +51,7 @@ class Store:
         self.spark, self.root, self.read_only = spark, Path(root), read_only
         self._lock = None
         if read_only:
-            if not (self.root / "manifest.json").exists():
+            if not (self.root / listing.FILE).exists():
                 raise EngineError(f"no store at {self.root}")
         else:
             self.root.mkdir(parents=True, exist_ok=True)
@@ -59,15 +61,18 @@ class Store:
             except OSError as error:
                 self._lock.close()
                 raise EngineError(f"single-writer violation: {self.root} is open for writing elsewhere") from error
-        path = self.root / "manifest.json"
-        if path.exists():
-            self.manifest = json.loads(path.read_text())
-            if self.manifest.get("format") != FORMAT:
-                raise EngineError(f"unsupported store format: {self.manifest.get('format')}")
+        if (self.root / listing.FILE).exists():
+            try:
+                self.manifest, self._lines = listing.read(self.root)
+            except ValueError as error:
+                self.close()
+                raise EngineError(str(error)) from error
         else:
-            self.manifest = {"format": FORMAT, "version": 0, "next": {"assertion": 1, "entity": 1, "predicate": 1, "seq": 1}, "files": {t: [] for t in TABLES}, "snapshots": []}
-            self._swap(self.manifest)
+            self.manifest, self._lines = listing.empty(list(TABLES)), 0
+            listing.fold(self.root, self.manifest)
         if not read_only:
+            if (self.root / listing.LOG).exists():  # a line that was cut short goes
+                self._fold()
             self._settle(e for entries in self.manifest["files"].values() for e in entries[-1:])
 
     def close(self) -> None:
@@ -83,101 +88,134 @@ class Store:
 
     def require_writable(self, what: str) -> None:
         if self.read_only:
-            raise EngineError(f"kernel is open read-only; {what} is not allowed")
-
-    def _swap(self, manifest: dict) -> None:
-        aside = self.root / "manifest.json.new"
-        with aside.open("w") as out:
-            out.write(json.dumps(manifest))
+            raise EngineError(f"{what} needs a writer; this store was opened for reading")
+
+    def _fold(self) -> None:
+        listing.fold(self.root, self.manifest)
+        self._lines = 0
+
+    def _commit(self, files: dict[str, list[dict]], advance: dict[str, int]) -> None:
+        """Lists files and advances counters, all or nothing; costs a line, however many commits there were."""
+        change = {"version": self.manifest["version"] + 1, "files": files, "next": {c: self.next(c) + by for c, by in advance.items()}}
+        log = self.root / listing.LOG
+        new = not log.exists()
+        with log.open("ab") as out:
+            out.write(listing.line(change))
             out.flush()
             os.fsync(out.fileno())
-        os.replace(aside, self.root / "manifest.json")
-        _sync(self.root)
-        self.manifest = manifest
+        if new:
+            listing.sync(self.root)
+        listing.apply(self.manifest, change)
+        self._lines += 1
+        if self._lines >= FOLD:
+            self._fold()
 
     def next(self, counter: str) -> int:
         return self.manifest["next"][counter]
 
     def append(self, batches: dict[str, Iterable[dict]], **advance: int) -> None:
         """Rows of one or several tables and the counters' advance, all or nothing."""
-        new = json.loads(json.dumps(self.manifest))
-        new["version"] += 1
+        version, files = self.manifest["version"] + 1, {}
         for table, rows in batches.items():
             rows = list(rows)
             if not rows:
                 continue
             folder = self.root / table
             folder.mkdir(exist_ok=True)
-            entry = {"file": f"{table}/batch-{new['version']:09d}.parquet", "rows": len(rows)}
+            entry = {"file": f"{table}/batch-{version:09d}.parquet", "rows": len(rows)}
             if table == "log":
-                entry |= {"first": rows[0]["id"], "last": rows[-1]["id"]}
-            pq.write_table(pa.Table.from_pylist(rows, schema=_ARROW[table]), self._pending(entry["file"]))
-            _sync(self._pending(entry["file"]))
-            _sync(folder)
-            new["files"][table].append(entry)
-        for counter, by in advance.items():
-            new["next"][counter] += by
-        self._swap(new)
-        self._settle([new["files"][table][-1] for table in batches if new["files"][table]])
-
-    def _pending(self, file: str) -> Path:
-        return self.root / posixpath.dirname(file) / f"_pending-{posixpath.basename(file)}"
+                entry |= {"first": rows[0]["id"], "last": rows[-1]["id"], "links": sum(1 for r in rows if r["supersedes_id"] or r["retracts_id"])}
+            hidden = listing.pending(self.root, entry["file"])
+            pq.write_table(pa.Table.from_pylist(rows, schema=_ARROW[table]), hidden)
+            listing.sync(hidden)
+            listing.sync(folder)
+            files[table] = [entry]
+        self._commit(files, advance)
+        self._settle(e for entries in files.values() for e in entries)
 
     def _settle(self, entries: Iterable[dict]) -> None:
         """Gives committed files their names."""
         for entry in entries:
-            if not (self.root / entry["file"]).exists() and self._pending(entry["file"]).exists():
-                os.replace(self._pending(entry["file"]), self.root / entry["file"])
-                _sync((self.root / entry["file"]).parent)
+            hidden = listing.pending(self.root, entry["file"])
+            if not (self.root / entry["file"]).exists() and hidden.exists():
+                os.replace(hidden, self.root / entry["file"])
+                listing.sync(hidden.parent)
+
+    def _spark_write(self, rows: DataFrame, table: str, file: str) -> None:
+        options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in FILTERS.get(table, [])}
+        rows.write.options(**options).mode("overwrite").parquet(f"file://{(self.root / file).resolve()}")
 
     def load_log(self, rows: DataFrame) -> int:
-        """Bulk load of a log whose identifiers continue this one's without gaps; returns how many rows. Spark writes the files."""
+        """Bulk load of a log whose identifiers continue this one's without gaps; returns how many rows. Spark writes the files, sorted by identifier."""
         self.require_writable("load_log")
-        first = self.next("assertion")
-        found = rows.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.count_distinct("id").alias("ids")).first()
+        first, version = self.next("assertion"), self.manifest["version"] + 1
+        file = f"log/load-{version:09d}"
+        self._spark_write(rows.select(*LOG.names).repartitionByRange("id").sortWithinPartitions("id"), "log", file)
+        wrote = self.spark.read.schema(LOG).parquet(self._uri(file))
+        found = wrote.agg(
+            F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.count_distinct("id").alias("ids"), F.count_if(F.expr("supersedes_id <> 0 or retracts_id <> 0")).alias("links")
+        ).first()
+        if found.n and (found.low, found.high, found.ids) == (first, first + found.n - 1, found.n):
+            self._commit({"log": [{"file": file, "rows": found.n, "first": first, "last": found.high, "links": found.links}]}, {"assertion": found.n})
+            return found.n
+        shutil.rmtree(self.root / file)
+        if found.n:
+            raise EngineError("identifiers of a bulk load must continue the log's without gaps")
+        return 0
+
+    def load(self, table: str, rows: DataFrame, by: str = "id", counter: str | None = None) -> int:
+        """Bulk load of another table, sorted by a column, whose numbers lie beyond the counter's; returns how many rows."""
+        self.require_writable("load")
+        file = f"{table}/load-{self.manifest['version'] + 1:09d}"
+        columns = TABLES[table].names
+        self._spark_write(rows.select(*columns).repartitionByRange(by).sortWithinPartitions(by), table, file)
+        number = columns[0]
+        found = self.spark.read.schema(TABLES[table]).parquet(self._uri(file)).agg(F.count(F.lit(1)).alias("n"), F.min(number).alias("low"), F.max(number).alias("high")).first()
+        if counter is not None and found.n and found.low < self.next(counter):
+            shutil.rmtree(self.root / file)
+            raise EngineError(f"numbers of a bulk load must lie beyond those of {table}")
         if not found.n:
+            shutil.rmtree(self.root / file)
             return 0
-        if (found.low, found.high, found.ids) != (first, first + found.n - 1, found.n):
-            raise EngineError("identifiers of a bulk load must continue the log's without gaps")
-        self._spark_batch(rows, first, found.high, archive_before=False)
+        self._commit({table: [{"file": file, "rows": found.n}]}, {counter: found.high + 1 - self.next(counter)} if counter is not None else {})
         return found.n
 
-    def _spark_batch(self, rows: DataFrame, first: int, last: int, archive_before: bool) -> None:
-        new = json.loads(json.dumps(self.manifest))
-        new["version"] += 1
-        entry = {"file": f"log/bulk-{new['version']:09d}", "rows": last - first + 1, "first": first, "last": last}
-        rows.select(*LOG.names).repartitionByRange("id").sortWithinPartitions("id").write.parquet(self._uri(entry["file"]))
-        if archive_before:
-            new["snapshots"].append({"replaced": new["files"]["log"], "by": entry["file"]})
-            new["files"]["log"] = [entry]
-        else:
-            new["files"]["log"].append(entry)
-            new["next"]["assertion"] += entry["rows"]
-        self._swap(new)
-
     def write_snapshot(self) -> None:
-        """Rewrites the log, appended statuses as they are, as one sorted data set; replaced batches stay on disk, listed in the manifest."""
+        """Rewrites the log, appended statuses as they are, as one settled data set by subject; replaced batches stay on disk, listed in the manifest."""
         self.require_writable("write_snapshot")
-        if self.next("assertion") > 1:
-            self._spark_batch(self.table("log"), 1, self.next("assertion") - 1, archive_before=True)
+        last = self.next("assertion") - 1
+        if not last or (len(self.manifest["files"]["log"]) == 1 and "settled" in self.manifest["files"]["log"][0]):
+            return
+        version = self.manifest["version"] + 1
+        file, beside = f"settled/data-{version:09d}", f"settled/crowded-{version:09d}"
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-last // PART_ROWS))
+        log = self.table("log")
+        self._spark_write(settle(log).repartitionByRange(parts, "subject", "id").sortWithinPartitions("subject", "id"), "log", file)
+        crowded = 0
+        settled = self.spark.read.schema(SETTLED).parquet(self._uri(file))
+        if not settled.where("crowded").isEmpty():
+            self._spark_write(crowded_links(log, settled).repartitionByRange("target", "id"), "crowded", beside)
+            crowded = self.spark.read.schema(CROWDED).parquet(self._uri(beside)).count()
+        state = json.loads(json.dumps(self.manifest))
+        state["version"] = version
+        state["replaced"].append({"files": state["files"]["log"], "by": file})
+        state["files"]["log"] = [{"file": file, "rows": last, "first": 1, "last": last, "settled": True, "crowded": beside if crowded else None}]
+        self.manifest = state
+        self._fold()
 
     def archive_segments_before(self, id: int) -> None:
-        """Moves log batches that lie below id, the last one excepted, to log/archive; they are read from there."""
+        """Moves log batches that lie below id, the last one and a snapshot excepted, to log/archive; they are read from there."""
         self.require_writable("archive_segments_before")
         for entry in self.manifest["files"]["log"][:-1]:
             source = self.root / entry["file"]
-            if entry["last"] < id and source.exists():
-                target = self._archived(entry["file"])
+            if entry["last"] < id and source.exists() and "settled" not in entry:
+                target = listing.archived(self.root, entry["file"])
                 target.parent.mkdir(exist_ok=True)
                 os.replace(source, target)
-                _sync(target.parent)
-
-    def _archived(self, file: str) -> Path:
-        return self.root / posixpath.dirname(file) / "archive" / posixpath.basename(file)
+                listing.sync(target.parent)
 
     def _uri(self, file: str) -> str:
-        places = [self.root / file, self._archived(file), self._pending(file)]
-        return f"file://{next((p for p in places if p.exists()), places[0]).resolve()}"
+        return f"file://{listing.place(self.root, file).resolve()}"
 
     def table(self, name: str, files: list[dict] | None = None) -> DataFrame:
         """Exactly the listed files, hot or archived."""
@@ -194,7 +232,14 @@ class Store:
     def tables(self) -> Tables:
         """What is committed now."""
         merges = self.table("merges") if self.manifest["files"]["merges"] else None
-        return Tables(self.table("log"), self.table("entities"), self.table("predicates"), merges, self.table("provenance"), self.table("payloads"))
+        files, known = self.manifest["files"]["log"], {"last_id": self.next("assertion") - 1}
+        if files and "settled" in files[0]:
+            known["settled"] = self.spark.read.schema(SETTLED).parquet(self._uri(files[0]["file"]))
+            if files[0]["crowded"]:
+                known["crowded"] = self.spark.read.schema(CROWDED).parquet(self._uri(files[0]["crowded"]))
+            if files[1:]:
+                known |= {"tail": self.table("log", files[1:]), "tail_links": sum(e["links"] for e in files[1:])}
+        return Tables(self.table("log"), self.table("entities"), self.table("predicates"), merges, self.table("provenance"), self.table("payloads"), **known)
 
     def payload_ids(self) -> DataFrame:
         return self.table("payloads").select("id").orderBy("id")

@@ -1,4 +1,4 @@
-"""The log as a stream: each committed batch once.
+"""The log as a stream: each committed record once, bulk-loaded, archived and snapshot ones too.
 
 Statuses aren't part of the feed: they need all later corrections, so no watermark could ever drop history. Backdated rows
 come when they are committed.
@@ -9,16 +9,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schema import LOG
+from . import feed
 
+register_pickle_by_value(feed)  # workers needn't have the package
+_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LOG.fields)
 
-def changes(spark: SparkSession, root: str | Path, observed_since: int | None = None, files_per_trigger: int = 1000) -> DataFrame:
-    """Appended records of a store, as they are written (batch files only; bulk loads and snapshots repeat none of them)."""
-    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "batch-*.parquet").parquet(f"file://{Path(root).resolve()}/log")
+
+def changes(spark: SparkSession, root: str | Path, observed_since: int | None = None, after: int = 0) -> DataFrame:
+    """Records of a store behind an identifier, as they are committed."""
+    spark.dataSource.register(feed.LogSource)
+    stream = spark.readStream.format("factloom-log").option("root", str(Path(root).resolve())).option("after", str(after)).option("schema", _DDL).load()
     return stream if observed_since is None else stream.where(F.col("observed_at") >= F.lit(observed_since))
 
 

@@ -6,15 +6,21 @@ import os
 
 import numpy as np
 import pytest
+from brute import corpus
+from pyspark.sql import functions as F
 
 from factloom import mcp
 from factloom.commands import COMMANDS, call_tool, execute
 from factloom.functions.values import Value, text
+from factloom.operators import describe, merges, reads
 from factloom.kernel import Kernel, Pending, PendingNamed, Provenance
 from factloom.plans.ir import Query
-from factloom.schema import EngineError
+from factloom.plans.status import statuses
+from factloom.plans.compile import Tables
+from factloom.schema import LOG, MERGES, BudgetExceeded, EngineError
 from factloom.sinks import spill
-from factloom.sources.store import Store
+from factloom.sources import manifest
+from factloom.sources.store import FOLD, Store
 from factloom.streaming.changes import changes, follow
 
 
@@ -76,7 +82,8 @@ def test_script(kernel):
     plan = kernel.explain_query(Query(subject=1, statuses=("Active",), open_ended_only=True, predicate=1))
     assert plan["chosen"] == "columnar_scan" and [c["source"] for c in plan["considered"]] == ["subject_index", "observed_time_index", "object_current_index", "predicate_current_index", "columnar_scan", "row_scan"]
     why = {c["source"]: c.get("rejected_because") for c in kernel.explain_query(Query(predicate=1, as_of_commit=3, force_row_scan=True))["considered"]}
-    assert why == {"subject_index": "query names no subject", "object_current_index": "query names no object", "predicate_current_index": "index describes current state now; query is as-of", "columnar_scan": "force_row_scan", "row_scan": None}
+    reasons = describe.REASONS
+    assert why == {"subject_index": reasons["subject"], "object_current_index": reasons["object"], "predicate_current_index": reasons["as_of"], "columnar_scan": reasons["force_row_scan"], "row_scan": None}
     before = ids(kernel.query(Query()).assertions)
     kernel.archive_segments_before(5)
     assert (kernel.store.root / "log" / "archive").exists() and ids(kernel.query(Query()).assertions) == before
@@ -123,7 +130,7 @@ def test_store(spark, tmp_path):
             k.commit(1, 1, 4, 0, 0, 1, 1.0)
             assert len(reader.query(Query()).assertions) == 2  # pinned when opened
             before = sorted(os.walk(tmp_path / "s"))
-            with pytest.raises(EngineError, match="read-only; commit is not allowed"):
+            with pytest.raises(EngineError, match="commit needs a writer"):
                 reader.commit(1, 1, 4, 0, 0, 1, 1.0)
             assert sorted(os.walk(tmp_path / "s")) == before
         (k.store.root / "log" / "batch-000000099.parquet").write_bytes(b"torn")  # a crash before the manifest
@@ -138,6 +145,79 @@ def test_store(spark, tmp_path):
     last.rename(last.with_name(f"_pending-{last.name}"))  # a crash behind the manifest
     with Kernel(spark, tmp_path / "s") as k:
         assert last.exists() and len(k.query(Query()).assertions) == 7
+        k.commit(1, 1, 4, 0, 0, 1, 1.0)
+        log = tmp_path / "s" / "manifest.log"
+        whole = log.read_bytes()
+        log.write_bytes(whole + whole[:20])  # a crash within a line of the manifest's log
+        with Kernel(spark, tmp_path / "s", read_only=True) as reader:
+            assert len(reader.query(Query()).assertions) == 8
+    with Kernel(spark, tmp_path / "s") as k:
+        assert not (tmp_path / "s" / "manifest.log").exists() and k.commit(1, 1, 4, 0, 0, 1, 1.0) == 9
+
+
+def test_commits_cost_a_line(spark, tmp_path):
+    """The manifest's log grows by a line a commit and is folded now and then."""
+    with Store(spark, tmp_path / "m") as store:
+        row = dict(zip(LOG.names, (0, 1, 1, 2, 0, 0, 1, 1.0, 0, 0, 0)))
+        sizes = []
+        for i in range(1, FOLD + 10):
+            store.append({"log": [row | {"id": i}]}, assertion=1)
+            sizes.append((tmp_path / "m" / "manifest.log").stat().st_size if (tmp_path / "m" / "manifest.log").exists() else 0)
+        steps = np.diff(sizes[: FOLD - 1])
+        assert steps.max() < 1.2 * steps.min() and sizes[FOLD - 1] == 0 and manifest.read(tmp_path / "m")[0] == store.manifest
+
+
+def test_snapshots_settle(spark, tmp_path):
+    """Reads over a snapshot and what was committed behind it give what reads over the plain log give, now and as of any point; a record that many close included."""
+    rows = corpus(11, 240) + [
+        {"id": 241 + i, "subject": 1, "predicate": 1, "object": 101, "valid_from": 0, "valid_to": 0, "observed_at": 100 * (i * 7 % 23), "confidence": 0.5, "appended_status": 3 * (i % 2), "supersedes_id": 5 * (1 - i % 2), "retracts_id": 5 * (i % 2)}
+        for i in range(40)
+    ]
+    with Store(spark, tmp_path / "s") as store:
+        for i in range(0, 200, 50):
+            store.append({"log": rows[i : i + 50]}, assertion=50)
+        for upto in (200, 270, 280):
+            held = store.next("assertion") - 1
+            if held < upto:
+                store.append({"log": rows[held:upto]}, assertion=upto - held)
+            if upto < 280:
+                store.write_snapshot()
+            tables = store.tables()
+            plain = Tables(tables.log, tables.entities, tables.predicates)
+            assert (tables.settled is not None) and (tables.crowded is not None) == (upto > 260) and (tables.tail is not None) == (upto == 280)
+            for scope in ({}, {"as_of_commit": 120}, {"as_of_commit": 265}, {"as_of_commit": 275}, {"as_of_observed": 900}, {"as_of_observed": 2100}, {"as_of_observed": -600}, {"rows": F.col("subject") == 1}):
+                got, want = ({tuple(r) for r in statuses(t, **scope).collect()} for t in (tables, plain))
+                assert got == want, (upto, scope)
+        plan = reads.valid_at(tables, 5, 1000)._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "EqualTo(subject,5)" in plan
+        assert "EqualTo(id,7)" in reads.get(tables, 7)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_merge_cycles(spark, few):
+    """Redirects into cycles of one, two and three, tails before them, chains that end, and a later redirect that replaces an earlier one."""
+    pairs = [(10, 11), (11, 10), (9, 10), (8, 9), (20, 21), (21, 22), (22, 20), (19, 22), (18, 19), (30, 31), (31, 32), (40, 40), (41, 40), (50, 51), (50, 32)] + [(100 + i, 101 + i) for i in range(70)]
+    found = spark.createDataFrame([(i, a, s, 1) for i, (a, s) in enumerate(pairs)], MERGES)
+    got = {r["absorbed"]: r["surviving"] for r in merges.resolve_all(found, few).collect()}
+    assert got == {e: merges.resolve(found, e) for e in {a for a, _ in pairs}} if few else got == {e: merges.follow(dict(pairs), e) for e, _ in pairs}
+    assert [got[e] for e in (8, 9, 10, 11, 18, 19, 20, 21, 22, 30, 40, 41, 50, 100)] == [10, 10, 10, 11, 22, 22, 20, 21, 22, 32, 40, 40, 32, 170]
+
+
+def test_neighbours_behind_cycles(kernel):
+    kernel.commit_batch([fact(1, 1, 9), fact(10, 1, 5), fact(11, 1, 6)])
+    kernel.merge_entities(11, 10, 1)
+    kernel.merge_entities(10, 11, 2)
+    kernel.merge_entities(10, 9, 3)
+    assert kernel.resolve_entity(9) == 10 and kernel.neighbors(1, 2) == [9, 5]
+
+
+def test_long_chains(kernel):
+    """A chain of more links than are read one by one, and beside it another that shares its root."""
+    kernel.commit(1, 1, 3, 0, 0, 1, 1.0)
+    for i in range(1, 13):
+        kernel.commit_superseding(1, 1, 3, 0, 0, 1, 1.0, supersedes_id=i)
+    kernel.commit_superseding(1, 1, 3, 0, 0, 1, 1.0, supersedes_id=2)
+    assert ids(kernel.explain(13)) == list(range(13, 0, -1)) and ids(kernel.explain(14)) == [14, 2, 1]
 
 
 def test_spill(kernel, tmp_path):
@@ -146,6 +226,12 @@ def test_spill(kernel, tmp_path):
     kernel.commit_retraction(1, 1, 2, 0, 0, 9, 1.0, retracts_id=2)
     made = kernel.spill_query(Query(order="id", newest_first=True), columns="raw")
     raw = spill.read_raw(made["directory"])
+    column = tmp_path / "spills" / "result-1" / "object.col"
+    data = column.read_bytes()
+    column.write_bytes(bytes([data[0] ^ 1]) + data[1:])
+    with pytest.raises(EngineError, match="damaged"):
+        spill.read_raw(made["directory"])
+    column.write_bytes(data)
     assert made["token"] == "result-1" and made["rows"] == 6 and raw["id"].tolist() == [6, 5, 4, 3, 2, 1] and raw["status"].tolist() == [3, 0, 0, 0, 2, 0] and raw["confidence"].dtype == np.float64
     names = json.loads((tmp_path / "spills" / "result-1" / "dictionary.json").read_text())
     assert len(names["entities"]) == 6 and names["predicates"] == {"1": "p"} and names["entities"]["3"] == {"kind": "int64", "value": -42}
@@ -190,8 +276,9 @@ def test_mcp(kernel):
 
 
 def test_change_feed(kernel, tmp_path):
+    """Each record once, in whichever way it got into the store and wherever it lies by then."""
     seen: list[int] = []
-    each = lambda df, _: seen.extend(r["id"] for r in df.collect())
+    each = lambda df, _: seen.extend(sorted(r["id"] for r in df.collect()))
     kernel.commit_batch([fact(1, 1, 2, obs=5), fact(1, 1, 3, obs=500)])
     run = lambda: follow(changes(kernel.spark, kernel.store.root, 100), each, str(tmp_path / "cp")).awaitTermination()
     run()
@@ -199,3 +286,26 @@ def test_change_feed(kernel, tmp_path):
     kernel.commit_batch([fact(2, 1, 3, obs=200)])
     run()
     assert seen == [2, 3]
+    log = kernel.store.table("log")
+    kernel.store.load_log(log.selectExpr("id + 3 as id", *log.columns[1:]))
+    kernel.commit_batch([fact(2, 1, 3, obs=200), fact(2, 1, 3, obs=5)])
+    kernel.archive_segments_before(4)
+    run()
+    assert seen == [2, 3, 5, 6, 7]
+    kernel.write_snapshot()
+    run()
+    kernel.commit(2, 1, 3, 0, 0, 300, 1.0)
+    run()
+    assert seen == [2, 3, 5, 6, 7, 9]
+    seen.clear()
+    follow(changes(kernel.spark, kernel.store.root), each, str(tmp_path / "again")).awaitTermination()
+    assert seen == list(range(1, 10))
+
+
+def test_bounds(kernel, monkeypatch):
+    with pytest.raises(EngineError, match="a cursor goes further"):
+        kernel.query(Query(offset=1 << 31))
+    kernel.commit_batch([fact(1, 1, 3)] * 6)
+    monkeypatch.setattr("factloom.kernel.MAX_READ_ROWS", 5)
+    with pytest.raises(BudgetExceeded, match="max_read_rows"):
+        kernel.current_by_predicate(1)
