@@ -55,6 +55,13 @@ class Kernel:
         self.spark, self.store = spark, Store(spark, root, read_only)
         self.spill_directory = None if spill_directory is None else Path(spill_directory)
 
+    @classmethod
+    def over(cls, store: Store) -> Kernel:
+        """The operations of a store that is open already."""
+        kernel = cls.__new__(cls)
+        kernel.spark, kernel.store, kernel.spill_directory = store.spark, store, None
+        return kernel
+
     def close(self) -> None:
         self.store.close()
 

@@ -63,10 +63,15 @@ _ROW = "id, subject, predicate, object, valid_from, valid_to, observed_at, confi
 _NOW = "code = 0 AND valid_to = 0"
 
 
+def parts(scope: str = "true", last: str = "id") -> str:
+    """What the SQL twins build on: the log of events, its catalogs, and statuses in scope."""
+    return f"{_PARTS.strip()},{_statuses(scope, last)}"
+
+
 def register(name: str, sql: str, scope: str = "true", last: str = "id", recursive: bool = False) -> Callable:
     def put(f: Callable[[Tables], DataFrame]) -> Callable:
         QUERIES[name] = lambda spark, sf_dir: f(adapter.tables(spark, sf_dir))
-        ORACLE_SQL[name] = f"WITH {'RECURSIVE ' if recursive else ''}{_PARTS.strip()},{_statuses(scope, last)}\n{sql}"
+        ORACLE_SQL[name] = f"WITH {'RECURSIVE ' if recursive else ''}{parts(scope, last)}\n{sql}"
         return f
 
     return put
@@ -256,3 +261,5 @@ register("spill_dictionary", "SELECT x.id, x.kind, x.text, x.i64, x.f64, x.b FRO
 )
 register("interning_new_objects", "SELECT DISTINCT object FROM log WHERE object NOT IN (SELECT id FROM entities)")(lambda t: t.log.select("object").distinct().join(t.entities.select(F.col("id").alias("object")), "object", "left_anti"))
 register("change_counts_by_bucket", "SELECT predicate, observed_at - ((observed_at % 3600) + 3600) % 3600 AS bucket, count(*) AS n FROM log GROUP BY 1, 2")(lambda t: counts_by_bucket(t.log, 3600))
+
+from . import store_queries  # noqa: E402, F401  adds the queries that need a store of their own
