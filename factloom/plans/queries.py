@@ -42,7 +42,12 @@ entities AS (SELECT DISTINCT subject AS id, 0 AS kind, 'user-' || (subject - 1)
                     CASE WHEN object >= 3000000000 AND object < 4000000000 THEN object = 3000000001 END
              FROM (SELECT DISTINCT object FROM o) WHERE NOT (object < 2000000000 AND (object - 1000000000) % 13 = 0)),
 merges AS (SELECT CAST(seq AS BIGINT) AS seq, CAST(absorbed AS BIGINT) AS absorbed, CAST(surviving AS BIGINT) AS surviving, CAST(merged_at AS BIGINT) AS merged_at
-           FROM (VALUES (1, 100001, 100000, 10), (2, 100000, 1, 20), (3, 100002, 7, 30), (4, 100002, 2, 40)) t(seq, absorbed, surviving, merged_at)),
+           FROM (VALUES (1, 100001, 100000, 10), (2, 100000, 1, 20), (3, 100002, 7, 30), (4, 100002, 2, 40), (5, 200001, 200002, 50), (6, 200002, 200001, 60), (7, 200003, 200001, 70),
+                       (8, 300001, 300002, 80), (9, 300002, 300003, 90), (10, 300003, 300001, 100), (11, 300004, 300002, 110), (12, 1000000006, 1000000007, 120), (13, 1000000007, 1000000006, 130),
+                       (14, 1000000008, 1000000006, 140), (15, 1000000009, 9, 150), (16, 1000000010, 1000000009, 160)) t(seq, absorbed, surviving, merged_at)),
+resolved AS (SELECT CAST(absorbed AS BIGINT) AS absorbed, CAST(surviving AS BIGINT) AS surviving
+             FROM (VALUES (100001, 1), (100000, 1), (100002, 2), (200001, 200001), (200002, 200002), (200003, 200001), (300001, 300001), (300002, 300002), (300003, 300003), (300004, 300002),
+                          (1000000006, 1000000006), (1000000007, 1000000007), (1000000008, 1000000006), (1000000009, 9), (1000000010, 9)) t(absorbed, surviving)),
 provenance AS (SELECT n * 2 + turn + 1 AS seq, n + 1 AS assertion_id, n % 10 + turn * 100 + 1 AS source, n * 10 + turn AS recorded_at,
                       CASE WHEN turn = 0 THEN 'import' ELSE 'review' END AS method
                FROM e, (VALUES (0), (1)) t(turn) WHERE n % 3 = 0 AND (turn = 0 OR n % 9 = 0)),
@@ -177,11 +182,11 @@ register(
     "neighbors",
     f""", g AS (SELECT DISTINCT subject AS a, object AS b FROM l WHERE {_NOW}),
        h1 AS (SELECT b AS entity FROM g WHERE a = 5 UNION SELECT a FROM g WHERE b = 5),
-       h2 AS (SELECT g.b AS entity FROM g JOIN h1 ON g.a = h1.entity UNION SELECT g.a FROM g JOIN h1 ON g.b = h1.entity)
+       h2 AS (SELECT g.b AS entity FROM h1 LEFT JOIN resolved x ON x.absorbed = h1.entity JOIN g ON g.a = coalesce(x.surviving, h1.entity) UNION SELECT g.a FROM g JOIN h1 ON g.b = h1.entity)
        SELECT entity, 1 AS hops FROM h1 WHERE entity <> 5 UNION ALL SELECT entity, 2 FROM h2 WHERE entity <> 5 AND entity NOT IN (SELECT entity FROM h1)""",
 )(lambda t: graph.neighbors(t, 5, 2))
 register("co_occurring_predicates", f"SELECT DISTINCT predicate FROM l WHERE subject = 5 AND {_NOW}")(lambda t: graph.co_occurring_predicates(t, 5))
-register("resolve_entity", "SELECT CAST(absorbed AS BIGINT) AS absorbed, CAST(surviving AS BIGINT) AS surviving FROM (VALUES (100001, 1), (100000, 1), (100002, 2)) t(absorbed, surviving)")(lambda t: merges.resolve_all(t.merges))
+register("resolve_entity", "SELECT absorbed, surviving FROM resolved")(lambda t: merges.resolve_all(t.merges))
 register("describe_predicates", f"SELECT p.id, p.name, count(l.id) AS current_rows FROM predicates p LEFT JOIN l ON l.predicate = p.id AND {_NOW} GROUP BY p.id, p.name")(describe.describe_predicates)
 register(
     "describe_corpus",

@@ -74,9 +74,15 @@ def entities(events: DataFrame) -> DataFrame:
     return users.unionByName(pages).unionByName(counts).unionByName(flags).unionByName(amounts)
 
 
+#: Redirects in order: a chain of users, one that a later one replaces, cycles of two and three with tails before them, and the same among pages.
+REDIRECTS = [
+    (100_001, 100_000), (100_000, 1), (100_002, 7), (100_002, 2), (200_001, 200_002), (200_002, 200_001), (200_003, 200_001), (300_001, 300_002), (300_002, 300_003), (300_003, 300_001), (300_004, 300_002),
+    (PAGE + 6, PAGE + 7), (PAGE + 7, PAGE + 6), (PAGE + 8, PAGE + 6), (PAGE + 9, 9), (PAGE + 10, PAGE + 9),
+]
+
+
 def merges(spark: SparkSession) -> DataFrame:
-    """Redirects among users: 100001 -> 100000 -> 1, and a later one of 100002 that replaces its first."""
-    return spark.createDataFrame([(1, 100_001, 100_000, 10), (2, 100_000, 1, 20), (3, 100_002, 7, 30), (4, 100_002, 2, 40)], "seq BIGINT, absorbed BIGINT, surviving BIGINT, merged_at BIGINT")
+    return spark.createDataFrame([(i, a, s, 10 * i) for i, (a, s) in enumerate(REDIRECTS, 1)], "seq BIGINT, absorbed BIGINT, surviving BIGINT, merged_at BIGINT")
 
 
 def provenance(events: DataFrame) -> DataFrame:

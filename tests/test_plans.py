@@ -6,6 +6,7 @@ import pytest
 from brute import MERGED, OBJECTS, PREDICATES, SUBJECTS, aggregated, corpus, random_aggregate, random_query, selected, statuses
 
 from factloom.functions.values import Value, text
+from factloom.operators import conflicts
 from factloom.plans.compile import Tables, run_aggregate, run_query
 from factloom.plans.cursor import Cursor
 from factloom.plans.ir import AggregateQuery, Aggregation, Filter, GroupBy, Query
@@ -143,3 +144,16 @@ def test_selectors_reach_the_scan(spark, tmp_path, tables):
 
     plan = page(Query(subject=3, observed_to=4000), stored)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(subject,3)" in plan and "LessThanOrEqual(observed_at,4000)" in plan
+
+
+@pytest.mark.parametrize("together", [5, 5_000])
+def test_conflicts_of_large_groups(spark, tables, script, together):
+    """The same pairs, however many slices a group is cut into; each once."""
+    now = [r for r in statuses(script) if r["status"] == 0 or r["status"] == "Active"]
+    overlap = lambda a, b: (b["valid_to"] == 0 or a["valid_from"] < b["valid_to"]) and (a["valid_to"] == 0 or b["valid_from"] < a["valid_to"])
+    want = sorted(
+        (a["id"], b["id"]) for a in now for b in now
+        if a["id"] < b["id"] and a["subject"] == b["subject"] and a["predicate"] == b["predicate"] and a["object"] != b["object"] and overlap(a, b)
+    )
+    got = sorted((r["a_id"], r["b_id"]) for r in conflicts.conflicts(tables, together=together).collect())
+    assert got == want and want
