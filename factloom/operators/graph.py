@@ -21,22 +21,43 @@ def edges(tables: Tables) -> DataFrame:
     return rows(tables, F.col("valid_to") == 0).where(is_current()).select("subject", "object").distinct()
 
 
-def neighbors(tables: Tables, start: int, max_hops: int = 1) -> DataFrame:
+#: Entities of a hop, and edges from and to them, that are few enough to be followed by the driver.
+FEW = 1_000
+
+
+def neighbors(tables: Tables, start: int, max_hops: int = 1, few: int = FEW) -> DataFrame:
     """(entity, hops) for every entity that at most max_hops edges reach, start excluded.
 
     As the fixed-shape reads do, outgoing edges are those of the frontier's merged entity and incoming ones those of the entity itself.
-    Each hop is a join of the frontier with the edges and an anti-join with what was reached, checkpointed.
+    As long as a hop has at most `few` entities and edges it is one read that names them; from the first larger one on, hops are joins of the frontier with the edges.
     """
     if max_hops < 0 or max_hops > MAX_HOPS:
         raise EngineError(f"max_hops is 0 to {MAX_HOPS}")
     spark, start = tables.log.sparkSession, tables.resolve(start)
-    edge = edges(tables)
-    if max_hops > 1 and tables.settled is None:  # a snapshot is read as fast as what would be kept of it
+    reached, frontier, hop = {start: 0}, {start}, 1
+    while hop <= max_hops and frontier and len(frontier) <= few and tables.redirects is not None:
+        out = {tables.resolve(e) for e in frontier}
+        near = F.col("subject").isin(sorted(out)) | F.col("object").isin(sorted(frontier))
+        edge = rows(tables, near & (F.col("valid_to") == 0)).where(is_current()).select("subject", "object").limit(few + 1).collect()
+        if len(edge) > few:
+            break
+        frontier = ({r["object"] for r in edge if r["subject"] in out} | {r["subject"] for r in edge if r["object"] in frontier}) - reached.keys()
+        reached |= dict.fromkeys(frontier, hop)
+        hop += 1
+    found = spark.createDataFrame(list(reached.items()), "entity BIGINT, hops INT")
+    if hop <= max_hops and frontier:
+        found = _joined(tables, found, hop, max_hops)
+    return found.where("hops > 0")
+
+
+def _joined(tables: Tables, reached: DataFrame, hop: int, max_hops: int) -> DataFrame:
+    """The hops from one on as joins with the edges, and an anti-join with what was reached; each is checkpointed."""
+    spark, edge = tables.log.sparkSession, edges(tables)
+    if max_hops > hop and tables.settled is None:  # a snapshot is read as fast as what would be kept of it
         edge = checkpointed(spark, edge)
     merged = resolve_all(tables.merges) if tables.redirects != {} else None
-    frontier = spark.createDataFrame([(start,)], "entity BIGINT")
-    reached = spark.createDataFrame([(start, 0)], "entity BIGINT, hops INT")
-    for hop in range(1, max_hops + 1):
+    frontier = reached.where(F.col("hops") == hop - 1).select("entity")
+    for hop in range(hop, max_hops + 1):
         out = frontier
         if merged is not None:
             out = frontier.join(merged, F.col("entity") == F.col("absorbed"), "left").select(F.coalesce("surviving", "entity").alias("entity"))
@@ -46,7 +67,7 @@ def neighbors(tables: Tables, start: int, max_hops: int = 1) -> DataFrame:
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier.withColumn("hops", F.lit(hop)))
-    return reached.where("hops > 0")
+    return reached
 
 
 def co_occurring_predicates(tables: Tables, subject: int) -> DataFrame:

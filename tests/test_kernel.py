@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from factloom import mcp
 from factloom.commands import COMMANDS, call_tool, execute
 from factloom.functions.values import Value, text
-from factloom.operators import describe, merges, reads
+from factloom.operators import describe, graph, merges, reads
 from factloom.kernel import Kernel, Pending, PendingNamed, Provenance
 from factloom.plans.ir import Query
 from factloom.plans.status import statuses
@@ -199,7 +199,9 @@ def test_merge_cycles(spark, few):
     pairs = [(10, 11), (11, 10), (9, 10), (8, 9), (20, 21), (21, 22), (22, 20), (19, 22), (18, 19), (30, 31), (31, 32), (40, 40), (41, 40), (50, 51), (50, 32)] + [(100 + i, 101 + i) for i in range(70)]
     found = spark.createDataFrame([(i, a, s, 1) for i, (a, s) in enumerate(pairs)], MERGES)
     got = {r["absorbed"]: r["surviving"] for r in merges.resolve_all(found, few).collect()}
-    assert got == {e: merges.resolve(found, e) for e in {a for a, _ in pairs}} if few else got == {e: merges.follow(dict(pairs), e) for e, _ in pairs}
+    assert got == {e: merges.follow(dict(pairs), e) for e, _ in pairs}
+    if few:
+        assert [merges.resolve(found, e) for e in (8, 11, 18, 30, 41, 50, 7)] == [10, 11, 22, 32, 40, 32, 7]
     assert [got[e] for e in (8, 9, 10, 11, 18, 19, 20, 21, 22, 30, 40, 41, 50, 100)] == [10, 10, 10, 11, 22, 22, 20, 21, 22, 32, 40, 40, 32, 170]
 
 
@@ -209,6 +211,10 @@ def test_neighbours_behind_cycles(kernel):
     kernel.merge_entities(10, 11, 2)
     kernel.merge_entities(10, 9, 3)
     assert kernel.resolve_entity(9) == 10 and kernel.neighbors(1, 2) == [9, 5]
+    kernel.commit_batch([fact(5, 1, 30 + i) for i in range(6)])
+    for few in (0, 1, 4, 1000):
+        found = graph.neighbors(kernel.tables, 1, 3, few)
+        assert {r["entity"]: r["hops"] for r in found.collect()} == {9: 1, 5: 2, 10: 3} | {30 + i: 3 for i in range(6)}, few
 
 
 def test_long_chains(kernel):
