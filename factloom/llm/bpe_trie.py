@@ -207,7 +207,7 @@ def encoded(docs: DataFrame, path: str, make, schema: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (little-endian uint32) of each row's whole text; null and empty texts have none. Repeated rows and null identifiers stay rows."""
+    """doc_id and ids (little-endian uint32) of each row's whole text; null and empty texts have none. Repeated rows and null identifiers stay rows. Empty table: empty result."""
     return encoded(docs, path, lambda doc_id, ids, _: pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], names=["doc_id", "ids"]), "doc_id long, ids binary")
 
 

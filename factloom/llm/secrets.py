@@ -9,8 +9,6 @@ query needs no trigram scans every document. The index is split by documents, so
 from __future__ import annotations
 
 import re
-import re._constants as sre
-import re._parser as sre_parser
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, cached_property
@@ -21,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, buffer_and_offsets, id_and_text, ship
+from .patterns import parse
 
 
 @dataclass(frozen=True)
@@ -74,43 +73,19 @@ def _holds(strings: set[str]):
     return _join("or", [_join("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
 
 
-def _analyse(items) -> tuple[set[str] | None, object]:
-    """(all strings that the items match, or None if they are many; the query of the items)."""
-    now, parts, exact = {""}, [], True
-    for op, arg in items:
-        strings, query = _item(op, arg)
-        if strings is not None and len(now) * len(strings) <= MOST_STRINGS:
-            now = {a + b for a in now for b in strings}
-            continue
-        exact = False
-        parts += [_holds(now), query if strings is None else _holds(strings)]
-        now = {""} if strings is None else strings
-    parts.append(_holds(now))
-    return (now if exact else None), _join("and", parts)
-
-
-def _item(op, arg) -> tuple[set[str] | None, object]:
-    if op is sre.LITERAL:
-        return ({chr(arg).lower()} if arg < 128 else None), True
-    if op is sre.IN:
-        chars: set[str] = set()
-        for kind, x in arg:
-            if kind is sre.LITERAL:
-                chars.add(chr(x).lower())
-            elif kind is sre.RANGE and x[1] - x[0] < 8:
-                chars |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
-            else:
-                return None, True
-        return (chars if len(chars) <= 8 and all(c.isascii() for c in chars) else None), True
-    if op is sre.SUBPATTERN:
-        return _analyse(arg[3])
-    if op is sre.BRANCH:
-        found = [_analyse(x) for x in arg[1]]
+def _analyse(node) -> tuple[set[str] | None, object]:
+    """(all strings that a node of a parsed expression matches, lower-cased, or None if they are many; its query)."""
+    kind = node[0]
+    if kind == "chars":
+        chars = None if node[1] is None else {c.lower() for c in node[1]}
+        return (chars if chars is not None and len(chars) <= 8 else None), True
+    if kind == "alt":
+        found = [_analyse(x) for x in node[1]]
         strings = None if any(s is None for s, _ in found) else set().union(*(s for s, _ in found))
         return strings, _join("or", [q for _, q in found])
-    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
-        low, high, inner = arg
-        strings, query = _analyse(inner)
+    if kind == "rep":
+        strings, query = _analyse(node[1])
+        low, high = node[2:]
         if strings is not None and (low, high) == (0, 1):
             return strings | {""}, True
         if strings is not None and low == high and len(strings) ** low <= MOST_STRINGS:
@@ -119,13 +94,21 @@ def _item(op, arg) -> tuple[set[str] | None, object]:
                 out = {a + b for a in out for b in strings}
             return out, _holds(out)
         return None, (query if low else True)
-    if op is sre.AT:
-        return {""}, True
-    return None, True
+    now, parts, exact = {""}, [], True
+    for item in node[1]:
+        strings, query = _analyse(item)
+        if strings is not None and len(now) * len(strings) <= MOST_STRINGS:
+            now = {a + b for a in now for b in strings}
+            continue
+        exact = False
+        parts += [_holds(now), query if strings is None else _holds(strings)]
+        now = {""} if strings is None else strings
+    parts.append(_holds(now))
+    return (now if exact else None), _join("and", parts)
 
 
 def trigram_query(rule: Rule):
-    return _analyse(sre_parser.parse(rule.pattern))[1]
+    return _analyse(parse(rule.pattern))[1]
 
 
 def trigrams_of(query) -> set[str]:
@@ -189,7 +172,7 @@ SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and spans (kind, start, end) of each row's whole text. Null and empty texts have no spans; repeated rows and null identifiers stay rows."""
+    """doc_id and spans (kind, start, end) of each row's whole text. Null and empty texts have no spans; repeated rows and null identifiers stay rows. Empty table: empty result."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, size=2 << 20):
