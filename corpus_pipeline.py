@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
-Every stage works on all rows that the one before kept. All but the last return the columns of documents.
+Every stage works on all rows that the one before kept. All but the last return the columns of documents, further columns too, whatever their names.
+A null text counts as empty everywhere; null and repeated identifiers are rows like others, told apart by their texts; an empty table goes through empty.
 """
 
 from __future__ import annotations
@@ -14,29 +15,35 @@ from factloom.llm.common import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier rejects; it learns from the labelled rows among them outside the held-out fold."""
+    """Drops documents that the quality classifier rejects; it learns from the labelled rows among them outside the held-out fold.
+
+    Empty and null texts have a score like others. Without labelled rows every document has the score 0.5 and stays.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
+    """Of equal texts the row with the smallest doc_id stays, null last; of rows that repeat identifier and text, one. Empty and null texts are equal."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, the row with the smallest doc_id stays."""
+    """Of each group of near-duplicates, texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, the row with the smallest doc_id stays, null last.
+
+    Texts without words are near each other; ties between rows of one identifier go by the text's digest.
+    """
     return similar.drop_similar(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Covers secrets in texts; n_chars follows."""
+    """Covers secrets in texts; n_chars follows. All rows stay, null texts as they are."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two length, one a sequence."""
+    """Pieces of power-of-two length, one a sequence. An empty or null text is the end id alone; repeated rows are packed each time."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
