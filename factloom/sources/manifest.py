@@ -42,12 +42,15 @@ def line(change: dict) -> bytes:
 
 
 def read(root: Path) -> tuple[dict, int]:
-    """The state with the log's commits, and how many lines of the log count."""
+    """The state with the log's commits, and how many lines of the log count. The log is read first: if a writer folds it meanwhile, the state holds what it held."""
+    try:
+        log = (root / LOG).read_bytes()
+    except FileNotFoundError:
+        log = b""
     state, lines = json.loads((root / FILE).read_text()), 0
     if state.get("format") != FORMAT:
         raise ValueError(f"a store of format {state.get('format')}; this is format {FORMAT}")
-    log = root / LOG
-    for text in log.read_bytes().splitlines(keepends=True) if log.exists() else []:
+    for text in log.splitlines(keepends=True):
         if not text.endswith(b"\n") or text[8:9] != b" " or f"{zlib.crc32(text[9:-1]):08x}".encode() != text[:8]:
             break
         change = json.loads(text[9:])

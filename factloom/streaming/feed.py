@@ -64,8 +64,12 @@ class LogSource(DataSource):
 
         def listing(root: Path) -> dict:
             """The manifest, as sources/manifest.py reads it; written out here, for workers that have this module alone."""
-            state, log = json.loads((root / "manifest.json").read_text()), root / "manifest.log"
-            for text in log.read_bytes().splitlines(keepends=True) if log.exists() else []:
+            try:
+                log = (root / "manifest.log").read_bytes()
+            except FileNotFoundError:
+                log = b""
+            state = json.loads((root / "manifest.json").read_text())
+            for text in log.splitlines(keepends=True):
                 if not text.endswith(b"\n") or f"{zlib.crc32(text[9:-1]):08x} ".encode() != text[:9]:
                     break
                 change = json.loads(text[9:])
