@@ -58,7 +58,7 @@ def _bytes(x) -> bytes:
 def _entries(fields: tuple, make: type) -> Callable:
     def parse(x):
         if not isinstance(x, list):
-            raise EngineError("entries must be an array")
+            raise EngineError("entries are an array")
         return [make(**_arguments(e, fields)) for e in x]
 
     return parse
@@ -66,7 +66,7 @@ def _entries(fields: tuple, make: type) -> Callable:
 
 def _ids(x) -> list[int]:
     if not isinstance(x, list):
-        raise EngineError("ids must be an array")
+        raise EngineError("ids are an array")
     return [_id(i) for i in x]
 
 
@@ -236,7 +236,7 @@ def to_json(result):
 
 def execute(kernel: Kernel, name: str, args: dict | None = None):
     if name not in COMMANDS:
-        raise EngineError(f"unknown tool: {name}")
+        raise EngineError(f"no such tool: {name}")
     return COMMANDS[name].execute(kernel, args or {})
 
 

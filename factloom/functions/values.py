@@ -25,7 +25,7 @@ class Value:
 
     def __post_init__(self):
         if self.kind not in KINDS:
-            raise EngineError(f"unknown Value kind: {self.kind}")
+            raise EngineError(f"no such kind of value: {self.kind}")
         want = _PYTHON[KINDS.index(self.kind)]
         ok = isinstance(self.value, want) and (want is bool or not isinstance(self.value, bool))
         if want is float and isinstance(self.value, int) and not isinstance(self.value, bool):

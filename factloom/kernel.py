@@ -89,7 +89,7 @@ class Kernel:
 
     def _known(self, id: int, what: str) -> None:
         if not 0 < id < self.store.next("assertion"):
-            raise EngineError(f"invalid {what} target")
+            raise EngineError(f"{what} of a record that isn't there")
 
     def commit(self, subject: int, predicate: int, object: int, valid_from: int, valid_to: int, observed_at: int, confidence: float) -> int:
         self.store.require_writable("commit")
@@ -328,7 +328,7 @@ class Kernel:
 
     def _answers(self, ids: Sequence[int], found: DataFrame, key: str, make) -> list:
         if len(ids) > MAX_BATCH:
-            raise EngineError("batch exceeds maximum size")
+            raise EngineError(f"a batch holds {MAX_BATCH} entries at most")
         if not ids:
             return []
         asked = self.spark.createDataFrame(list(enumerate(ids)), "pos INT, id BIGINT")

@@ -25,7 +25,7 @@ class Cursor:
     def decode(token: str) -> Cursor:
         m = _TOKEN.fullmatch(token) if isinstance(token, str) and token.isascii() else None
         if m and int(m[1]) != VERSION:
-            raise EngineError(f"unsupported query cursor version: {m[1]}")
+            raise EngineError(f"a cursor of version {m[1]}; this engine's have {VERSION}")
         if m is None or int(m[5]) == 0 or max(abs(int(m[4])), int(m[5])) >= 1 << 63:
-            raise EngineError(f"malformed query cursor: '{token}'")
+            raise EngineError(f"'{token}' is no cursor")
         return Cursor(m[2], m[3] == "desc", int(m[4]), int(m[5]))

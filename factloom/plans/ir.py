@@ -51,7 +51,7 @@ class Filter:
             raise EngineError(f"a filter may be nested {MAX_FILTER_DEPTH} levels deep")
         if self.kind == "comparison":
             if self.field not in FILTER_FIELDS:
-                raise EngineError(f"unknown filter field: {self.field}")
+                raise EngineError(f"no such field to filter by: {self.field}")
             if self.op not in OPS:
                 raise EngineError(f"unknown comparison: {self.op}")
             if self.value is None:
@@ -68,7 +68,7 @@ class Filter:
             if len(self.children) != 1:
                 raise EngineError("'not' takes a single child")
         else:
-            raise EngineError(f"unknown filter kind: {self.kind}")
+            raise EngineError(f"no such kind of filter: {self.kind}")
         for child in self.children:
             child.validate(depth + 1)
 
@@ -133,7 +133,7 @@ class Query:
         if self.ir_version != IR_VERSION:
             raise EngineError(f"this engine reads IR version {IR_VERSION} alone")
         if self.order not in ORDERS:
-            raise EngineError(f"unknown order: {self.order}")
+            raise EngineError(f"no such order: {self.order}")
         for name in self.statuses:
             if name not in STATUS_NAMES:
                 raise EngineError(f"unknown status: {name}")
@@ -220,12 +220,12 @@ class AggregateQuery:
             raise EngineError(f"grouping takes {MAX_GROUP_FIELDS} fields at most")
         for a in self.aggregations:
             if a.function not in FUNCTIONS:
-                raise EngineError(f"unknown aggregate function: {a.function}")
+                raise EngineError(f"no such aggregation: {a.function}")
             if a.target not in TARGETS:
-                raise EngineError(f"unknown aggregate target: {a.target}")
+                raise EngineError(f"nothing to aggregate is called {a.target}")
         for g in self.group_by:
             if g.field not in GROUP_FIELDS:
-                raise EngineError(f"unknown group-by field: {g.field}")
+                raise EngineError(f"no such field to group by: {g.field}")
             if g.field.endswith("_bucket") and g.bucket_width <= 0:
                 raise EngineError("buckets need a bucket_width above zero")
         if s.limit or s.offset or s.cursor or s.newest_first or s.resolve_names or s.order != "id":

@@ -56,5 +56,5 @@ class EngineError(RuntimeError):
 
 class BudgetExceeded(EngineError):
     def __init__(self, budget: str, limit: int, reached: int):
-        super().__init__(f"query budget '{budget}' exceeded: limit {limit}, reached {reached}")
+        super().__init__(f"{budget}: {reached} is more than {limit}")
         self.budget, self.limit, self.reached = budget, limit, reached

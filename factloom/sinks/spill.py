@@ -26,7 +26,7 @@ _NUMPY = {"u64": "<u8", "i64": "<i8", "f64": "<f8", "u8": "u1"}
 
 def _checked(token: str) -> str:
     if token in ("", ".", "..") or "/" in token or "\0" in token:
-        raise EngineError(f"invalid spill token: '{token}'")
+        raise EngineError(f"'{token}' can't name a spill")
     return token
 
 
@@ -59,7 +59,7 @@ def spill(query: Query, tables: Tables, directory: str | Path, token: str = "",
         token = f"result-{n}"
     target = directory / _checked(token)
     if target.exists():
-        raise EngineError(f"spill '{token}' already exists")
+        raise EngineError(f"there is a spill '{token}' already")
     check_budget(query, tables)
     rows = selection(query, tables)
     n = rows.limit(MAX_SPILL_ROWS + 1).count()

@@ -60,7 +60,7 @@ class Store:
                 fcntl.flock(self._lock, fcntl.LOCK_EX | fcntl.LOCK_NB)
             except OSError as error:
                 self._lock.close()
-                raise EngineError(f"single-writer violation: {self.root} is open for writing elsewhere") from error
+                raise EngineError(f"{self.root} is open for writing elsewhere; a store has one writer") from error
         if (self.root / listing.FILE).exists():
             try:
                 self.manifest, self._lines = listing.read(self.root)
@@ -247,4 +247,4 @@ class Store:
 
 def check_batch(size: int) -> None:
     if size > MAX_BATCH:
-        raise EngineError("batch exceeds maximum size")
+        raise EngineError(f"a batch holds {MAX_BATCH} entries at most")

@@ -117,9 +117,9 @@ def test_rejected_aggregates(tables, query):
 
 
 def test_budgets(tables):
-    with pytest.raises(BudgetExceeded, match="max_rows_examined' exceeded: limit 5, reached 6"):
+    with pytest.raises(BudgetExceeded, match="max_rows_examined: 6 is more than 5"):
         run_query(Query(max_rows_examined=5), tables)
-    with pytest.raises(BudgetExceeded, match="limit 4, reached 5"):
+    with pytest.raises(BudgetExceeded, match="5 is more than 4"):
         run_aggregate(AggregateQuery(aggregations=(Aggregation("count"),), group_by=(GroupBy("subject"),), max_groups=4), tables)
 
 
