@@ -19,6 +19,7 @@ import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -95,19 +96,24 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def save(folder: str, **arrays: np.ndarray) -> str:
-    """Writes arrays to a new file below folder and returns where."""
-    file, out = posixpath.join(folder, f"{uuid.uuid4().hex}.npz"), io.BytesIO()
+def save(folder: str, name: str | None = None, **arrays: np.ndarray) -> str:
+    """Writes arrays to a file below folder, a new one if it has no name, and returns where. It is moved into place, so a task that runs again replaces it."""
+    file, out = posixpath.join(folder, f"{name or uuid.uuid4().hex}.npz"), io.BytesIO()
     np.savez(out, **arrays)
     system, path = place(file)
     system.create_dir(posixpath.dirname(path), recursive=True)
-    with system.open_output_stream(path) as sink:
+    aside = f"{path}.{uuid.uuid4().hex}"
+    with system.open_output_stream(aside) as sink:
         sink.write(out.getbuffer())
+    system.move(aside, path)
     return file
 
 
-def load(file: str) -> dict[str, np.ndarray]:
+def load(file: str) -> dict[str, np.ndarray] | None:
+    """The arrays of a file, None if there is none."""
     system, path = place(file)
+    if not system.get_file_info(path).is_file:
+        return None
     with system.open_input_file(path) as source:
         return dict(np.load(io.BytesIO(source.read())))
 
@@ -181,6 +187,8 @@ class AdditiveIndex:
         distinct = first.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
         held, folder, dim = self.spark.sparkContext.broadcast(self.codebooks), shared_path(self.spark, "ann-parts"), self.dim
         part_rows = max(AT_ONCE, part_bytes // (8 * dim))
+        # as many parts as the bytes ask for, or as there are cores, however many tasks dealt the rows out
+        few_parts = max(-(-usual["count"] // part_rows), min(self.spark.sparkContext.defaultParallelism, -(-usual["count"] // 4096)))
 
         def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in _slices(it, part_rows):
@@ -192,7 +200,7 @@ class AdditiveIndex:
                 file = save(folder, v=x, codes=np.concatenate([c for c, _ in made]), norm=norms, ids=ids, ends=np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([len(x)], pa.int64())], names=["part", "n"])
 
-        self.parts = written(distinct.mapInArrow(encode, "part string, n long"), "ann-index")
+        self.parts = written(distinct.coalesce(few_parts).mapInArrow(encode, "part string, n long"), "ann-index")
 
     def search(self, queries: DataFrame, k: int = 20, share: float = 1 / 32, block: int = 512, euclidean: bool = False) -> DataFrame:
         """query_id, rank (from 1), vec_id, score of each query's k best other rows, largest exact score first, ties to smaller ids.
@@ -209,26 +217,33 @@ class AdditiveIndex:
         words = spark.sparkContext.broadcast(self.codebooks.words)
         asked = queries.withColumn("key", F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))
 
-        def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for some in _slices(it, block):
-                file = save(folder, q=matrix(some.column(1), dim), keys=np.array(some.column(0).to_pylist()))
-                yield pa.RecordBatch.from_arrays([pa.array([file])], names=["queries"])
-
-        listed = written(asked.groupBy("key").agg(F.first("v").alias("v")).mapInArrow(blocks, "queries string"), "ann-blocks")
-        rows = self.parts.count() * listed.count()
-        if not rows:
+        def write_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = ((b, key, v) for batch in it for b, key, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), matrix(batch.column(2), dim)))
+            for b, some in groupby(rows, key=lambda r: r[0]):
+                some = list(some)
+                save(folder, f"block-{b}", q=np.array([v for *_, v in some]), keys=np.array([key for _, key, _ in some]))
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(some)], pa.int64())], names=["b", "n"])
+
+        # queries go by their hash into blocks of about `block`
+        blocks = max(1, -(-asked.count() // block))
+        distinct = asked.groupBy("key").agg(F.first("v").alias("v")).select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("b"), "key", "v")
+        made = written(distinct.repartitionById(blocks, F.col("b")).sortWithinPartitions("b").mapInArrow(write_blocks, "b int, n long"), "ann-blocks")
+        rows = self.parts.count() * blocks
+        if not rows or made.isEmpty():
             return spark.createDataFrame([], out)
         # each part with each block of queries: rows that name two files
-        turns = self.parts.select("part", F.lit(1).alias("one")).join(listed.withColumn("one", F.lit(1)), "one").select("part", "queries")
-        dealt = turns.repartition(min(4 * rows, 20_000), "part", "queries").sortWithinPartitions("part")
+        turns = self.parts.select("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+        dealt = turns.repartition(min(4 * rows, 20_000 + rows), "part", "b").sortWithinPartitions("part")
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name, part = None, {}
             for batch in it:
-                for own, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for own, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    held = load(posixpath.join(folder, f"block-{b}.npz"))
+                    if held is None:  # no query's hash led here
+                        continue
                     if own != name:
                         name, part = own, load(own)
-                    held = load(file)
                     found = nearest(part, held["q"], words.value, k + 1, share, euclidean)
                     shown = pa.array(found, pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())])))
                     yield pa.RecordBatch.from_arrays([pa.array([own] * len(found)), pa.array(held["keys"].tolist()), shown], names=["part", "key", "found"])

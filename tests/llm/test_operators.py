@@ -710,6 +710,19 @@ def test_joins_with_hot_keys(spark, hot):
     assert got.count() == 3000 and got.where("v <> k * 2").isEmpty() and got.where("k = 0").count() == 1000
 
 
+def test_a_third_of_all_rows_are_empty(spark):
+    """They have one fingerprint; they don't meet in one task, without any help of the optimizer's."""
+    rows = spark.range(240_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 != 0, F.concat(F.lit("word"), F.col("id") % 50)).otherwise("").alias("text"))
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        found = simhash_dedup.near_groups(rows)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        counts = found.groupBy("component_id").count().orderBy("component_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+    assert plan.count("strategy=broadcast") >= 3 and counts[0]["count"] >= 80_000 and sum(r["count"] for r in counts) == 240_000
+
+
 def test_fingerprint_query(spark, documents):
     """The registered query against fingerprints bit by bit and all pairs of them."""
     found = by_id(queries.QUERIES["op10_simhash_components"](spark, DATA))

@@ -53,7 +53,7 @@ def test_near_sets_meet(n):
         keys = [set(similar.variant_keys(s[None], form.width)[1].tolist()) | (set(similar.deletion_keys(v).tolist()) if len(v) <= similar.SMALL else set()) for s, v in zip(found, (x, y))]
         missed += not keys[0] & keys[1]
         assert sum(int(v).bit_count() for v in sketch[0] ^ sketch[1]) <= similar.FAR
-    assert missed == 0 if n <= 9 else missed <= 3
+    assert missed == 0 if n <= 9 else missed <= 4
 
 
 def test_layouts_follow_the_rows():
