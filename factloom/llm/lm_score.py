@@ -257,7 +257,8 @@ def backoff_scores(docs: DataFrame, order: int = 3, least: int = 2, backoff: flo
     whole = blocks.agg(F.sum("raw_size").alias("size"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("n")).first()
     words, top_bits = whole.words or 0, max(4, ((whole.size or 0) // range_bytes).bit_length())
     bits = min(64, (words * order + 1).bit_length() + MARGIN)
-    dealt = requests(blocks, order, bits, top_bits).repartitionById(1 << top_bits, F.col("p")).sortWithinPartitions("p", "k").select("p", "k", "block", "hashes", "counts")
+    spread = blocks.repartition(max(1, -(-whole.n // 2)))  # rows of a few KB that stand for MB: files alone would deal them to a few tasks
+    dealt = requests(spread, order, bits, top_bits).repartitionById(1 << top_bits, F.col("p")).sortWithinPartitions("p", "k").select("p", "k", "block", "hashes", "counts")
     answered = dealt.mapInArrow(_answers, ANSWER).unionByName(blocks.select("block", F.lit(0).alias("k"), F.lit(0).alias("p"), F.col("held").alias("totals")))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-whole.n // 4))
     met = answered.repartition(tasks, "block").sortWithinPartitions("block", "k", "p").select("block", "k", "totals")
