@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import BARE, Chunked, Generations, chunk_key, chunk_text, tokenizer_path
-from .common import batches, id_and_text
+from .common import KEPT, batches, id_and_text
 
 NEVER = 1 << 60
 #: Letters, then nothing but ASCII punctuation: a word of the pattern each.
@@ -195,6 +195,8 @@ def trie_bpe(path: str) -> TrieBpe:
     return TrieBpe(path)
 
 
+KEPT.append(trie_bpe)
+
 def encoded(docs: DataFrame, path: str, make, schema: str) -> DataFrame:
     """make(doc ids, list of ids as little-endian uint32, codec) -> record batch of `schema`, over whole texts in one pass."""
 

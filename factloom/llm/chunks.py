@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import KEPT
+
 #: The characters that \\s stands for in the tokenizers' patterns.
 WHITE = "\t-\r \x85\xa0  -     　"
 SPACED = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
@@ -215,6 +217,8 @@ def encoder(path: str, limit: int) -> ChunkEncoder:
     return ChunkEncoder(path, limit)
 
 
+KEPT.append(encoder)
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

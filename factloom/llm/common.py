@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -86,6 +88,19 @@ def _remove() -> None:
             return
 
 
+#: What Python workers, which outlive an operator, keep for the next task of the same one.
+KEPT: list = []
+
+
+def release() -> None:
+    """Gives back what other operators keep in this Python worker; tasks that need the memory begin with it."""
+    for kept in KEPT:
+        kept.cache_clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # freed memory goes back to the system where the C library can do so
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id long and text string alone, null text as the empty text; other columns, whatever their names, are left out."""
     ship(docs.sparkSession)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, filter_of, free_name, id_and_text, join_with_hot, may_hold, shared_path, written
+from .common import batches, filter_of, free_name, id_and_text, join_with_hot, may_hold, release, shared_path, written
 
 RUN = "digest binary, run long, slot int, keep_id long, at int, n long, ids array<long>"
 MERGED = "digest binary, win_id long, win_run long, win_slot int, total long, entries long"
@@ -61,6 +61,7 @@ def memtables(generation: int, keep: str, digest_bytes: int, memtable_bytes: int
     def run_task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release()
         run = generation << 44 | TaskContext.get().partitionId() << 20
         table: dict[bytes, list] = {}
         held = rows = 0

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, buffer_and_offsets, free_name, ship
+from .common import batches, buffer_and_offsets, free_name, release, ship
 
 CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t\n\r\x0b\x0c",
@@ -67,6 +67,7 @@ def with_statistics(docs: DataFrame, text: str = "text", held_as: str = HELD) ->
     kind = pa.struct([(s, pa.float64()) for s in STATISTICS])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches(it, size=2 << 20, column=text):
             made = statistics(batch.column(at))
             fields = pa.StructArray.from_arrays([pa.array(c) for c in np.ascontiguousarray(made.T)], fields=list(kind))
