@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import encoder, tokenizer_path
-from .common import batches, id_and_text, place, shared_path, ship, written
+from .common import batches, id_and_text, place, release, shared_path, ship, written
 
 MAGIC = b"FLTOK1\0\0"
 FOOT = 48 + len(MAGIC)
@@ -191,7 +191,7 @@ def _ranges(rows: DataFrame, total: int, parts: int) -> Ranges:
 LOWEST = -(1 << 63)
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block: int = 1 << 14, file_ids: int = 128 << 20, part_rows: int = 20_000, cache: int = 600_000) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block: int = 1 << 14, file_ids: int = 128 << 20, part_rows: int = 20_000, cache: int = 400_000) -> DataFrame:
     """Writes docs (doc_id, text) in ascending doc_id order to files below folder and returns the manifest: file, documents, n_ids, base.
 
     Texts are encoded where they are read; what is dealt out, by ranges of (doc_id, a hash of the text), are packed ids. So a repeated
@@ -209,7 +209,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
     def tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(path, cache)
         bits = bits_for(max(codec.vocab_size, end_id + 1))
-        for batch in batches(it, size=8 << 20):
+        for batch in batches(it, size=4 << 20):
             doc_ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             ids = codec.encode(batch.column(1).cast(pa.binary()).to_pylist())
             packed = [pack_bits(np.frombuffer(x + end, "<u4"), bits) for x in ids]
@@ -218,6 +218,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(packed, pa.binary()), pa.array([bits] * len(part), pa.int32())], names=["part", "doc_id", "h", "n", "packed", "bits"])
 
     def files(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         fs, base = place(folder)
         writer = aside = None
         part, made = -1, []
@@ -278,6 +279,7 @@ def read_tokens(spark: SparkSession, folder: str, make=_as_ids, schema: str = "d
     ship(spark)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         fs, base = place(folder)
         for some in it:
             for name, before in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
