@@ -7,8 +7,9 @@ with a probability that width gives; as many segments are taken as leave MISS of
 follows the number of rows, so that buckets stay small at every size. Sets of at most SMALL shingles are coarse for votes: they also meet, exactly, under
 each set with one element deleted. Every candidate is then verified on the sets themselves, so no pair below the bound is linked.
 
-    stars     each member of a bucket is held against the bucket's smallest; a large group of near copies costs its size, not its square
-    the rest  members of a bucket that the stars left in different components are held against each other
+    stars     each set is held against the smallest of all that are the smallest of one of its buckets; a large group of near copies costs its size, not its square
+    more      then against the smallest of each bucket that is in another component
+    the rest  members of a bucket of three or more that are still in different components are held against each other
 
 The first 192 bits make a sketch; candidates whose sketches differ in more than FAR bits (29 expected at similarity 0.8, 6 standard
 deviations below FAR) aren't verified. Only distinct sets enter: equal ones never meet as pairs.
@@ -26,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, filter_of, id_and_text, join_with_hot, may_hold, written
+from .common import batches, filter_of, id_and_text, join_with_hot, may_hold, release, written
 from .components import components
 from .lm_score import _mix
 from .simhash_dedup import drop_but_one
 
-WILD, MISS, SMALL, FAR = 8, 3e-3, 12, 62
+WILD, MISS, SMALL, FAR = 6, 5e-3, 12, 62
 FLIP = math.acos(1.6 / 1.8) / math.pi  # a bit's chance to differ at similarity 0.8, sets of equal size
 SKETCH = ["s0", "s1", "s2"]
 BLOCK = 255  # rows whose bits a byte can count
@@ -42,6 +43,11 @@ class Layout:
     width: int
     segments: int
 
+    @property
+    def kind(self) -> type:
+        """Of a stored value or mask."""
+        return np.uint32 if self.width <= 32 else np.uint64
+
     @property
     def words(self) -> int:
         """64-bit words of a fingerprint."""
@@ -49,10 +55,10 @@ class Layout:
 
 
 def layout(rows: int) -> Layout:
-    """Segments so wide that a bucket holds a sixteenth of a random set at most, and as many as MISS asks for."""
-    width = min(60, max(16, math.ceil(math.log2(max(rows, 1))) + 4))
+    """Segments so wide that two sets that have nothing in common rarely share a bucket, whatever the rows, and as many as MISS asks for."""
+    width = min(54, max(16, math.ceil(math.log2(max(rows, 1))) + 4))
     same = (1 - FLIP) ** width
-    one = 0.85 * width * FLIP * (1 - FLIP) ** (width - 1)  # by simulation 0.85 of single differing bits are among both sets' WILD closest
+    one = 0.75 * width * FLIP * (1 - FLIP) ** (width - 1)  # by simulation three quarters of single differing bits are among both sets' WILD closest
     return Layout(width, math.ceil(math.log(MISS) / math.log(1 - same - one)))
 
 
@@ -99,20 +105,19 @@ def signatures(sets: list[np.ndarray], form: Layout) -> tuple[np.ndarray, np.nda
     weak = np.zeros(shape, bool)
     np.put_along_axis(weak, np.argpartition(doubt[:, :cut].reshape(shape), WILD - 1, axis=2)[:, :, :WILD], True, axis=2)
     masks = (weak * power).sum(2, dtype=np.uint64)
-    return np.stack([values, masks], 1), np.packbits(bits[:, :192], axis=1, bitorder="little").view(np.uint64)
+    return np.stack([values, masks], 1).astype(form.kind), np.packbits(bits[:, :192], axis=1, bitorder="little").view(np.uint64)
 
 
 def variant_keys(signature: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(which set, key) of every variant of signatures (sets x 2 x segments)."""
-    values, masks = signature[:, 0], signature[:, 1]
-    segment = np.broadcast_to(np.arange(values.shape[1], dtype=np.uint64), values.shape)
-    who, keys = [np.repeat(np.arange(len(values)), values.shape[1])], [_mix(values, segment, 64).reshape(-1)]
-    for p in range(width):
-        bit = np.uint64(1) << np.uint64(p)
-        row, at = np.nonzero(masks & bit)
-        who.append(row)
-        keys.append(_mix(values[row, at] & ~bit, segment[row, at], p))
-    return np.concatenate(who), np.concatenate(keys)
+    """(which set, key) of every variant of signatures (sets x 2 x segments), set by set: the segment's number, the wildcard's place (63: none) and the other bits."""
+    values, masks = signature[:, 0].astype(np.uint64), signature[:, 1].astype(np.uint64)
+    wild = (masks[:, :, None] >> np.arange(width, dtype=np.uint64) & np.uint64(1)).astype(bool)
+    who, segment, at = np.nonzero(np.concatenate([wild, np.ones((*masks.shape, 1), bool)], 2))
+    none, at = at == width, at.astype(np.uint64)
+    value = values[who, segment]
+    value = np.where(none, value, value & ~(np.uint64(1) << at))
+    place = np.where(none, np.uint64(63), at)
+    return who, value | place << np.uint64(width) | segment.astype(np.uint64) << np.uint64(width + 6)
 
 
 def deletion_keys(grams: np.ndarray) -> np.ndarray:
@@ -126,7 +131,8 @@ def marks(docs: DataFrame, form: Layout, words: int = 5) -> DataFrame:
     """doc_id, digest (of the text), fp (of its set), signature (null for an empty set), deletions and sketch of each row; null text counts as empty."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, size=1 << 20):
+        release()
+        for batch in batches(it, rows=500, size=1 << 20):
             sets = shingles(batch.column(2).cast(pa.binary()).to_pylist(), words)
             fps = np.array([name_of(s) for s in sets], np.uint64).view(np.int64)
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -152,7 +158,7 @@ def keys_of(distinct: DataFrame, form: Layout) -> DataFrame:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
                 fps = batch.column(0).to_numpy(zero_copy_only=False)
-                signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(fps), 2, form.segments)
+                signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), form.kind).reshape(len(fps), 2, form.segments)
                 who, keys = variant_keys(signature, form.width)
                 less = batch.column(2)
                 more = np.repeat(np.arange(len(fps)), [len(x) for x in less.to_pylist()])
@@ -161,34 +167,30 @@ def keys_of(distinct: DataFrame, form: Layout) -> DataFrame:
     return distinct.select("fp", "signature", "deletions").mapInArrow(run, "fp long, key long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """fp and grams (8 bytes a shingle) of the sets that `wanted` (fp) names."""
-    bits = docs.sparkSession.sparkContext.broadcast(filter_of(wanted, "fp"))
+def sets_of(docs: DataFrame, wanted: DataFrame, marked: DataFrame, words: int) -> DataFrame:
+    """fp and grams of the sets that `wanted` (fp) names. Of each one text is cut into shingles, picked by its digest; texts that a filter holds back aren't."""
+    texts = marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("digest").alias("digest"))
+    number = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(texts.select(number.alias("n")), "n"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it, size=1 << 20):
-            sets = shingles(batch.column(1).cast(pa.binary()).to_pylist(), words)
-            fps = np.array([name_of(s) for s in sets], np.uint64).view(np.int64)
-            some = np.flatnonzero(may_hold(bits.value, fps))
-            yield pa.RecordBatch.from_arrays([pa.array(fps[some]), pa.array([sets[i].tobytes() for i in some], pa.binary())], names=["fp", "grams"])
+        for batch in it:
+            ok = pa.array(may_hold(bits.value, batch.column(1).to_numpy(zero_copy_only=False)))
+            for some in batches([pa.RecordBatch.from_arrays([batch.column(0).filter(ok)], names=["text"])], rows=500, size=1 << 20):
+                sets = shingles(some.column(0).cast(pa.binary()).to_pylist(), words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([name_of(s) for s in sets], np.uint64).view(np.int64)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp", "grams"])
 
-    return id_and_text(docs).mapInArrow(run, "fp long, grams binary").join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
+    named = id_and_text(docs).select("text", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).select("text", number.alias("n"))
+    return named.mapInArrow(run, "fp long, grams array<long>").join(wanted, "fp", "left_semi").dropDuplicates(["fp"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of `least` or more."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) - 1 else 0
-                ok.append(both / (len(x) + len(y) - both) >= least)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
     x, y = sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), sets.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # the smallest set of a large group is in a pair with every other one
+    first = join_with_hot(pairs, x, "a", pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")))
+    both, sizes = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return first.join(y, "b").where(both / (sizes - both) >= F.lit(least)).select("a", "b")
 
 
 def _near(x: str, y: str) -> str:
@@ -209,23 +211,44 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
     keys = keys_of(distinct, form)
     bucket = Window.partitionBy("key")
     shared = keys.withColumn("m", F.min("fp").over(bucket)).withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1")
-    buckets = written(shared.select("key", "fp", "m"), "shingle-buckets")
+    buckets = written(shared.select("key", "fp", "m", "n"), "shingle-buckets")
     sketches = distinct.join(buckets.select("fp").distinct(), "fp", "left_semi").select("fp", *SKETCH)
     sketches = written(sketches, "shingle-sketches")
-    sets = written(sets_of(docs, sketches.select("fp"), words), "shingle-candidates")
     stars = buckets.where("fp <> m").select(F.col("m").alias("a"), F.col("fp").alias("b")).distinct()
     stars = stars.join(sketches.alias("x"), F.expr("a = x.fp")).join(sketches.alias("y"), F.expr("b = y.fp")).where(_near("x", "y")).select("a", "b")
-    links = written(verified(stars, sets, least), "shingle-stars")
-    roots = written(components(links), "shingle-roots")
-    # buckets of several components: each member against those of the others
-    rooted = buckets.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    stars = written(stars, "shingle-near-stars")
+    links, sets = None, None
+
+    def verify(pairs: DataFrame, turn: str) -> DataFrame:
+        """Roots after the links among pairs."""
+        nonlocal links, sets
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        wanted = written(ends if sets is None else ends.join(sets.select("fp"), "fp", "left_anti"), f"shingle-{turn}-wanted")
+        if sets is None or not wanted.isEmpty():
+            made = written(sets_of(docs, wanted, marked, words), f"shingle-{turn}-sets")
+            sets = made if sets is None else sets.unionByName(made)
+        near = written(verified(pairs, sets, least), f"shingle-{turn}-links")
+        links = near if links is None else links.unionByName(near)
+        return written(components(links), f"shingle-{turn}-roots")
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The pairs whose ends aren't in one component."""
+        x, y = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+        return pairs.join(x, "a", "left").join(y, "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
+
+    first = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "shingle-first")
+    roots = verify(first, "first")
+    more = written(apart(stars.join(first, ["a", "b"], "left_anti"), roots), "shingle-more")
+    if not more.isEmpty():
+        roots = verify(more, "more")
+    rooted = buckets.where("n > 2").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = rooted.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo <> hi")
     mixed = written(mixed.join(sketches, "fp").select("key", "fp", "root", *SKETCH), "shingle-mixed")
     met = mixed.alias("x").join(mixed.alias("y"), F.expr(f"x.key = y.key and x.fp < y.fp and x.root <> y.root and {_near('x', 'y')}"))
-    met = met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    links = written(links.unionByName(verified(met, sets, least)), "shingle-links")
-    found = written(components(links), "shingle-components")
-    named = found.select(F.col("node").alias("fp"), "root")
+    met = written(met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "shingle-met")
+    if not met.isEmpty():
+        roots = verify(met, "met")
+    named = roots.select(F.col("node").alias("fp"), "root")
     every = written(marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")), "shingle-named")
     return join_with_hot(marked.select("doc_id", "digest", "fp"), every.select("fp", "root"), "fp", every.select("fp", "n"))
 
