@@ -7,12 +7,12 @@ with a probability that width gives; as many segments are taken as leave MISS of
 follows the number of rows, so that buckets stay small at every size. Sets of at most SMALL shingles are coarse for votes: they also meet, exactly, under
 each set with one element deleted. Every candidate is then verified on the sets themselves, so no pair below the bound is linked.
 
-    stars     each set is held against the smallest of all that are the smallest of one of its buckets; a large group of near copies costs its size, not its square
-    more      then against the smallest of each bucket that is in another component
+    stars     each set is held against the smallest of one of its buckets, that with the nearest sketch; twice more against the nearest that is in another component by then;
+              and at last against all that still are. A large group of near copies grows together on the way, so it costs its size, not its square
     the rest  members of a bucket of three or more that are still in different components are held against each other
 
-The first 192 bits make a sketch; candidates whose sketches differ in more than FAR bits (29 expected at similarity 0.8, 6 standard
-deviations below FAR) aren't verified. Only distinct sets enter: equal ones never meet as pairs.
+The first 768 bits make a sketch; candidates whose sketches differ in more than FAR bits (116 expected at similarity 0.8, 4.5 standard deviations below FAR; FAR_FEW where a set
+is small, as votes of few are coarse) aren't verified. Only distinct sets enter: equal ones never meet as pairs.
 """
 
 from __future__ import annotations
@@ -32,9 +32,10 @@ from .components import components
 from .lm_score import _mix
 from .simhash_dedup import drop_but_one
 
-WILD, MISS, SMALL, FAR = 6, 5e-3, 12, 62
+WILD, MISS, SMALL = 6, 5e-3, 12
+FAR, FAR_FEW, FEW = 161, 215, 60
 FLIP = math.acos(1.6 / 1.8) / math.pi  # a bit's chance to differ at similarity 0.8, sets of equal size
-SKETCH = ["s0", "s1", "s2"]
+SKETCH = [f"s{i}" for i in range(12)]
 BLOCK = 255  # rows whose bits a byte can count
 
 
@@ -94,7 +95,7 @@ def votes(grams: np.ndarray, words: int) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray], form: Layout) -> tuple[np.ndarray, np.ndarray]:
-    """Of each set, none of them empty: segments' values and wildcard masks (sets x 2 x segments), and sketches (sets x 3)."""
+    """Of each set, none of them empty: segments' values and wildcard masks (sets x 2 x segments), and sketches (sets x 12)."""
     ones = np.stack([votes(s, form.words) for s in sets])
     n = np.array(list(map(len, sets)))[:, None]
     bits, doubt = 2 * ones > n, np.abs(2 * ones - n)
@@ -105,7 +106,7 @@ def signatures(sets: list[np.ndarray], form: Layout) -> tuple[np.ndarray, np.nda
     weak = np.zeros(shape, bool)
     np.put_along_axis(weak, np.argpartition(doubt[:, :cut].reshape(shape), WILD - 1, axis=2)[:, :, :WILD], True, axis=2)
     masks = (weak * power).sum(2, dtype=np.uint64)
-    return np.stack([values, masks], 1).astype(form.kind), np.packbits(bits[:, :192], axis=1, bitorder="little").view(np.uint64)
+    return np.stack([values, masks], 1).astype(form.kind), np.packbits(bits[:, : 64 * len(SKETCH)], axis=1, bitorder="little").view(np.uint64)
 
 
 def variant_keys(signature: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,18 +137,18 @@ def marks(docs: DataFrame, form: Layout, words: int = 5) -> DataFrame:
             sets = shingles(batch.column(2).cast(pa.binary()).to_pylist(), words)
             fps = np.array([name_of(s) for s in sets], np.uint64).view(np.int64)
             full = [i for i, s in enumerate(sets) if len(s)]
-            shown, sketch = [None] * len(sets), np.zeros((len(sets), 3), np.int64)
+            shown, sketch = [None] * len(sets), np.zeros((len(sets), len(SKETCH)), np.int64)
             if full:
                 found, marked = signatures([sets[i] for i in full], form)
                 sketch[full] = marked.view(np.int64)
                 for i, x in zip(full, found):
                     shown[i] = x.tobytes()
             less = [deletion_keys(s).view(np.int64) if 0 < len(s) <= SMALL else [] for s in sets]
-            columns = [batch.column(0), batch.column(1), pa.array(fps), pa.array(shown, pa.binary()), pa.array(less, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "fp", "signature", "deletions", *SKETCH])
+            columns = [batch.column(0), batch.column(1), pa.array(fps), pa.array(shown, pa.binary()), pa.array(less, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T), pa.array(list(map(len, sets)), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "fp", "signature", "deletions", *SKETCH, "size"])
 
     rows = id_and_text(docs).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "text")
-    return rows.mapInArrow(run, "doc_id long, digest string, fp long, signature binary, deletions array<long>, s0 long, s1 long, s2 long")
+    return rows.mapInArrow(run, "doc_id long, digest string, fp long, signature binary, deletions array<long>, " + ", ".join(f"{c} long" for c in SKETCH) + ", size int")
 
 
 def keys_of(distinct: DataFrame, form: Layout) -> DataFrame:
@@ -193,8 +194,12 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return first.join(y, "b").where(both / (sizes - both) >= F.lit(least)).select("a", "b")
 
 
+def _distance(x: str, y: str) -> str:
+    return "(" + " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in SKETCH) + ")"
+
+
 def _near(x: str, y: str) -> str:
-    return " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in SKETCH) + f" <= {FAR}"
+    return f"{_distance(x, y)} <= if(least({x}.size, {y}.size) <= {FEW}, {FAR_FEW}, {FAR})"
 
 
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -207,15 +212,15 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
         raise ValueError("the segments are laid out for similarities of 0.8 and more")
     form = layout(docs.count())
     marked = written(marks(docs, form, words), "shingle-marks")
-    distinct = written(marked.where("signature is not null").dropDuplicates(["fp"]).select("fp", "signature", "deletions", *SKETCH), "shingle-sets")
+    distinct = written(marked.where("signature is not null").dropDuplicates(["fp"]).select("fp", "signature", "deletions", *SKETCH, "size"), "shingle-sets")
     keys = keys_of(distinct, form)
     bucket = Window.partitionBy("key")
     shared = keys.withColumn("m", F.min("fp").over(bucket)).withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1")
     buckets = written(shared.select("key", "fp", "m", "n"), "shingle-buckets")
-    sketches = distinct.join(buckets.select("fp").distinct(), "fp", "left_semi").select("fp", *SKETCH)
+    sketches = distinct.join(buckets.select("fp").distinct(), "fp", "left_semi").select("fp", *SKETCH, "size")
     sketches = written(sketches, "shingle-sketches")
     stars = buckets.where("fp <> m").select(F.col("m").alias("a"), F.col("fp").alias("b")).distinct()
-    stars = stars.join(sketches.alias("x"), F.expr("a = x.fp")).join(sketches.alias("y"), F.expr("b = y.fp")).where(_near("x", "y")).select("a", "b")
+    stars = stars.join(sketches.alias("x"), F.expr("a = x.fp")).join(sketches.alias("y"), F.expr("b = y.fp")).where(_near("x", "y")).select("a", "b", F.expr(_distance("x", "y")).alias("d"))
     stars = written(stars, "shingle-near-stars")
     links, sets = None, None
 
@@ -234,18 +239,23 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
     def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """The pairs whose ends aren't in one component."""
         x, y = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
-        return pairs.join(x, "a", "left").join(y, "b", "left").where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
-
-    first = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "shingle-first")
-    roots = verify(first, "first")
-    more = written(apart(stars.join(first, ["a", "b"], "left_anti"), roots), "shingle-more")
-    if not more.isEmpty():
-        roots = verify(more, "more")
+        return pairs.join(x, "a", "left").join(y, "b", "left").where("coalesce(x, a) <> coalesce(y, b)").drop("x", "y")
+
+    left, roots = stars, None
+    for turn in range(3):
+        nearest = left.groupBy("b").agg(F.min(F.struct("d", "a")).alias("first")).select("first.a", "b")
+        tried = written(nearest, f"shingle-pairs-{turn}")
+        roots = verify(tried, f"turn-{turn}")
+        left = written(apart(left.join(tried, ["a", "b"], "left_anti"), roots), f"shingle-left-{turn}")
+        if left.isEmpty():
+            break
+    else:
+        roots = verify(left.select("a", "b"), "rest")
     rooted = buckets.where("n > 2").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = rooted.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo <> hi")
-    mixed = written(mixed.join(sketches, "fp").select("key", "fp", "root", *SKETCH), "shingle-mixed")
+    mixed = written(mixed.join(sketches, "fp").select("key", "fp", "root", *SKETCH, "size"), "shingle-mixed")
     met = mixed.alias("x").join(mixed.alias("y"), F.expr(f"x.key = y.key and x.fp < y.fp and x.root <> y.root and {_near('x', 'y')}"))
-    met = written(met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "shingle-met")
+    met = written(met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "shingle-met")
     if not met.isEmpty():
         roots = verify(met, "met")
     named = roots.select(F.col("node").alias("fp"), "root")
