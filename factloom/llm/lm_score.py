@@ -290,7 +290,7 @@ SQL = {
         WITH d AS (SELECT row_number() OVER () AS r, doc_id,
                           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
                    FROM documents),
-             t AS (SELECT r, unnest(ws) AS w, unnest([NULL] || ws[:-2]) AS v, unnest([NULL, NULL] || ws[:-3]) AS u FROM d WHERE len(ws) > 0),
+             t AS (SELECT r, unnest(ws) AS w, unnest([NULL] || ws[:-2]) AS v, unnest(list_slice([NULL, NULL] || ws[:-3], 1, len(ws))) AS u FROM d WHERE len(ws) > 0),
              c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w),
              c2 AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w),
              c3 AS (SELECT u, v, w, count(*) AS c FROM t WHERE u IS NOT NULL GROUP BY u, v, w),
