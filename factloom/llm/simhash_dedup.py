@@ -78,7 +78,8 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
         raise ValueError("two halves with one wildcard cover up to two bits")
     keys = variants(fps)
     x, y = keys.select("key", F.col("fp").alias("a")), keys.select("key", F.col("fp").alias("b"))
-    return x.join(y, "key").where(F.expr(f"a < b and bit_count(a ^ b) <= {int(most)}")).select("a", "b").distinct()
+    # Spark takes the variants for as few bytes as the fingerprints have, and would broadcast them by way of the driver
+    return x.hint("merge").join(y.hint("merge"), "key").where(F.expr(f"a < b and bit_count(a ^ b) <= {int(most)}")).select("a", "b").distinct()
 
 
 def rooted(marked: DataFrame, most: int = 2) -> DataFrame:
