@@ -15,6 +15,7 @@ from .plans.compile import QueryResult, Tables, run_aggregate, run_query, shown
 from .plans.ir import AggregateQuery, Query
 from .schema import ACTIVE, HYPOTHESIS, MAX_BATCH, MAX_READ_ROWS, RETRACTION, VALUE_DDL, BudgetExceeded, EngineError
 from .sinks import spill
+from .sources.named import load_by_name
 from .sources.store import Store, check_batch
 
 
@@ -120,6 +121,14 @@ class Kernel:
         self.store.append({"entities": new_entities, "predicates": new_predicates, "log": rows}, entity=len(new_entities), predicate=len(new_predicates), assertion=len(rows))
         return [r["id"] for r in rows]
 
+    def load_by_name(self, rows: DataFrame, order: str) -> int:
+        """commit_batch_by_name for a whole table, in the order of one of its columns and in one commit; values are numbered by Spark. Returns how many rows."""
+        return load_by_name(self.store, rows, order)
+
+    def together(self):
+        """A block whose commits become one at its end, all or nothing."""
+        return self.store.together()
+
     def commit_retraction(self, *fields, retracts_id: int) -> int:
         self.store.require_writable("commit_retraction")
         self._known(retracts_id, "retraction")
@@ -156,6 +165,11 @@ class Kernel:
                 same = same & wanted[f].eqNullSafe(held[f])
             for r in held.join(F.broadcast(wanted), same, "left_semi").collect():  # at most two values an entry of a batch
                 known[Value.from_row(r)] = r["id"]
+        if waiting := self.store.held("entities"):
+            wanted_values = set(asked)
+            for r in waiting:
+                if (v := Value.from_row(r["value"])) in wanted_values:
+                    known.setdefault(v, r["id"])
         out, new, first = [], [], self.store.next("entity")
         for v in values:
             id = None if v.is_nan else known.get(v)
@@ -172,6 +186,8 @@ class Kernel:
         if self.store.manifest["files"]["predicates"]:
             wanted = self.spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "name STRING")
             known = {r["name"]: r["id"] for r in self.store.table("predicates").join(F.broadcast(wanted), "name", "left_semi").collect()}
+        for r in self.store.held("predicates"):
+            known.setdefault(r["name"], r["id"])
         new: list[dict] = []
         for name in names:
             if name not in known:

@@ -15,7 +15,8 @@ import fcntl
 import json
 import os
 import shutil
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -50,6 +51,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str | Path, read_only: bool = False):
         self.spark, self.root, self.read_only = spark, Path(root), read_only
         self._lock = None
+        self._held: tuple[dict[str, list[dict]], dict[str, int]] | None = None
         if read_only:
             if not (self.root / listing.FILE).exists():
                 raise EngineError(f"no store at {self.root}")
@@ -111,10 +113,36 @@ class Store:
             self._fold()
 
     def next(self, counter: str) -> int:
-        return self.manifest["next"][counter]
+        return self.manifest["next"][counter] + (self._held[1].get(counter, 0) if self._held else 0)
+
+    @contextmanager
+    def together(self) -> Iterator[None]:
+        """What is appended in the block becomes one commit at its end, all or nothing; identifiers are given at once, reads see nothing of it before. Rows wait in memory."""
+        self.require_writable("together")
+        if self._held is not None:
+            raise EngineError("together doesn't nest")
+        self._held = {}, {}
+        try:
+            yield
+            batches, advance = self._held
+        finally:
+            self._held = None
+        if batches or advance:
+            self.append(batches, **advance)
+
+    def held(self, table: str) -> list[dict]:
+        """A table's rows that wait for the end of together()."""
+        return self._held[0].get(table, []) if self._held else []
 
     def append(self, batches: dict[str, Iterable[dict]], **advance: int) -> None:
         """Rows of one or several tables and the counters' advance, all or nothing."""
+        if self._held is not None:
+            rows, by = self._held
+            for table, some in batches.items():
+                rows.setdefault(table, []).extend(some)
+            for counter, n in advance.items():
+                by[counter] = by.get(counter, 0) + n
+            return
         version, files = self.manifest["version"] + 1, {}
         for table, rows in batches.items():
             rows = list(rows)
@@ -142,6 +170,8 @@ class Store:
                 listing.sync(hidden.parent)
 
     def _spark_write(self, rows: DataFrame, table: str, file: str) -> None:
+        if self._held is not None:
+            raise EngineError("loads and snapshots don't go together with other commits")
         options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in FILTERS.get(table, [])}
         rows.write.options(**options).mode("overwrite").parquet(f"file://{(self.root / file).resolve()}")
 
@@ -180,6 +210,23 @@ class Store:
         self._commit({table: [{"file": file, "rows": found.n}]}, {counter: found.high + 1 - self.next(counter)} if counter is not None else {})
         return found.n
 
+    def load_together(self, tables: dict[str, tuple[DataFrame, int]], **advance: int) -> None:
+        """Bulk load of several tables by id in one commit; each comes with the number of its rows, which continue the counters' numbers without gaps."""
+        version, files = self.manifest["version"] + 1, {}
+        for table, (rows, n) in tables.items():
+            if not n:
+                continue
+            file = f"{table}/load-{version:09d}"
+            self._spark_write(rows.repartitionByRange("id").sortWithinPartitions("id"), table, file)
+            found = self.spark.read.schema(TABLES[table]).parquet(self._uri(file)).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.count_distinct("id").alias("ids")).first()
+            first = self.next({"log": "assertion", "entities": "entity", "predicates": "predicate"}[table])
+            if (found.n, found.ids, found.low, found.high) != (n, n, first, first + n - 1):
+                for made in (file, *(e["file"] for entries in files.values() for e in entries)):
+                    shutil.rmtree(self.root / made)
+                raise EngineError(f"numbers of a bulk load must continue those of {table} without gaps")
+            files[table] = [{"file": file, "rows": n} | ({"first": first, "last": first + n - 1, "links": 0} if table == "log" else {})]
+        self._commit(files, advance)
+
     def write_snapshot(self) -> None:
         """Rewrites the log, appended statuses as they are, as one settled data set by subject; replaced batches stay on disk, listed in the manifest."""
         self.require_writable("write_snapshot")
