@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -77,6 +78,13 @@ def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more. It does so when the JVM collects them, which many small plans alone don't
+    bring about: their files, of a block each at least, then pile up as partitions times shuffles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:

@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star rounds.
 
 Links stay distributed: each task first shrinks its links to a spanning forest, then rounds of two stars
-run until the links don't change. Every round is checkpointed.
+run until the links don't change. What is left of few links, FEW at most, makes one forest more instead, in one task. Every round is checkpointed, and what the one before shuffled is given back.
 """
 
 from __future__ import annotations
@@ -12,7 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_with_hot, shared_root, written
+from .common import join_with_hot, shared_root, swept, written
+
+#: Links that one task takes at once; rounds over so few are nothing but scheduling.
+FEW = 200_000
 
 
 def forest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,10 +65,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of links; root is the smallest node reachable. Links of a node with itself and repeated links do no harm."""
     shared_root(links.sparkSession)
     pairs = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")
-    now = written(pairs.mapInArrow(forest, "a long, b long"), "forest").distinct()
-    state = None
-    while True:
+    made = written(pairs.mapInArrow(forest, "a long, b long"), "forest")
+    few, state = made.count() <= FEW, None
+    now = written(made.coalesce(1).mapInArrow(forest, "a long, b long"), "one-forest") if few else made.distinct()
+    while not few:
         now = now.checkpoint()
+        swept(links.sparkSession)
         found = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (found.n, found.h) == state:
             break

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, filter_of, id_and_text, join_with_hot, may_hold, release, written
+from .common import batches, filter_of, id_and_text, join_with_hot, may_hold, release, swept, written
 from .components import components
 from .lm_score import _mix
 from .simhash_dedup import drop_but_one
@@ -234,7 +234,9 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
             sets = made if sets is None else sets.unionByName(made)
         near = written(verified(pairs, sets, least), f"shingle-{turn}-links")
         links = near if links is None else links.unionByName(near)
-        return written(components(links), f"shingle-{turn}-roots")
+        roots = written(components(links), f"shingle-{turn}-roots")
+        swept(docs.sparkSession)
+        return roots
 
     def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """The pairs whose ends aren't in one component."""
@@ -251,8 +253,11 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
             break
     else:
         roots = verify(left.select("a", "b"), "rest")
-    rooted = buckets.where("n > 2").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = rooted.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo <> hi")
+    several = buckets.where("n > 2")
+    # a bucket has several roots if one of its sets has another than the smallest has; groups have far fewer such pairs than rows in buckets
+    split = apart(several.where("fp <> m").select(F.col("m").alias("a"), F.col("fp").alias("b")).distinct(), roots)
+    split = several.join(split, F.expr("m = a and fp = b"), "left_semi").select("key").distinct()
+    mixed = several.join(split, "key", "left_semi").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = written(mixed.join(sketches, "fp").select("key", "fp", "root", *SKETCH, "size"), "shingle-mixed")
     met = mixed.alias("x").join(mixed.alias("y"), F.expr(f"x.key = y.key and x.fp < y.fp and x.root <> y.root and {_near('x', 'y')}"))
     met = written(met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "shingle-met")
