@@ -100,10 +100,11 @@ def _remove() -> None:
 KEPT: list = []
 
 
-def release() -> None:
-    """Gives back what other operators keep in this Python worker; tasks that need the memory begin with it."""
+def release(but=None) -> None:
+    """Gives back what other operators keep in this Python worker, all but what `but` keeps; tasks that need the memory begin with it."""
     for kept in KEPT:
-        kept.cache_clear()
+        if kept is not but:
+            kept.cache_clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # freed memory goes back to the system where the C library can do so
         ctypes.CDLL(None).malloc_trim(0)

@@ -9,10 +9,14 @@ each set with one element deleted. Every candidate is then verified on the sets
 
     stars     each set is held against the smallest of one of its buckets, that with the nearest sketch; twice more against the nearest that is in another component by then;
               and at last against all that still are. A large group of near copies grows together on the way, so it costs its size, not its square
-    the rest  members of a bucket of three or more that are still in different components are held against each other
+    the rest  members of a bucket of three or more that are still in different components are held against each other. A set takes its root along to its buckets, whose rows then
+              show by themselves whether they have several
 
 The first 768 bits make a sketch; candidates whose sketches differ in more than FAR bits (116 expected at similarity 0.8, 4.5 standard deviations below FAR; FAR_FEW where a set
-is small, as votes of few are coarse) aren't verified. Only distinct sets enter: equal ones never meet as pairs.
+is small, as votes of few are coarse) aren't verified. Nor are those that can't be similar: a set's parity has a bit for each of 768 classes of hashes, whether an odd number of
+its own are in it, so two parities differ in at most as many bits as elements are in one set alone, which at similarity 0.8 are a ninth of both sizes at most. This loses
+no link and leaves few others of sets of up to some 1,500 shingles: a group of which many are a little less similar than 0.8 would otherwise make its square of pairs.
+Only distinct sets enter: equal ones never meet as pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ WILD, MISS, SMALL = 6, 5e-3, 12
 FAR, FAR_FEW, FEW = 161, 215, 60
 FLIP = math.acos(1.6 / 1.8) / math.pi  # a bit's chance to differ at similarity 0.8, sets of equal size
 SKETCH = [f"s{i}" for i in range(12)]
+PARITY = [f"p{i}" for i in range(12)]
 BLOCK = 255  # rows whose bits a byte can count
 
 
@@ -109,6 +114,15 @@ def signatures(sets: list[np.ndarray], form: Layout) -> tuple[np.ndarray, np.nda
     return np.stack([values, masks], 1).astype(form.kind), np.packbits(bits[:, : 64 * len(SKETCH)], axis=1, bitorder="little").view(np.uint64)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each set, for each of 768 classes of hashes, whether an odd number of its own are in it (sets x 12)."""
+    bits = 64 * len(PARITY)
+    at = (np.concatenate(sets) >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)
+    who = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    odd = np.bincount(who * bits + at.astype(np.int64), minlength=len(sets) * bits).reshape(len(sets), bits) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+
+
 def variant_keys(signature: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(which set, key) of every variant of signatures (sets x 2 x segments), set by set: the segment's number, the wildcard's place (63: none) and the other bits."""
     values, masks = signature[:, 0].astype(np.uint64), signature[:, 1].astype(np.uint64)
@@ -129,7 +143,7 @@ def deletion_keys(grams: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame, form: Layout, words: int = 5) -> DataFrame:
-    """doc_id, digest (of the text), fp (of its set), signature (null for an empty set), deletions and sketch of each row; null text counts as empty."""
+    """doc_id, digest (of the text), fp (of its set), signature (null for an empty set), deletions, sketch, parity and size of each row; null text counts as empty."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -138,17 +152,18 @@ def marks(docs: DataFrame, form: Layout, words: int = 5) -> DataFrame:
             fps = np.array([name_of(s) for s in sets], np.uint64).view(np.int64)
             full = [i for i, s in enumerate(sets) if len(s)]
             shown, sketch = [None] * len(sets), np.zeros((len(sets), len(SKETCH)), np.int64)
+            parity = parities(sets).view(np.int64)
             if full:
                 found, marked = signatures([sets[i] for i in full], form)
                 sketch[full] = marked.view(np.int64)
                 for i, x in zip(full, found):
                     shown[i] = x.tobytes()
             less = [deletion_keys(s).view(np.int64) if 0 < len(s) <= SMALL else [] for s in sets]
-            columns = [batch.column(0), batch.column(1), pa.array(fps), pa.array(shown, pa.binary()), pa.array(less, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T), pa.array(list(map(len, sets)), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "fp", "signature", "deletions", *SKETCH, "size"])
+            columns = [batch.column(0), batch.column(1), pa.array(fps), pa.array(shown, pa.binary()), pa.array(less, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(c)) for c in np.hstack([sketch, parity]).T), pa.array(list(map(len, sets)), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "fp", "signature", "deletions", *SKETCH, *PARITY, "size"])
 
     rows = id_and_text(docs).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "text")
-    return rows.mapInArrow(run, "doc_id long, digest string, fp long, signature binary, deletions array<long>, " + ", ".join(f"{c} long" for c in SKETCH) + ", size int")
+    return rows.mapInArrow(run, "doc_id long, digest string, fp long, signature binary, deletions array<long>, " + ", ".join(f"{c} long" for c in SKETCH + PARITY) + ", size int")
 
 
 def keys_of(distinct: DataFrame, form: Layout) -> DataFrame:
@@ -168,6 +183,18 @@ def keys_of(distinct: DataFrame, form: Layout) -> DataFrame:
     return distinct.select("fp", "signature", "deletions").mapInArrow(run, "fp long, key long")
 
 
+def mixed_buckets(several: DataFrame, sketches: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, fp, root, sketch, parity and size of the sets in buckets that have several roots. several: key and fp of the buckets to look at.
+
+    A set's keys, of which there are as many as its segments have variants at most, are joined as one row with what else is known of it.
+    """
+    keys = several.groupBy("fp").agg(F.collect_list("key").alias("keys"))
+    sets = sketches.join(keys, "fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    rows = sets.select(F.explode("keys").alias("key"), "fp", F.coalesce("root", "fp").alias("root"), *SKETCH, *PARITY, "size")
+    bucket = Window.partitionBy("key")
+    return rows.withColumn("lo", F.min("root").over(bucket)).withColumn("hi", F.max("root").over(bucket)).where("lo <> hi").drop("lo", "hi")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, marked: DataFrame, words: int) -> DataFrame:
     """fp and grams of the sets that `wanted` (fp) names. Of each one text is cut into shingles, picked by its digest; texts that a filter holds back aren't."""
     texts = marked.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("digest").alias("digest"))
@@ -194,12 +221,12 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return first.join(y, "b").where(both / (sizes - both) >= F.lit(least)).select("a", "b")
 
 
-def _distance(x: str, y: str) -> str:
-    return "(" + " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in SKETCH) + ")"
+def _distance(x: str, y: str, words: list[str] = SKETCH) -> str:
+    return "(" + " + ".join(f"bit_count({x}.{s} ^ {y}.{s})" for s in words) + ")"
 
 
 def _near(x: str, y: str) -> str:
-    return f"{_distance(x, y)} <= if(least({x}.size, {y}.size) <= {FEW}, {FAR_FEW}, {FAR})"
+    return f"9 * {_distance(x, y, PARITY)} <= {x}.size + {y}.size and {_distance(x, y)} <= if(least({x}.size, {y}.size) <= {FEW}, {FAR_FEW}, {FAR})"
 
 
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -212,12 +239,12 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
         raise ValueError("the segments are laid out for similarities of 0.8 and more")
     form = layout(docs.count())
     marked = written(marks(docs, form, words), "shingle-marks")
-    distinct = written(marked.where("signature is not null").dropDuplicates(["fp"]).select("fp", "signature", "deletions", *SKETCH, "size"), "shingle-sets")
+    distinct = written(marked.where("signature is not null").dropDuplicates(["fp"]).select("fp", "signature", "deletions", *SKETCH, *PARITY, "size"), "shingle-sets")
     keys = keys_of(distinct, form)
     bucket = Window.partitionBy("key")
     shared = keys.withColumn("m", F.min("fp").over(bucket)).withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1")
     buckets = written(shared.select("key", "fp", "m", "n"), "shingle-buckets")
-    sketches = distinct.join(buckets.select("fp").distinct(), "fp", "left_semi").select("fp", *SKETCH, "size")
+    sketches = distinct.join(buckets.select("fp").distinct(), "fp", "left_semi").select("fp", *SKETCH, *PARITY, "size")
     sketches = written(sketches, "shingle-sketches")
     stars = buckets.where("fp <> m").select(F.col("m").alias("a"), F.col("fp").alias("b")).distinct()
     stars = stars.join(sketches.alias("x"), F.expr("a = x.fp")).join(sketches.alias("y"), F.expr("b = y.fp")).where(_near("x", "y")).select("a", "b", F.expr(_distance("x", "y")).alias("d"))
@@ -253,12 +280,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
             break
     else:
         roots = verify(left.select("a", "b"), "rest")
-    several = buckets.where("n > 2")
-    # a bucket has several roots if one of its sets has another than the smallest has; groups have far fewer such pairs than rows in buckets
-    split = apart(several.where("fp <> m").select(F.col("m").alias("a"), F.col("fp").alias("b")).distinct(), roots)
-    split = several.join(split, F.expr("m = a and fp = b"), "left_semi").select("key").distinct()
-    mixed = several.join(split, "key", "left_semi").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = written(mixed.join(sketches, "fp").select("key", "fp", "root", *SKETCH, "size"), "shingle-mixed")
+    mixed = written(mixed_buckets(buckets.where("n > 2").select("key", "fp"), sketches, roots), "shingle-mixed")
     met = mixed.alias("x").join(mixed.alias("y"), F.expr(f"x.key = y.key and x.fp < y.fp and x.root <> y.root and {_near('x', 'y')}"))
     met = written(met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "shingle-met")
     if not met.isEmpty():
