@@ -198,7 +198,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block
     identifier doesn't land in one task; a null identifier comes first, and rows that repeat one are ordered by that hash. Null and
     empty texts are the end id alone. Each file is written under another name and moved into place, so a task that runs again replaces
     what it wrote. The manifest, a row a file, is a Parquet data set beside them; an empty table makes an empty one. part_rows: documents of a range, about.
-    cache: chunks whose ids a Python worker keeps, some 200 bytes each, twice at most.
+    cache: chunks whose ids a Python worker keeps, for a byte-level tokenizer as columns of some 40 bytes each; for others some 200 bytes each, twice at most.
     """
     spark, end = docs.sparkSession, end_id.to_bytes(4, "little")
     rows = id_and_text(docs).withColumn("h", F.xxhash64("text"))
