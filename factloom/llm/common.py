@@ -10,7 +10,7 @@ import math
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -155,17 +155,24 @@ def _positions(values: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((x >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 32)]
 
 
-def filter_of(rows: DataFrame, column: str) -> np.ndarray:
-    """Bloom filter over a column of longs (null as -1): 12 bits a value or more, MOST_BITS at most. Words are merged by the executors before the driver gets them."""
+def longs(batch: pa.RecordBatch) -> np.ndarray:
+    """A batch's first column, null as -1."""
+    return batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def filter_of(rows: DataFrame, *columns: str, values: Callable[[pa.RecordBatch], np.ndarray] = longs) -> np.ndarray:
+    """Bloom filter over what `values` makes of a batch of the columns, a long a row: 12 bits a value or more, MOST_BITS at most. Words are merged by the executors before the driver gets them.
+
+    Values are made where the words are: a step in Python before this one would run beside it, in a second worker for each task, which stays.
+    """
     bits = min(MOST_BITS, 1 << max(15, math.ceil(math.log2(12 * max(1, rows.count())))))
 
     def words(it):
         for batch in it:
-            values = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-            for at in _positions(values, bits):
+            for at in _positions(values(batch), bits):
                 yield pa.RecordBatch.from_arrays([pa.array(at >> 5, pa.int64()), pa.array(1 << (at & 31), pa.int64())], names=["w", "b"])
 
-    found = rows.select(column).mapInArrow(words, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    found = rows.select(*columns).mapInArrow(words, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(bits >> 5, np.uint32)
     out[found.column("w").to_numpy()] = found.column("b").to_numpy().astype(np.uint32)
     return out

@@ -203,11 +203,10 @@ class MergeIndex:
     def _texts(self, docs: DataFrame, hits: DataFrame) -> DataFrame:
         """hits with the text of each entry's keep_id; only texts that the filter over (digest, identifier) lets through are shuffled."""
 
-        def numbered(it):
-            for batch in it:
-                yield pa.RecordBatch.from_arrays([pa.array(_pairs(batch.column(0), batch.column(1).to_pylist()))], names=["pair"])
+        def numbers(batch: pa.RecordBatch) -> np.ndarray:
+            return _pairs(batch.column(0), batch.column(1).to_pylist())
 
-        bits = self.spark.sparkContext.broadcast(filter_of(hits.select("keep_id", "digest").mapInArrow(numbered, "pair long"), "pair"))
+        bits = self.spark.sparkContext.broadcast(filter_of(hits, "keep_id", "digest", values=numbers))
         size = self.digest_bytes
 
         def through(it):
